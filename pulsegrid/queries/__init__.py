@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ("splits",)
+FAMILIES = ("splits", "evaluation", "sampling")
 
 
 @dataclass(frozen=True)

@@ -43,6 +43,7 @@ def main():
     args = ap.parse_args()
     spark = build_session("local[8]", **{"spark__sql__shuffle__partitions": "8",
                                          "spark__ui__enabled": "false",
+                                         "spark__ui__showConsoleProgress": "false",
                                          "spark__driver__memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
