@@ -68,17 +68,27 @@ def copy_counts(df: DataFrame, augment_num: int, balance: bool = True, label: st
         label, "n", (own if balance else F.lit(augment_num).cast("long")).alias("copies"))
 
 
-def with_copies(rows: DataFrame, augment_num: int, balance: bool = True,
-                counts_from: DataFrame | None = None, label: str = "label") -> DataFrame:
+def with_copies(rows: DataFrame, augment_num: int, row_id: str, balance: bool = True,
+                counts_from: DataFrame | None = None, label: str = "label", chunk: int = 1000
+                ) -> DataFrame:
     """Originals (copy 0) and their copies, as rows with ``copy_no``.
 
     ``counts_from`` is the table whose classes are balanced: the split rows of all listed records
-    for balance by record, the fragments themselves for balance by fragment.
+    for balance by record, the fragments themselves for balance by fragment. The few per-class
+    counts reach the rows as one map value, so no row is shuffled by its class. A row of a rare
+    class may get very many copies: they are made in chunks that are spread over the tasks first.
     """
-    copies = copy_counts(rows if counts_from is None else counts_from, augment_num, balance, label)
-    return (rows.join(copies.drop("n"), label)
-            .withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int"))))
-            .drop("copies"))
+    counts = copy_counts(rows if counts_from is None else counts_from, augment_num, balance, label)
+    per_class = counts.agg(F.map_from_entries(
+        F.collect_list(F.struct(F.col(label).cast("string"), "copies"))).alias("m")).scalar()
+    sized = (rows.withColumn("__copies", F.try_element_at(per_class, F.col(label).cast("string")))
+             .where(F.col("__copies").isNotNull())
+             .withColumn("__chunk", F.explode(F.expr(f"sequence(0, __copies div {chunk})")))
+             .repartition(row_id, "__chunk"))
+    first = F.col("__chunk") * chunk
+    last = F.least(first + chunk - 1, F.col("__copies"))
+    return (sized.withColumn("copy_no", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+            .drop("__copies", "__chunk"))
 
 
 def copy_patient(patient: str = "patient", copy_no: str = "copy_no"):

@@ -56,26 +56,25 @@ def rank_median(df: DataFrame, keys: Sequence[str], value: str, bucket: Column |
     return middle.groupBy(*keys).agg(F.avg(value).alias(out))
 
 
-def carry(summary: DataFrame, keys: Sequence[str], order: str, value: str, out: str,
-          forward: bool = True, fan: int = 1024) -> DataFrame:
-    """Nearest non-null ``value`` strictly before (or after) each row of a key, in two levels.
-
-    ``summary`` has one row per block. Rows are grouped in runs of ``fan`` blocks; the run ends are
-    carried separately and joined back, so no task sees more than ``fan`` blocks of a key plus one
-    row per run.
+def carry_ends(summary: DataFrame, keys: Sequence[str], order: str, last: str, first: str,
+               fan: int = 1024) -> DataFrame:
+    """Adds ``prev``: the nearest non-null ``last`` of earlier rows of the key, and ``next``: the
+    nearest non-null ``first`` of later rows.
+
+    ``summary`` has one row per block. Blocks are grouped in runs of ``fan``; the ends of runs are
+    carried separately and joined back, so a task sees at most ``fan`` blocks of a key, or one row
+    per run.
     """
-    step = F.col(order) if forward else -F.col(order)
-    run = F.floor(F.col(order) / fan).cast("long")
-    cut = summary.withColumn("__step", step).withColumn("__run", run)
-    inner = (Window.partitionBy(*keys, "__run").orderBy("__step")
-             .rowsBetween(Window.unboundedPreceding, -1))
-    near = cut.withColumn("__near", F.last(value, ignorenulls=True).over(inner))
-    ends = (cut.where(F.col(value).isNotNull()).groupBy(*keys, "__run")
-            .agg(F.max_by(value, "__step").alias("__end")))
-    runs = cut.select(*keys, "__run").distinct().join(ends, [*keys, "__run"], "left")
-    outer = (Window.partitionBy(*keys).orderBy(F.col("__run") if forward else -F.col("__run"))
-             .rowsBetween(Window.unboundedPreceding, -1))
-    far = runs.select(*keys, "__run", F.last("__end", ignorenulls=True).over(outer).alias("__far"))
-    return (near.join(far, [*keys, "__run"])
-            .withColumn(out, F.coalesce("__near", "__far"))
-            .select(*summary.columns, out))
+    cut = summary.withColumn("__run", F.floor(F.col(order) / fan).cast("long"))
+    before, after = (Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)
+    inner = Window.partitionBy(*keys, "__run").orderBy(order)
+    near = (cut.withColumn("__p", F.last(last, True).over(inner.rowsBetween(*before)))
+            .withColumn("__q", F.first(first, True).over(inner.rowsBetween(*after))))
+    tip = lambda value: F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("o"), F.col(value).alias("v")))
+    runs = cut.groupBy(*keys, "__run").agg(F.max(tip(last)).v.alias("__l"), F.min(tip(first)).v.alias("__f"))
+    outer = Window.partitionBy(*keys).orderBy("__run")
+    far = runs.select(*keys, "__run",
+                      F.last("__l", True).over(outer.rowsBetween(*before)).alias("__fp"),
+                      F.first("__f", True).over(outer.rowsBetween(*after)).alias("__fq"))
+    return near.join(far, [*keys, "__run"]).select(
+        *summary.columns, F.coalesce("__p", "__fp").alias("prev"), F.coalesce("__q", "__fq").alias("next"))

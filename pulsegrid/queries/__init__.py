@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ("splits", "evaluation", "sampling")
+FAMILIES = ("splits", "evaluation", "sampling", "signals", "filters")
 
 
 @dataclass(frozen=True)

@@ -44,7 +44,7 @@ def balanced_copy_counts(spark, d):
            record_id || CASE WHEN c > 0 THEN '#aug' || c ELSE '' END AS patient
     FROM rows JOIN counts USING (label), range(0, round_even(3 * max_n / n, 0)::bigint + 1) AS r(c)""")
 def augmented_rows(spark, d):
-    return B.with_copies(subjects(spark, d), 3).select(
+    return B.with_copies(subjects(spark, d), 3, "record_id").select(
         "record_id", "label", "copy_no", B.copy_patient("record_id").alias("patient"))
 
 
@@ -57,7 +57,7 @@ def augmented_rows(spark, d):
 def copies_balanced_by_listed_records(spark, d):
     listed = table(spark, d, "documents").select("doc_id", F.col("lang").alias("label"))
     present = listed.join(table(spark, d, "labels"), "doc_id", "left_semi")
-    return B.with_copies(present, 2, counts_from=listed).select("doc_id", "label", "copy_no")
+    return B.with_copies(present, 2, "doc_id", counts_from=listed).select("doc_id", "label", "copy_no")
 
 
 @query("G14", sql=f"""WITH {COUNTS_SQL}
@@ -65,7 +65,7 @@ def copies_balanced_by_listed_records(spark, d):
            round({u_sql("'9:cached:' || record_id || ':' || c")}, 6) + 0.0 AS draw
     FROM rows JOIN counts USING (label), range(0, round_even(2 * max_n / n, 0)::bigint + 1) AS r(c)""")
 def cached_copies(spark, d):
-    rows = B.with_copies(subjects(spark, d), 2).select(
+    rows = B.with_copies(subjects(spark, d), 2, "record_id").select(
         "record_id", "copy_no",
         tidy(keyed.unit(9, "cached", F.col("record_id"), F.col("copy_no"))).alias("draw"))
     return cut_lineage(rows, "copies")
