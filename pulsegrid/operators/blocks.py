@@ -4,6 +4,10 @@ Long form is ``(record_id, channel, idx, value)``. Block form is ``(record_id, c
 values)`` where block ``b`` holds samples ``b*B .. b*B+B-1`` and only the last block is shorter.
 Work that needs neighbours gets a halo from the adjacent blocks; work that needs a whole-record
 figure gets it from a partial aggregate. No step gathers a record in one task.
+
+Arrays that were just computed are exploded in the ``outer`` form: for the inner form the optimizer
+adds a ``size(array) > 0`` filter below, which works the whole array out a second time. Blocks are
+never empty, so both forms give the same rows.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ def to_blocks(samples: DataFrame, block: int, keys: Sequence[str] = KEYS, value:
 
 
 def to_samples(blocks: DataFrame, block: int, keys: Sequence[str] = KEYS) -> DataFrame:
-    return (blocks.select(*keys, "block", F.posexplode("values").alias("__pos", "value"))
+    return (blocks.select(*keys, "block", F.posexplode_outer("values").alias("__pos", "value"))
             .select(*keys, (F.col("block") * block + F.col("__pos")).alias("idx"), "value"))
 
 
@@ -57,7 +61,7 @@ def with_halo(blocks: DataFrame, left: int, right: int, keys: Sequence[str] = KE
         sends.append(piece(b + 1, none, tail, none))
     if right:
         sends.append(piece(b - 1, none, none, F.slice(v, F.lit(1), F.lit(right))))
-    spread = blocks.select(*keys, F.explode(F.array(*sends)).alias("p")).select(*keys, "p.*")
+    spread = blocks.select(*keys, F.explode_outer(F.array(*sends)).alias("p")).select(*keys, "p.*")
     joined = spread.groupBy(*keys, "block").agg(
         *[F.first(c, ignorenulls=True).alias(c) for c in ("own", "before", "after")])
     return joined.where(F.col("own").isNotNull()).select(
@@ -67,7 +71,7 @@ def with_halo(blocks: DataFrame, left: int, right: int, keys: Sequence[str] = KE
 
 def record_stats(blocks: DataFrame, aggs: Sequence[Column], keys: Sequence[str] = KEYS) -> DataFrame:
     """Whole-record figures over ``value``, and the number of blocks as ``__blocks``."""
-    long = blocks.select(*keys, "block", F.explode("values").alias("value"))
+    long = blocks.select(*keys, "block", F.explode_outer("values").alias("value"))
     return long.groupBy(*keys).agg(*aggs, (F.max("block") + 1).alias("__blocks"))
 
 

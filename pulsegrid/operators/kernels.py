@@ -55,7 +55,7 @@ def split_bands(blocks: DataFrame, kernels: Sequence[np.ndarray], keys: Sequence
 
     wide = with_halo(blocks, half, half, keys).select(
         *keys, "block", apply("before", "values", "after").alias("bands"))
-    return wide.select(*keys, "block", F.posexplode("bands").alias("band", "values"))
+    return wide.select(*keys, "block", F.posexplode_outer("bands").alias("band", "values"))
 
 
 def four_bands(blocks: DataFrame, fs: float, keys: Sequence[str] = KEYS, **design) -> DataFrame:
@@ -96,7 +96,7 @@ def resample(blocks: DataFrame, block: int, fs_in: int, fs_out: int, keys: Seque
     made = with_halo(blocks, reach, reach, keys).select(
         *keys, apply("block", "before", "values", "after").alias("r"))
     long = made.select(*keys, F.col("r.first").alias("__f"),
-                       F.posexplode("r.values").alias("__p", "value"))
+                       F.posexplode_outer("r.values").alias("__p", "value"))
     return to_blocks(long.withColumn("idx", F.col("__f") + F.col("__p")), block, keys)
 
 
@@ -149,5 +149,5 @@ def beam(rows: DataFrame, keys: Sequence[str], values: str = "values", delays: s
          taps: int = 41) -> DataFrame:
     """Sum over the channels of a fragment of the squared delayed signals, per sample."""
     long = delay_energy(rows, values, delays, taps).select(
-        *keys, F.posexplode("energy").alias("idx", "e"))
+        *keys, F.posexplode_outer("energy").alias("idx", "e"))
     return long.groupBy(*keys, "idx").agg(F.sum("e").alias("value"))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 
+from pulsegrid.functions.keyed import gaussian
+
 
 def linear_betas(start: float, end: float, steps: int) -> np.ndarray:
     return np.linspace(start, end, steps)
@@ -52,6 +54,21 @@ def fractional_step(value: Column, grid: Sequence[float]) -> Column:
     return locate(value)
 
 
-def map_steps(train: Sequence[float], infer: Sequence[float]) -> np.ndarray:
-    """Cumulative products of two schedules given as betas (driver-side, a handful of values)."""
-    return np.cumprod(1 - np.asarray(train, float)), np.cumprod(1 - np.asarray(infer, float))
+def diffuse(rows: DataFrame, levels: DataFrame, col: str, seed, step: str, key: Sequence[Column]
+            ) -> DataFrame:
+    """Signal and normal noise mixed at the row's schedule step: ``sqrt(a) x + sqrt(1-a) e``.
+
+    ``levels`` is the fixed schedule table (tens to a thousand rows).
+    """
+    joined = rows.join(F.broadcast(levels.select("step", "alpha_cum")), "step")
+    keep, add = F.sqrt("alpha_cum"), F.sqrt(1 - F.col("alpha_cum"))
+    return joined.withColumn("__k", keep).withColumn("__a", add).withColumn(
+        col, F.transform(col, lambda x, i: F.col("__k") * x + F.col("__a") * gaussian(seed, step, *key, i))
+    ).drop("__k", "__a", "alpha_cum")
+
+
+def diffuse_at(rows: DataFrame, level: str, col: str, seed, step: str, key: Sequence[Column]) -> DataFrame:
+    """Mixing at a continuous noise level: ``l x + sqrt(1 - l^2) e``."""
+    l = F.col(level)
+    return rows.withColumn(col, F.transform(
+        col, lambda x, i: l * x + F.sqrt(1 - l * l) * gaussian(seed, step, *key, i)))

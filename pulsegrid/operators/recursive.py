@@ -118,7 +118,7 @@ def run(blocks: DataFrame, sos: np.ndarray, block: int, keys: Sequence[str] = KE
     own = F.struct(F.col("block").alias("block"), F.col("y").alias("y"), none_s.alias("s"))
     sent = F.transform("sends", lambda s, i: F.struct(
         (F.col("block") + hop * (i + 1)).cast("long").alias("block"), none_y.alias("y"), s.alias("s")))
-    spread = ran.select(*keys, F.explode(F.concat(F.array(own), sent)).alias("p")).select(*keys, "p.*")
+    spread = ran.select(*keys, F.explode_outer(F.concat(F.array(own), sent)).alias("p")).select(*keys, "p.*")
     met = spread.groupBy(*keys, "block").agg(F.first("y", ignorenulls=True).alias("y"),
                                              F.collect_list("s").alias("s"))
     return met.where(F.col("y").isNotNull()).select(*keys, "block", add_state("y", "s").alias("values"))

@@ -45,7 +45,7 @@ def flatten(records: DataFrame, keep: Sequence[Column] = ()) -> DataFrame:
     """One ``(path, value)`` row per metric leaf of each record."""
     leaves = [F.struct(F.lit(p).alias("path"), F.col(p).cast("double").alias("value"))
               for p in metric_paths(records.schema)]
-    leaf = F.explode(F.array(*leaves)).alias("leaf")
+    leaf = F.explode_outer(F.array(*leaves)).alias("leaf")
     return (records.select(*keep, leaf).where(F.col("leaf.value").isNotNull())
             .select("*", "leaf.*").drop("leaf"))
 

@@ -8,7 +8,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ("splits", "evaluation", "sampling", "signals", "filters")
+from pulsegrid.session import ship_package
+
+FAMILIES = ("splits", "evaluation", "sampling", "signals", "filters", "augmentation")
 
 
 @dataclass(frozen=True)
@@ -26,7 +28,11 @@ def query(*ids: str, sql: str | None = None):
     """Register a function under its own name as the query for the given survey ids."""
 
     def register(fn):
-        REGISTRY[fn.__name__] = Query(fn.__name__, ids, fn, sql)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, sf_dir)
+
+        REGISTRY[fn.__name__] = Query(fn.__name__, ids, run, sql)
         return fn
 
     return register

@@ -115,7 +115,7 @@ _BANDS = [D.zero_phase_kernel(h) for h in D.four_bands(RATE, 15)]
 def four_band_split(spark, d):
     out = C.four_bands(blocks(spark, d), RATE, KEY, taps=15)
     return out.select("record_id", "band", (F.col("block") * BLOCK).alias("b"),
-                      F.posexplode("values").alias("p", "v")).select(
+                      F.posexplode_outer("values").alias("p", "v")).select(
         "record_id", "band", (F.col("b") + F.col("p")).alias("idx"), tidy(F.col("v")).alias("value"))
 
 
@@ -213,7 +213,7 @@ def hilbert_envelopes(spark, d):
 def beam_energy(spark, d):
     v = F.transform("embedding", lambda x: x.cast("double"))
     rows = table(spark, d, "embeddings").select(
-        "vec_id", F.posexplode(F.array(F.slice(v, 1, 32), F.slice(v, 33, 32))).alias("mic", "values"))
+        "vec_id", F.posexplode_outer(F.array(F.slice(v, 1, 32), F.slice(v, 33, 32))).alias("mic", "values"))
     rows = rows.withColumn("delays", F.transform("values", lambda x: F.least(F.abs(x) * 4, F.lit(2.0))))
     return C.beam(rows, ["vec_id"]).withColumn("value", tidy(F.col("value")))
 

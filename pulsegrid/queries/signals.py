@@ -107,7 +107,7 @@ def k_peak_normalised(spark, d):
 def overlapping_windows(spark, d):
     w = W.windows(blocks(spark, d), BLOCK, start=3, win=16, hop=12, keys=KEY)
     return w.select("record_id", "win_no", "start_idx", "valid_len",
-                    F.posexplode("waveform").alias("pos", "value"))
+                    F.posexplode_outer("waveform").alias("pos", "value"))
 
 
 @query("W2", "W1", sql="""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -54,3 +56,14 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per Spark context."""
+    context = spark.sparkContext
+    if getattr(context, "_pulsegrid_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="pulsegrid-pkg-"), "pulsegrid")
+    context.addPyFile(shutil.make_archive(archive, "zip", os.path.dirname(home), "pulsegrid"))
+    context._pulsegrid_shipped = True
