@@ -38,6 +38,20 @@ def split_rank(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Colu
             .select(*df.columns, out, *([size] if size else [])))
 
 
+def split_cumsum(df: DataFrame, keys: Sequence[str], order: str, value: str, span: int,
+                 out: str = "before") -> DataFrame:
+    """Sum of ``value`` over the earlier rows of the key, in slices of ``span`` order values."""
+    cut = df.withColumn("__slice", F.expr(f"{order} div {span}"))
+    before = (Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "__slice").orderBy(order).rowsBetween(*before)
+    sums = cut.groupBy(*keys, "__slice").agg(F.sum(value).alias("__s"))
+    offsets = sums.select(*keys, "__slice", F.sum("__s").over(
+        Window.partitionBy(*keys).orderBy("__slice").rowsBetween(*before)).alias("__o"))
+    run = F.coalesce(F.sum(value).over(inside), F.lit(0))
+    return (cut.withColumn(out, run).join(offsets, [*keys, "__slice"])
+            .withColumn(out, F.col(out) + F.coalesce("__o", F.lit(0))).select(*df.columns, out))
+
+
 def sample_index(df: DataFrame, record: str, time: str, tie: str, bucket: str = "day") -> DataFrame:
     """0-based sample index of each row of a record in time order, split by calendar bucket."""
     ranked = split_rank(df, [record], [time, tie], F.date_trunc(bucket, F.col(time)), "idx")

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pulsegrid.session import ship_package
 
-FAMILIES = ("splits", "evaluation", "sampling", "signals", "filters", "augmentation")
+FAMILIES = ("splits", "evaluation", "sampling", "signals", "filters", "augmentation", "fragments",
+            "spectra", "features", "schedules", "cycles")
 
 
 @dataclass(frozen=True)
