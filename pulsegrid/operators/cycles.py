@@ -130,19 +130,26 @@ def chain(parts: list[np.ndarray], target: int, n: int) -> np.ndarray:
     return out
 
 
-def rebuild(bodies: DataFrame, target: int, fade: int, keys: Sequence[str] = KEYS,
-            span: int = 10_000) -> DataFrame:
-    """One signal per record of at least ``target`` samples from its cycles in ``pos`` order.
+def needed_cycles(ordered: DataFrame, target: int, fade: int, span: int = 10_000) -> DataFrame:
+    """The cycles in ``pos`` order that can still add to the first ``target`` samples.
 
-    Only the cycles that can still add to the first ``target`` samples are gathered: those before
-    which the guaranteed length (cycle length less the overlap) is below the target. A record that
-    falls short keeps all its cycles and goes round again.
+    A cycle adds at least its length less the overlap (all of it when it is shorter than the
+    overlap). Only cycles before which this guaranteed sum is below the target are kept, so the
+    samples of all others need not be read. A record that falls short keeps every cycle.
     """
-    keys = list(keys)
-    size = F.size("values")
+    size = F.col("end_idx") - F.col("start_idx")
     adds = F.when(size < fade, size).otherwise(size - fade)
-    counted = split_cumsum(bodies.withColumn("__adds", adds), keys, "pos", "__adds", span, "__before")
-    needed = counted.where(F.col("__before") < target + fade)
+    counted = split_cumsum(ordered.withColumn("__adds", adds), ["record_id"], "pos", "__adds", span, "__before")
+    return counted.where(F.col("__before") < target + fade).drop("__adds", "__before")
+
+
+def rebuild(bodies: DataFrame, target: int, fade: int, keys: Sequence[str] = KEYS) -> DataFrame:
+    """One signal per record of at least ``target`` samples from its needed cycles in ``pos`` order.
+
+    ``bodies`` holds the needed cycles only, each cut to a bounded length, so a group is a little
+    over ``target`` samples whatever the record's length.
+    """
+    keys = list(keys)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}"
                        for f in bodies.select(*keys).schema.fields)
 
@@ -150,5 +157,5 @@ def rebuild(bodies: DataFrame, target: int, fade: int, keys: Sequence[str] = KEY
         parts = [np.asarray(v, float) for v in pdf.sort_values("pos")["values"]]
         return pd.DataFrame([[*key, chain(parts, target, fade)]], columns=[*keys, "values"])
 
-    return needed.select(*keys, "pos", "values").groupBy(*keys).applyInPandas(
+    return bodies.select(*keys, "pos", "values").groupBy(*keys).applyInPandas(
         join, f"{schema}, values array<double>")

@@ -10,6 +10,7 @@ from pulsegrid.operators.blocks import KEYS, attach
 from pulsegrid.operators.normalise import abs_max
 from pulsegrid.operators.spectra import MelSpec, log_mel
 from pulsegrid.operators.windows import fade, fit_length
+from pulsegrid.session import cut_lineage
 
 
 def record_lengths(blocks: DataFrame) -> DataFrame:
@@ -41,9 +42,10 @@ def items(blocks: DataFrame, block: int, cuts: DataFrame, mel: MelSpec, frames:
     """
     crop = frames * mel.hop
     normal = abs_max(blocks)
-    cycles = Y.split_cycles(cuts, record_lengths(blocks))
-    ordered = Y.rearrange(cycles.where(F.col("cycles") >= 2), seed, prob_contiguous)
-    bodies = Y.cycle_bodies(ordered, normal, block, crop + fade_samples + ramp)
+    # One row per cycle, read several times below: written once.
+    cycles = cut_lineage(Y.split_cycles(cuts, record_lengths(blocks)), "cycles")
+    ordered = cut_lineage(Y.rearrange(cycles.where(F.col("cycles") >= 2), seed, prob_contiguous), "order")
+    bodies = Y.cycle_bodies(Y.needed_cycles(ordered, crop, fade_samples), normal, block, crop + fade_samples + ramp)
     made = Y.rebuild(bodies, crop, fade_samples).withColumn("values", fade(F.col("values"), ramp))
     rest = plain_heads(normal, block, crop, ramp).join(
         ordered.select("record_id").distinct(), "record_id", "left_anti")

@@ -13,7 +13,7 @@ from pulsegrid.plans import generator_items as P
 from pulsegrid.queries import query
 from pulsegrid.queries.sampling import u_sql
 from pulsegrid.queries.signals import BLOCK, SIG_SQL, samples
-from pulsegrid.session import scratch_path
+from pulsegrid.session import cut_lineage, scratch_path
 
 CUT_SQL = f"""{SIG_SQL},
 len AS (SELECT record_id, count(*) AS n FROM sig GROUP BY record_id),
@@ -102,8 +102,8 @@ def rearranged_cycles(spark, d):
 
 @query("W10")
 def rebuilt_signals(spark, d):
-    order = Y.rearrange(found(spark, d)[2], 6, 0.4)
-    bodies = Y.cycle_bodies(order, signals(spark, d), BLOCK, 1000)
+    order = cut_lineage(Y.rearrange(found(spark, d)[2], 6, 0.4), "order")
+    bodies = Y.cycle_bodies(Y.needed_cycles(order, 48, 2), signals(spark, d), BLOCK, 1000)
     out = Y.rebuild(bodies, 48, 2)
     return out.select("record_id", F.size("values").alias("n"), tidy(A.total(F.col("values"))).alias("mass"))
 
