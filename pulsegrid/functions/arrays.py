@@ -153,16 +153,17 @@ def wander(v: Column, fs: float, seed, step: str, *key) -> Column:
 def stretch(v: Column, rate: Column, keep_length: bool = False) -> Column:
     """Time scaling by linear interpolation at ``i * rate``; pitch moves with the rate."""
 
-    def read(c):
+    def read(c, r):
         n = F.size(c)
-        count = (F.floor((n - 1) / rate) + 1).cast("int")
+        count = (F.floor((n - 1) / r) + 1).cast("int")
         count = F.least(count, n) if keep_length else count
-        at = lambda i: bind(F.struct((i * rate).alias("t"), F.floor(i * rate).cast("int").alias("k")),
+        at = lambda i: bind(F.struct((i * r).alias("t"), F.floor(i * r).cast("int").alias("k")),
                             lambda p: F.get(c, p.k) + (p.t - p.k) * (
                                 F.get(c, F.least(p.k + 1, n - 1)) - F.get(c, p.k)))
         return F.transform(F.sequence(F.lit(0), count - 1), at)
 
-    return bind(v, lambda c: F.when(F.size(c) > 0, read(c)).otherwise(c))
+    return bind(F.struct(v.alias("c"), rate.alias("r")),
+                lambda b: F.when(F.size(b.c) > 0, read(b.c, b.r)).otherwise(b.c))
 
 
 def chirp(v: Column, fs: float) -> Column:

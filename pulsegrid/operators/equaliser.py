@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from pulsegrid.functions import arrays as A
@@ -12,58 +12,53 @@ from pulsegrid.functions.keyed import between, unit
 from pulsegrid.operators.recursive import run_sections
 
 
-@pandas_udf(T.ArrayType(T.DoubleType()))
-def filter_rows(values: pd.Series, sections: pd.Series) -> pd.Series:
-    """Causal cascade per row; ``sections`` is a flat ``b0 b1 b2 a1 a2`` list per row.
+def band_edges(draws: np.ndarray, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
+    """Random band edges in Hz from three draws per band: a uniform lower edge; the upper one free
+    or at a fixed distance. ``draws`` is ``[rows, bands, 3]``."""
+    lo = low + draws[..., 0] * (0.95 * high - low)
+    least = lo + 0.05 * (high - low)
+    free = least + draws[..., 2] * (high - least)
+    return lo, np.where(draws[..., 1] < 0.5, free, lo + (high - low) / draws.shape[1])
 
-    Rows of a batch run side by side; null rows are passed over.
-    """
-    out = [None] * len(values)
-    live = [i for i, v in enumerate(values) if v is not None]
-    if live:
-        sizes = [len(values.iloc[i]) for i in live]
-        x = np.zeros((len(live), max(sizes)))
-        for j, i in enumerate(live):
-            x[j, :sizes[j]] = values.iloc[i]
-        c = np.stack([np.asarray(sections.iloc[i], float).reshape(-1, 5) for i in live])
-        sos = np.insert(c, 3, 1.0, axis=2)
-        y, _ = run_sections(x, sos, np.zeros((len(live), 2 * c.shape[1])))
-        for j, i in enumerate(live):
-            out[i] = y[j, :sizes[j]]
-    return pd.Series(out)
 
+def band_sections(lo: np.ndarray, hi: np.ndarray, fs: float) -> np.ndarray:
+    """First-order Butterworth band-pass per edge pair, as ``[..., 6]`` sections."""
+    a, b = np.tan(np.pi * lo / fs), np.tan(np.pi * hi / fs)
+    d = 1.0 + (b - a) + a * b
+    g, z = (b - a) / d, np.zeros_like(d)
+    return np.stack([g, z, -g, z + 1.0, 2.0 * (a * b - 1.0) / d, (1.0 - (b - a) + a * b) / d], axis=-1)
 
-# Keeps the optimizer from copying the call into every place that uses its result.
-filter_rows = filter_rows.asNondeterministic()
 
+def coloured(v: Column, draws: Column, fs: float, low: float, high: float) -> Column:
+    """Causal random band cascade per row; rows of a batch run side by side, null rows are skipped."""
 
-def band_edges(low: float, high: float, n: int, seed, step: str, key) -> list[tuple[Column, Column]]:
-    """Random band edges in Hz: a uniform lower edge; the upper one free or at a fixed distance."""
-    out = []
-    for b in range(n):
-        draw = lambda slot: unit(seed, step, b, *key, slot=slot)
-        lo = F.lit(low) + draw(0) * (0.95 * high - low)
-        floor = lo + 0.05 * (high - low)
-        out.append((lo, F.when(draw(1) < 0.5, floor + draw(2) * (F.lit(high) - floor))
-                    .otherwise(lo + (high - low) / n)))
-    return out
-
-
-def band_coefficients(lo: Column, hi: Column, fs: float) -> list[Column]:
-    """First-order Butterworth band-pass as one section; edges in Hz."""
-    tan = lambda f: F.tan(f * (np.pi / fs))
-    width, centre = tan(hi) - tan(lo), tan(hi) * tan(lo)
-    d = 1.0 + width + centre
-    return [width / d, F.lit(0.0), -width / d, 2.0 * (centre - 1.0) / d, (1.0 - width + centre) / d]
+    @pandas_udf("array<double>")
+    def run(values: pd.Series, draws: pd.Series) -> pd.Series:
+        out = [None] * len(values)
+        live = [i for i, x in enumerate(values) if x is not None]
+        if live:
+            sizes = [len(values.iloc[i]) for i in live]
+            x = np.zeros((len(live), max(sizes)))
+            for j, i in enumerate(live):
+                x[j, :sizes[j]] = values.iloc[i]
+            u = np.stack([np.stack(draws.iloc[i]) for i in live])
+            sos = band_sections(*band_edges(u, low, high), fs)
+            y, _ = run_sections(x, sos, np.zeros((len(live), 2 * sos.shape[1])))
+            for j, i in enumerate(live):
+                out[i] = y[j, :sizes[j]]
+        return pd.Series(out)
+
+    # Marked so that the optimizer does not copy the call into every place that uses its result.
+    return run.asNondeterministic()(v, draws)
 
 
 def equalise(v: Column, fs: float, low: float, high: float, seed, step: str, *key, bands: int = 5
              ) -> Column:
     """A fiftieth of a randomly coloured copy blended into the normalised signal."""
-    flat = [c for lo, hi in band_edges(low, high, bands, seed, step, key)
-            for c in band_coefficients(lo, hi, fs)]
-    coloured = filter_rows(v, F.array(*flat))
-    return A.abs_max(F.zip_with(A.abs_max(coloured), A.abs_max(v), lambda c, x: c / 50.0 + x))
+    three = lambda b: F.array(*[unit(seed, step, b, *key, slot=s) for s in range(3)])
+    draws = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), three)
+    tinted = coloured(v, draws, fs, low, high)
+    return A.abs_max(F.zip_with(A.abs_max(tinted), A.abs_max(v), lambda c, x: c / 50.0 + x))
 
 
 def gain_kernel(points: np.ndarray, taps: int) -> np.ndarray:

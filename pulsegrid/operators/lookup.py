@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 
+from pulsegrid.functions.arrays import bind
 from pulsegrid.functions.keyed import gaussian
 
 
@@ -61,10 +62,9 @@ def diffuse(rows: DataFrame, levels: DataFrame, col: str, seed, step: str, key:
     ``levels`` is the fixed schedule table (tens to a thousand rows).
     """
     joined = rows.join(F.broadcast(levels.select("step", "alpha_cum")), "step")
-    keep, add = F.sqrt("alpha_cum"), F.sqrt(1 - F.col("alpha_cum"))
-    return joined.withColumn("__k", keep).withColumn("__a", add).withColumn(
-        col, F.transform(col, lambda x, i: F.col("__k") * x + F.col("__a") * gaussian(seed, step, *key, i))
-    ).drop("__k", "__a", "alpha_cum")
+    parts = F.struct(F.sqrt("alpha_cum").alias("keep"), F.sqrt(1 - F.col("alpha_cum")).alias("add"))
+    return joined.withColumn(col, bind(parts, lambda p: F.transform(
+        col, lambda x, i: p["keep"] * x + p["add"] * gaussian(seed, step, *key, i)))).drop("alpha_cum")
 
 
 def diffuse_at(rows: DataFrame, level: str, col: str, seed, step: str, key: Sequence[Column]) -> DataFrame:

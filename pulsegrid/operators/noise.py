@@ -30,7 +30,8 @@ def scaled_crop(noise: Column, length: Column, lo: float, hi: float, seed, part:
 
 def padded_add(x: Column, noise: Column) -> Column:
     """Sum over the samples of ``x``; a missing or shorter noise counts as silence."""
-    return F.transform(x, lambda v, i: v + F.coalesce(F.get(noise, i), F.lit(0.0)))
+    return A.bind(noise, lambda z: F.transform(
+        x, lambda v, i: v + F.coalesce(F.get(z, i), F.lit(0.0))))
 
 
 def pick_noise(rows: DataFrame, corpus: DataFrame, noise_id: str, parts: Sequence[str], seed,

@@ -21,13 +21,14 @@ def abs_max(blocks: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """
     stats = record_stats(blocks, [F.avg("value").alias("__m"), F.min("value").alias("__lo"),
                                   F.max("value").alias("__hi")], keys)
-    peak = F.greatest(F.col("__hi") - F.col("__m"), F.col("__m") - F.col("__lo"))
+    stats = stats.withColumn("__peak", F.greatest(F.col("__hi") - F.col("__m"), F.col("__m") - F.col("__lo")))
 
     def scale(x):
-        y = F.when(peak > 0, (x - F.col("__m")) / peak).otherwise(x - F.col("__m"))
-        return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), y))
+        # A constant record has no peak: its samples are all zero after centring.
+        return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (x - F.col("__m")) / F.col("__safe")))
 
-    return _scaled(blocks, stats, scale, keys)
+    safe = F.when(F.col("__peak") > 0, F.col("__peak")).otherwise(1.0)
+    return _scaled(blocks, stats.withColumn("__safe", safe), scale, keys)
 
 
 def min_max(blocks: DataFrame, lo: float = -1.0, hi: float = 1.0, keys: Sequence[str] = KEYS

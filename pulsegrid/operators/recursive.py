@@ -76,7 +76,7 @@ def run(blocks: DataFrame, sos: np.ndarray, block: int, keys: Sequence[str] = KE
     transition = state_responses(sos, block)[1]
     rest_state = D.steady_state(sos) if settled else np.zeros(size)
 
-    @pandas_udf("struct<y: array<double>, sends: array<array<double>>>")
+    @pandas_udf("struct<y: array<double>, sends: array<double>>")
     def from_rest(values: pd.Series, starts: pd.Series) -> pd.DataFrame:
         ys, sends = [None] * len(values), [None] * len(values)
         first = starts.to_numpy(bool)
@@ -93,20 +93,14 @@ def run(blocks: DataFrame, sos: np.ndarray, block: int, keys: Sequence[str] = KE
             for k in range(1, far):
                 shares[:, k] = shares[:, k - 1] @ transition
             for j, i in enumerate(rows):
-                ys[i], sends[i] = y[j], list(shares[j])
+                ys[i], sends[i] = y[j], shares[j].ravel()
         return pd.DataFrame({"y": ys, "sends": sends})
 
     @pandas_udf("array<double>")
     def add_state(y: pd.Series, states: pd.Series) -> pd.Series:
         longest = max((len(v) for v in y), default=0)
-        decay = state_responses(sos, longest)[0]
-        out = []
-        for v, s in zip(y, states):
-            if len(s):
-                more = np.sum([np.asarray(one, float) for one in s], axis=0) @ decay[:, :len(v)]
-                v = v + (more[::-1] if backward else more)
-            out.append(v)
-        return pd.Series(out)
+        more = np.stack(states.to_numpy()) @ state_responses(sos, longest)[0] if len(y) else []
+        return pd.Series([v + (m[:len(v)][::-1] if backward else m[:len(v)]) for v, m in zip(y, more)])
 
     marked = blocks if "starts" in blocks.columns else blocks.withColumn(
         "starts", F.col("block") == 0)
@@ -116,12 +110,14 @@ def run(blocks: DataFrame, sos: np.ndarray, block: int, keys: Sequence[str] = KE
     hop = F.lit(-1 if backward else 1)
     none_y, none_s = F.lit(None).cast("array<double>"), F.lit(None).cast("array<double>")
     own = F.struct(F.col("block").alias("block"), F.col("y").alias("y"), none_s.alias("s"))
-    sent = F.transform("sends", lambda s, i: F.struct(
-        (F.col("block") + hop * (i + 1)).cast("long").alias("block"), none_y.alias("y"), s.alias("s")))
+    sent = F.transform(F.sequence(F.lit(1), F.lit(far)), lambda i: F.struct(
+        (F.col("block") + hop * i).cast("long").alias("block"), none_y.alias("y"),
+        F.slice("sends", (i - 1) * size + 1, F.lit(size)).alias("s")))
     spread = ran.select(*keys, F.explode_outer(F.concat(F.array(own), sent)).alias("p")).select(*keys, "p.*")
-    met = spread.groupBy(*keys, "block").agg(F.first("y", ignorenulls=True).alias("y"),
-                                             F.collect_list("s").alias("s"))
-    return met.where(F.col("y").isNotNull()).select(*keys, "block", add_state("y", "s").alias("values"))
+    sums = [F.coalesce(F.sum(F.get("s", F.lit(k))), F.lit(0.0)).alias(f"__s{k}") for k in range(size)]
+    met = spread.groupBy(*keys, "block").agg(F.first("y", ignorenulls=True).alias("y"), *sums)
+    states = F.array(*[F.col(f"__s{k}") for k in range(size)])
+    return met.where(F.col("y").isNotNull()).select(*keys, "block", add_state("y", states).alias("values"))
 
 
 def low_pass(blocks, block, fs, cutoff, order=2, keys=KEYS):

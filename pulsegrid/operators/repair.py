@@ -11,6 +11,7 @@ from pyspark.sql.functions import pandas_udf
 
 from pulsegrid.operators.blocks import KEYS
 from pulsegrid.operators.ranking import carry_ends, rank_median, split_rank
+from pulsegrid.session import cut_lineage
 
 FLOOR = 1e-4  # value a removed spike is set to
 
@@ -152,7 +153,8 @@ def remove_spikes(windows: DataFrame, win: int, threshold: float = 3.0, rounds:
     peaks = window_peaks(full, keys).withColumn("__neg", -F.col("maa"))
     # Sixteen buckets per octave, loudest first.
     loud = F.when(F.col("maa") > 0, -F.floor(F.log2("maa") * 16)).otherwise(F.lit(100000)).cast("long")
-    ranked = split_rank(peaks, keys, ["__neg", "block"], loud, "__rank", size="__n")
+    # One row per window, read three times below: written once.
+    ranked = cut_lineage(split_rank(peaks, keys, ["__neg", "block"], loud, "__rank", size="__n"), "peaks")
     half = F.col("__n") / 2
     near = F.col("__rank").between(F.floor(half) - rounds - 1, F.floor(half) + rounds + 2)
     loudest = F.col("__rank") <= rounds

@@ -118,7 +118,7 @@ def spectra_table(rows: DataFrame, keys, values: str, n_fft: int, hop: int, wind
 
 def median_filter(v: Column, size: Column) -> Column:
     """Running median over ``size`` neighbours with mirrored ends; upper middle for even sizes."""
-    def run(c):
+    def run(c, size):
         n = F.size(c)
         half = F.floor(size / 2).cast("int")
 
@@ -128,7 +128,7 @@ def median_filter(v: Column, size: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(F.array_sort(F.transform(
             F.sequence(-half, size - half - 1), lambda o: mirrored(i + o))), half))
 
-    return A.bind(v, run)
+    return A.bind(F.struct(v.alias("c"), size.alias("n")), lambda b: run(b.c, b.n))
 
 
 def soft_mask(x: Column, ref: Column, split_zeros: Column) -> Column:

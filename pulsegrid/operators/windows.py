@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pulsegrid.functions.arrays import bind
 from pulsegrid.functions.keyed import pick
 from pulsegrid.operators.blocks import KEYS, attach
 
@@ -116,7 +117,10 @@ def pad_batch(rows: DataFrame, batch: str, values: str) -> DataFrame:
 
 def fade(values: Column, n: int = 128) -> Column:
     """Linear fade-in and fade-out over ``n`` samples; signals under ``2n`` stay as they are."""
-    size = F.size(values)
-    gain = lambda i: F.least(F.lit(1.0), i / F.lit(float(n - 1)),
-                             (size - 1 - i) / F.lit(float(n - 1)))
-    return F.when(size < 2 * n, values).otherwise(F.transform(values, lambda x, i: x * gain(i)))
+    top = F.lit(float(n - 1))
+
+    def faded(v):
+        gain = lambda i: F.least(F.lit(1.0), i / top, (F.size(v) - 1 - i) / top)
+        return F.when(F.size(v) < 2 * n, v).otherwise(F.transform(v, lambda x, i: x * gain(i)))
+
+    return bind(values, faded)

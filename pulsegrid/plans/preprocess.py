@@ -11,6 +11,7 @@ from pulsegrid.operators.kernels import four_bands, resample
 from pulsegrid.operators.normalise import abs_max
 from pulsegrid.operators.recursive import band
 from pulsegrid.operators.repair import fill_gaps, remove_spikes
+from pulsegrid.session import cut_lineage
 
 # Pass bands in Hz (see filter_design.band_sections for the cutoff convention).
 BANDS = {"pcg": (25.0, 450.0), "ecg": (2.0, 40.0)}
@@ -23,17 +24,23 @@ def _filled(samples, block, fs_in, fs_out, keys):
     return resample(fill_gaps(to_blocks(samples, block, keys), block, keys), block, fs_in, fs_out, keys)
 
 
+def _despiked(x, block, fs_out, keys):
+    win = round(fs_out / 2)
+    if win != block:
+        x = to_blocks(to_samples(x, block, keys), win, keys)
+    x = remove_spikes(x, win, keys=keys).drop("unresolved")
+    return x if win == block else to_blocks(to_samples(x, win, keys), block, keys)
+
+
 def pcg(samples: DataFrame, block: int, fs_in: int, fs_out: int, keys: Sequence[str] = KEYS,
         despike: bool = True, band_hz: tuple[float, float] = BANDS["pcg"]) -> DataFrame:
-    """Heart-sound chain on long-form samples; returns blocks at ``fs_out``."""
+    """Heart-sound chain on long-form samples; returns blocks at ``fs_out``.
+
+    The resampled signal is read several times by the spike removal, so it is written once.
+    """
     x = _filled(samples, block, fs_in, fs_out, keys)
     if despike:
-        win = round(fs_out / 2)
-        if win != block:
-            x = to_blocks(to_samples(x, block, keys), win, keys)
-        x = remove_spikes(x, win, keys=keys).drop("unresolved")
-        if win != block:
-            x = to_blocks(to_samples(x, win, keys), block, keys)
+        x = _despiked(cut_lineage(x, "resampled"), block, fs_out, keys)
     return abs_max(band(x, block, fs_out, *band_hz, keys=keys), keys)
 
 
@@ -46,10 +53,12 @@ def ecg(samples: DataFrame, block: int, fs_in: int, fs_out: int, keys: Sequence[
 
 def by_kind(samples: DataFrame, block: int, fs_in: int, fs_out: int, keys: Sequence[str] = KEYS
             ) -> DataFrame:
-    """Each channel through the chain of its kind, by channel name."""
+    """Each channel through the chain of its kind, by channel name; shared steps run once."""
+    whole = cut_lineage(_filled(samples, block, fs_in, fs_out, keys), "resampled")
     is_ecg = F.col("channel").isin(*ECG_CHANNELS)
-    return ecg(samples.where(is_ecg), block, fs_in, fs_out, keys).unionByName(
-        pcg(samples.where(~is_ecg), block, fs_in, fs_out, keys))
+    banded = band(whole.where(is_ecg), block, fs_out, *BANDS["ecg"], keys=keys).unionByName(
+        band(_despiked(whole.where(~is_ecg), block, fs_out, keys), block, fs_out, *BANDS["pcg"], keys=keys))
+    return abs_max(banded, keys)
 
 
 def bands4(samples: DataFrame, block: int, fs: float, keys: Sequence[str] = KEYS) -> DataFrame:
