@@ -153,7 +153,7 @@ def rebuild(bodies: DataFrame, target: int, fade: int, keys: Sequence[str] = KEY
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}"
                        for f in bodies.select(*keys).schema.fields)
 
-    def join(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def join(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [np.asarray(v, float) for v in pdf.sort_values("pos")["values"]]
         return pd.DataFrame([[*key, chain(parts, target, fade)]], columns=[*keys, "values"])
 

@@ -171,7 +171,7 @@ def remove_spikes(windows: DataFrame, win: int, threshold: float = 3.0, rounds:
     fields = full.select(*keys, "block").schema
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
 
-    def settle(key, pdf):
+    def settle(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out = _settle(pdf, threshold, rounds)
         for name, value in zip(keys, key):
             out[name] = value

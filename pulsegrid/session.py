@@ -37,12 +37,13 @@ def scratch_root(spark: SparkSession) -> str:
     Only a local session without the setting gets a folder of its own; elsewhere a missing
     setting is an error, because a machine-local folder would be lost with its machine.
     """
-    root = spark.conf.get(CHECKPOINT_SETTING, None)
+    context = spark.sparkContext
+    root = spark.conf.get(CHECKPOINT_SETTING, None) or getattr(context, "_pulsegrid_scratch", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError(f"{CHECKPOINT_SETTING} must name a shared folder on a cluster")
-        root = tempfile.mkdtemp(prefix="pulsegrid-")
-        spark.conf.set(CHECKPOINT_SETTING, root)
+        root = context._pulsegrid_scratch = tempfile.mkdtemp(prefix="pulsegrid-")
+        context.setCheckpointDir(root)
     return root
 
 

@@ -74,9 +74,8 @@ def ingest(spark: SparkSession, path: str, out: str, block: int = 4096) -> DataF
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
     """Catalogue of the ``.hea`` headers below ``path``."""
-    files = (spark.read.option("wholetext", True).option("pathGlobFilter", "*.hea")
-             .option("recursiveFileLookup", True).text(path).select(
-                 F.input_file_name().alias("path"), "value"))
+    files = (spark.read.option("pathGlobFilter", "*.hea").option("recursiveFileLookup", True)
+             .text(path, wholetext=True).select(F.input_file_name().alias("path"), "value"))
     return parse_headers(files)
 
 
