@@ -17,7 +17,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 KEYS = ("record_id", "channel")
-SALTS = 256
 
 
 def to_blocks(samples: DataFrame, block: int, keys: Sequence[str] = KEYS, value: str = "value"
@@ -75,15 +74,50 @@ def record_stats(blocks: DataFrame, aggs: Sequence[Column], keys: Sequence[str]
     return long.groupBy(*keys).agg(*aggs, (F.max("block") + 1).alias("__blocks"))
 
 
-def attach(blocks: DataFrame, stats: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Join per-record figures to blocks on a salted key.
+def attach(blocks: DataFrame, stats: DataFrame, keys: Sequence[str] = KEYS, fan: int = 4096
+           ) -> DataFrame:
+    """Join per-record figures to every block of the record.
 
-    A record with many blocks spreads over up to 256 join keys; a short record needs one row.
+    The figures are repeated once per block, so the join key ``(keys, block)`` is unique and is the
+    key that block tables are already partitioned by: the samples stay where they are and only the
+    small figures move. A record with very many blocks is expanded in two steps, spread in between.
     """
-    salted = stats.withColumn("__salt", F.explode(F.sequence(
-        F.lit(0), F.least(F.lit(SALTS), F.col("__blocks")).cast("int") - 1))).drop("__blocks")
-    return (blocks.withColumn("__salt", F.expr(f"cast(block % {SALTS} AS int)"))
-            .join(salted, [*keys, "__salt"]).drop("__salt"))
+    parts = (stats.withColumn("__part", F.explode(F.sequence(
+                F.lit(0), F.floor((F.col("__blocks") - 1) / fan).cast("int"))))
+             .repartition(*keys, "__part"))
+    first = F.col("__part").cast("long") * fan
+    each = parts.withColumn("block", F.explode(F.sequence(
+        first, F.least(first + fan, F.col("__blocks")) - 1))).drop("__part", "__blocks")
+    return blocks.join(each, [*keys, "block"])
+
+
+def recut(pieces: DataFrame, first: str, values: str, block: int, keys: Sequence[str] = KEYS
+          ) -> DataFrame:
+    """Pieces that start at sample ``first`` to blocks of ``block`` samples; slices move, not rows."""
+    n = F.size(values)
+    cut = (pieces.where(n > 0).withColumn("block", F.explode(F.sequence(
+        F.floor(F.col(first) / block), F.floor((F.col(first) + n - 1) / block)))))
+    begin = F.greatest(F.col(first), F.col("block") * block)
+    end = F.least(F.col(first) + n, (F.col("block") + 1) * block)
+    piece = F.struct(begin.alias("b"), F.slice(
+        values, (begin - F.col(first) + 1).cast("int"), (end - begin).cast("int")).alias("v"))
+    return cut.select(*keys, "block", piece.alias("p")).groupBy(*keys, "block").agg(
+        F.flatten(F.array_sort(F.collect_list("p")).v).alias("values"))
+
+
+def resize(blocks: DataFrame, old: int, new: int, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The same signals in blocks of another length."""
+    if old == new:
+        return blocks
+    return recut(blocks.select(*keys, (F.col("block") * old).alias("__first"), "values"),
+                 "__first", "values", new, keys)
+
+
+def salted_join(rows: DataFrame, side: DataFrame, on: str, spread: Column, salts: int = 16) -> DataFrame:
+    """Inner join on ``on`` with a small side of unique keys; a key's rows spread over ``salts`` tasks."""
+    copies = side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return (rows.withColumn("__salt", F.pmod(spread, F.lit(salts)).cast("int"))
+            .join(copies, [on, "__salt"]).drop("__salt"))
 
 
 def map_values(blocks: DataFrame, fn, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pulsegrid.functions.keyed import digest, pick, unit
 from pulsegrid.functions.numeric import half_even
-from pulsegrid.operators.blocks import KEYS
+from pulsegrid.operators.blocks import KEYS, salted_join
 from pulsegrid.operators.ranking import carry_ends, hash_bucket, split_cumsum, split_rank
 
 CYCLE_SCHEMA = "record_id STRING, segments ARRAY<ARRAY<BIGINT>>, last_index BIGINT, fs DOUBLE"
@@ -39,7 +39,7 @@ def split_cycles(cuts: DataFrame, lengths: DataFrame, span: int = 1_000_000) ->
     Cut points are grouped in slices of ``span`` samples: the next cut of a slice's last one is
     carried over from the following slice.
     """
-    inside = (cuts.join(lengths, "record_id").where((F.col("cut") > 0) & (F.col("cut") < F.col("n")))
+    inside = (salted_join(cuts, lengths, "record_id", F.col("cut")).where((F.col("cut") > 0) & (F.col("cut") < F.col("n")))
               .select("record_id", "cut").distinct()
               .withColumn("slice", F.expr(f"cut div {span}")))
     w = Window.partitionBy("record_id", "slice").orderBy("cut")

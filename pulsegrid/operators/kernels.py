@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from pulsegrid.functions import filter_design as D
-from pulsegrid.operators.blocks import KEYS, to_blocks, with_halo
+from pulsegrid.operators.blocks import KEYS, recut, with_halo
 
 # How a record continues beyond its ends.
 EDGES = {"zero": {"mode": "constant"}, "reflect": {"mode": "reflect"},
@@ -95,9 +95,8 @@ def resample(blocks: DataFrame, block: int, fs_in: int, fs_out: int, keys: Seque
 
     made = with_halo(blocks, reach, reach, keys).select(
         *keys, apply("block", "before", "values", "after").alias("r"))
-    long = made.select(*keys, F.col("r.first").alias("__f"),
-                       F.posexplode_outer("r.values").alias("__p", "value"))
-    return to_blocks(long.withColumn("idx", F.col("__f") + F.col("__p")), block, keys)
+    return recut(made.select(*keys, F.col("r.first").alias("__f"), F.col("r.values").alias("__v")),
+                 "__f", "__v", block, keys)
 
 
 def hilbert_kernel(taps: int) -> np.ndarray:

@@ -6,11 +6,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from pulsegrid.functions.arrays import bind
 from pulsegrid.functions.keyed import gaussian
+from pulsegrid.operators.ranking import split_cumsum
 
 
 def linear_betas(start: float, end: float, steps: int) -> np.ndarray:
@@ -24,10 +25,14 @@ def schedule_table(spark: SparkSession, betas: Sequence[float]) -> DataFrame:
 
 
 def running_product(rates: DataFrame, keys: Sequence[str], order: str, rate: str = "beta",
-                    out: str = "alpha_cum") -> DataFrame:
-    """Running product of ``1 - rate`` per key, as the exponential of a running sum of logs."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rates.withColumn(out, F.exp(F.sum(F.log(F.lit(1.0) - F.col(rate))).over(w)))
+                    out: str = "alpha_cum", span: int = 100_000) -> DataFrame:
+    """Running product of ``1 - rate`` per key, as the exponential of a running sum of logs.
+
+    ``order`` is an integer column; a key is summed in slices of ``span`` order values.
+    """
+    logs = rates.withColumn("__log", F.log(F.lit(1.0) - F.col(rate)))
+    return split_cumsum(logs, keys, order, "__log", span, "__before").withColumn(
+        out, F.exp(F.col("__before") + F.col("__log"))).drop("__log", "__before")
 
 
 def noise_levels(schedule: DataFrame) -> DataFrame:

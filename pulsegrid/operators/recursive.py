@@ -110,7 +110,10 @@ def run(blocks: DataFrame, sos: np.ndarray, block: int, keys: Sequence[str] = KE
     hop = F.lit(-1 if backward else 1)
     none_y, none_s = F.lit(None).cast("array<double>"), F.lit(None).cast("array<double>")
     own = F.struct(F.col("block").alias("block"), F.col("y").alias("y"), none_s.alias("s"))
-    sent = F.transform(F.sequence(F.lit(1), F.lit(far)), lambda i: F.struct(
+    # A block that is not full ends its record, and block 0 starts it: nothing lies beyond them.
+    ahead = F.col("block") if backward else F.when(F.size("y") < block, 0).otherwise(far)
+    hops = F.slice(F.sequence(F.lit(1), F.lit(far)), 1, F.least(F.lit(far), ahead).cast("int"))
+    sent = F.transform(hops, lambda i: F.struct(
         (F.col("block") + hop * i).cast("long").alias("block"), none_y.alias("y"),
         F.slice("sends", (i - 1) * size + 1, F.lit(size)).alias("s")))
     spread = ran.select(*keys, F.explode_outer(F.concat(F.array(own), sent)).alias("p")).select(*keys, "p.*")

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from pulsegrid.operators.blocks import KEYS, to_blocks, to_samples
+from pulsegrid.operators.blocks import KEYS, resize, to_blocks
 from pulsegrid.operators.kernels import four_bands, resample
 from pulsegrid.operators.normalise import abs_max
 from pulsegrid.operators.recursive import band
@@ -26,10 +26,8 @@ def _filled(samples, block, fs_in, fs_out, keys):
 
 def _despiked(x, block, fs_out, keys):
     win = round(fs_out / 2)
-    if win != block:
-        x = to_blocks(to_samples(x, block, keys), win, keys)
-    x = remove_spikes(x, win, keys=keys).drop("unresolved")
-    return x if win == block else to_blocks(to_samples(x, win, keys), block, keys)
+    flat = remove_spikes(resize(x, block, win, keys), win, keys=keys).drop("unresolved")
+    return resize(flat, win, block, keys)
 
 
 def pcg(samples: DataFrame, block: int, fs_in: int, fs_out: int, keys: Sequence[str] = KEYS,

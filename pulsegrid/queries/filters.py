@@ -92,7 +92,7 @@ def resample_sql(name: str, src: str, fs_in: int, fs_out: int) -> str:
 
 
 SMOOTH = np.array([1.0, 2, 3, 4, 5, 4, 3, 2, 1]) / 25
-CHAIN_BLOCK = 128  # the low ECG edge has a long memory; shorter blocks would only add traffic
+CHAIN_BLOCK = 256  # the low ECG edge has a long memory; shorter blocks would only add traffic
 RATE = 1000.0  # nominal sampling rate of the stand-in records
 
 
@@ -240,6 +240,7 @@ def running_products(spark, d):
     rows = table(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         (F.col("l_discount") * 0.777).alias("l_discount"),
-        F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("ord"))
-    out = L.running_product(rows, ["l_orderkey"], "ord", "l_discount", "kept")
+        (F.col("l_linenumber").cast("long") * 100000000000000 + F.col("l_partkey") * 1000000
+         + F.col("l_suppkey")).alias("ord"))
+    out = L.running_product(rows, ["l_orderkey"], "ord", "l_discount", "kept", span=100000000000000)
     return out.withColumn("kept", tidy(F.col("kept"))).drop("ord", "l_discount")

@@ -27,8 +27,8 @@ def wav_files(spark, d):
     head = F.concat(text("RIFF"), lit(36 + 128, 4), text("WAVEfmt "), lit(16, 4), lit(1, 2), lit(2, 2),
                     lit(4125, 4), lit(4125 * 4, 4), lit(4, 2), lit(16, 2), text("data"), lit(128, 4))
     pcm = lambda x: _le(F.round(A.clip(x) * 32767), 2)
-    body = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda t: F.concat(
-        pcm(F.get("x", t)), pcm(F.get("x", t + 32)))), "")
+    body = A.bind(F.col("x"), lambda x: F.array_join(F.transform(
+        F.sequence(F.lit(0), F.lit(31)), lambda t: F.concat(pcm(F.get(x, t)), pcm(F.get(x, t + 32)))), ""))
     return vectors(spark, d).select(
         F.concat(F.lit("/rec/v"), F.col("vec_id").cast("string"), F.lit(".wav")).alias("path"),
         F.unhex(F.concat(head, body)).alias("content"))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SAMPLE_SCHEMA = "path string, fs int, channel int, block long, values array<double>"
+COLUMNS = ["path", "fs", "channel", "block", "values"]
+FLUSH_SAMPLES = 1_000_000  # decoded samples held before they are handed on
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*.wav") -> DataFrame:
@@ -49,17 +51,21 @@ def decode(files: DataFrame, block: int = 4096) -> DataFrame:
     """``(path, content)`` to blocks per channel; unreadable files give no rows."""
 
     def run(batches):
+        rows, held = [], 0
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
                 try:
                     fs, x = _decode(bytes(content))
                 except (ValueError, TypeError, struct.error):
                     continue
-                for c in range(x.shape[1]):
-                    starts = range(0, len(x), block)
-                    yield pd.DataFrame({"path": path, "fs": fs, "channel": c,
-                                        "block": list(range(len(starts))),
-                                        "values": [x[s:s + block, c] for s in starts]})
+                rows += [(path, fs, c, s // block, x[s:s + block, c])
+                         for c in range(x.shape[1]) for s in range(0, len(x), block)]
+                held += x.size
+                if held >= FLUSH_SAMPLES:
+                    yield pd.DataFrame(rows, columns=COLUMNS)
+                    rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=COLUMNS)
 
     return files.select("path", "content").mapInPandas(run, SAMPLE_SCHEMA)
 
