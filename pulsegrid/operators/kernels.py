@@ -74,7 +74,9 @@ def resample(blocks: DataFrame, block: int, fs_in: int, fs_out: int, keys: Seque
     h = np.array(taps)
     half = len(h) // 2
     reach = half // up + 1
-    offsets = np.arange(-reach, reach + 1)
+    # Weights per phase of the output position between two input samples.
+    lag = np.arange(up)[:, None] - np.arange(-reach, reach + 1)[None, :] * up + half
+    weights = np.where((lag >= 0) & (lag < len(h)), h[np.clip(lag, 0, len(h) - 1)], 0.0)
 
     @pandas_udf("struct<first: bigint, values: array<double>>")
     def apply(number: pd.Series, before: pd.Series, values: pd.Series, after: pd.Series
@@ -85,12 +87,10 @@ def resample(blocks: DataFrame, block: int, fs_in: int, fs_out: int, keys: Seque
             base = n * block
             first = -(-base * up // down)
             m = np.arange(first, -(-(base + len(v)) * up // down))
-            at = m * down // up
-            lag = (m * down - at * up)[:, None] - offsets[None, :] * up + half
-            inside = (lag >= 0) & (lag < len(h))
-            weights = np.where(inside, h[np.clip(lag, 0, len(h) - 1)], 0.0)
+            at, phase = np.divmod(m * down, up)
+            frames = np.lib.stride_tricks.sliding_window_view(x, 2 * reach + 1)[at - base]
             firsts.append(first)
-            outs.append((x[(at - base)[:, None] + reach + offsets[None, :]] * weights).sum(axis=1))
+            outs.append((frames * weights[phase]).sum(axis=1))
         return pd.DataFrame({"first": firsts, "values": outs})
 
     made = with_halo(blocks, reach, reach, keys).select(

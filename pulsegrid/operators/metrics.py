@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsegrid.functions.numeric import ratio
 
+# Names of the reported metrics.
 METRICS = ("accuracy", "uar", "sensitivity", "specificity", "npv", "precision", "f1", "mcc")
 
 

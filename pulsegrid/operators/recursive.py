@@ -58,11 +58,6 @@ def reach(sos: np.ndarray, block: int) -> int:
     return n
 
 
-def _by_length(values) -> list[tuple[int, np.ndarray]]:
-    sizes = np.array([len(v) for v in values])
-    return [(n, np.flatnonzero(sizes == n)) for n in np.unique(sizes)]
-
-
 def run(blocks: DataFrame, sos: np.ndarray, block: int, keys: Sequence[str] = KEYS,
         backward: bool = False, settled: bool = False) -> DataFrame:
     """Filter along the record (or against it when ``backward``), from rest.
@@ -78,22 +73,22 @@ def run(blocks: DataFrame, sos: np.ndarray, block: int, keys: Sequence[str] = KE
 
     @pandas_udf("struct<y: array<double>, sends: array<double>>")
     def from_rest(values: pd.Series, starts: pd.Series) -> pd.DataFrame:
-        ys, sends = [None] * len(values), [None] * len(values)
         first = starts.to_numpy(bool)
-        for n, rows in _by_length(values):
-            x = np.stack([np.asarray(values.iloc[i], float) for i in rows])
-            if backward:
-                x = x[:, ::-1]
-            begin = np.where(first[rows], x[:, 0], 0.0)[:, None] * rest_state[None, :]
-            y, end = run_sections(x, sos, begin)
-            if backward:
-                y = y[:, ::-1]
-            shares = np.empty((len(rows), far, size))
-            shares[:, 0] = end
-            for k in range(1, far):
-                shares[:, k] = shares[:, k - 1] @ transition
-            for j, i in enumerate(rows):
-                ys[i], sends[i] = y[j], shares[j].ravel()
+        rows = [np.asarray(v, float)[::-1] if backward else np.asarray(v, float) for v in values]
+        width = max((len(x) for x in rows), default=0)
+        lead = np.array([x[0] if settled and f else 0.0 for x, f in zip(rows, first)])
+        # Shorter rows are padded in front with what their start state stands for (silence, or the
+        # constant first value), which changes neither output nor end state: one run for all rows.
+        grid = np.repeat(lead[:, None], width, axis=1)
+        for i, x in enumerate(rows):
+            grid[i, width - len(x):] = x
+        out, end = run_sections(grid, sos, lead[:, None] * rest_state[None, :])
+        shares = np.empty((len(rows), far, size))
+        shares[:, 0] = end
+        for k in range(1, far):
+            shares[:, k] = shares[:, k - 1] @ transition
+        ys = [y[width - len(x):][::-1] if backward else y[width - len(x):] for y, x in zip(out, rows)]
+        sends = list(shares.reshape(len(rows), -1))
         return pd.DataFrame({"y": ys, "sends": sends})
 
     @pandas_udf("array<double>")

@@ -127,7 +127,7 @@ def _settle(pdf: pd.DataFrame, threshold: float, rounds: int) -> pd.DataFrame:
         w = int(np.argmax(maa))
         touched[w] = True
         if not _flatten_once(wins[w]):
-            stuck = True  # the reference loop would spin here until its last round
+            stuck = True  # further rounds would pick the same window again and change nothing
             break
         maa[w] = np.abs(wins[w]).max()
     else:

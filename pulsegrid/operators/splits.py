@@ -11,6 +11,7 @@ from pulsegrid.functions.keyed import digest
 from pulsegrid.functions.numeric import half_even
 from pulsegrid.operators.ranking import hash_bucket, split_rank
 
+# Accepted label column names, in order of preference.
 LABEL_COLUMNS = ("abnormality", "label", "diagnosis")
 
 

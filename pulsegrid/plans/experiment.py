@@ -17,16 +17,17 @@ from pulsegrid.sources.tables import proportion_sample
 
 @dataclass(frozen=True)
 class Regime:
-    """Run parameters. The reference regime halves the epochs and augments the validation set."""
+    """Run parameters. The halved regime trains half the epochs and augments
+    the validation set with half the copies."""
 
     epochs: int = 20
     augment_num: int = 15
     augment: bool = True
-    reference: bool = False
+    halved: bool = False
 
     @property
     def train_epochs(self) -> int:
-        return max(1, self.epochs // 2) if self.reference else self.epochs
+        return max(1, self.epochs // 2) if self.halved else self.epochs
 
     @property
     def train_copies(self) -> int:
@@ -34,7 +35,7 @@ class Regime:
 
     @property
     def valid_copies(self) -> int:
-        return self.train_copies // 2 if self.reference else 0
+        return self.train_copies // 2 if self.halved else 0
 
 
 def copies(rows: DataFrame, n: int, row_id: str, augment) -> DataFrame:
@@ -69,7 +70,7 @@ def run_fold(rows: DataFrame, layers: Sequence[int], regime: Regime, row_id: str
     report = M.patient_report(model, M.as_vectors(part("test")), order=row_id)
     return _log(report, {"fold": fold, "epochs": regime.epochs, "train_epochs": regime.train_epochs,
                          "augment": regime.augment, "augment_num": regime.train_copies,
-                         "reference": regime.reference}, results)
+                         "halved": regime.halved}, results)
 
 
 def run_holdout(rows: DataFrame, holdout: str, layers: Sequence[int], regime: Regime, row_id: str,

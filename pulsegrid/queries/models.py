@@ -87,7 +87,7 @@ def multichannel_experiment(spark, d):
 
 
 @query("M8")
-def reference_regime(spark, d):
-    regime = E.Regime(epochs=3, augment_num=2, reference=True)
+def halved_regime(spark, d):
+    regime = E.Regime(epochs=3, augment_num=2, halved=True)
     record = E.run_fold(features(spark, d), [64, 8, 2], regime, "vec_id", noisy)
     return leaves(record, "epochs", "train_epochs", "augment_num")

@@ -184,9 +184,9 @@ def test_contrastive_prefers_separated_classes(spark):
 
 
 def test_regime():
-    assert Regime(epochs=20, augment_num=15, reference=True).train_epochs == 10
-    assert Regime(epochs=1, reference=True).train_epochs == 1
-    assert Regime(augment_num=15, reference=True).valid_copies == 7
+    assert Regime(epochs=20, augment_num=15, halved=True).train_epochs == 10
+    assert Regime(epochs=1, halved=True).train_epochs == 1
+    assert Regime(augment_num=15, halved=True).valid_copies == 7
     assert Regime(augment_num=15).valid_copies == 0 and Regime(augment=False).train_copies == 0
 
 
