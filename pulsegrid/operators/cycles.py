@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.functions import pandas_udf
 
 from pulsegrid.functions.keyed import digest, pick, unit
 from pulsegrid.functions.numeric import half_even
@@ -149,13 +150,12 @@ def rebuild(bodies: DataFrame, target: int, fade: int, keys: Sequence[str] = KEY
     ``bodies`` holds the needed cycles only, each cut to a bounded length, so a group is a little
     over ``target`` samples whatever the record's length.
     """
-    keys = list(keys)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}"
-                       for f in bodies.select(*keys).schema.fields)
-
-    def join(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [np.asarray(v, float) for v in pdf.sort_values("pos")["values"]]
-        return pd.DataFrame([[*key, chain(parts, target, fade)]], columns=[*keys, "values"])
-
-    return bodies.select(*keys, "pos", "values").groupBy(*keys).applyInPandas(
-        join, f"{schema}, values array<double>")
+    @pandas_udf("array<double>")
+    def join(parts: pd.Series) -> pd.Series:
+        return pd.Series([chain([np.asarray(v, float) for v in p], target, fade) for p in parts])
+
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "values")))
+    # Marked so that the optimizer does not copy the call into every use of its result.
+    once = join.asNondeterministic()
+    return bodies.groupBy(*keys).agg(ordered["values"].alias("__parts")).select(
+        *keys, once("__parts").alias("values"))

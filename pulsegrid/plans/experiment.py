@@ -40,10 +40,10 @@ class Regime:
 
 def copies(rows: DataFrame, n: int, row_id: str, augment) -> DataFrame:
     """Rows with ``n`` class-balanced copies each, passed through ``augment`` (DataFrame -> DataFrame)."""
+    originals = rows.withColumn("copy_no", F.lit(0))
     if n == 0 or augment is None:
-        return rows.withColumn("copy_no", F.lit(0))
-    every = with_copies(rows, n, row_id)
-    return every.where("copy_no = 0").unionByName(augment(every.where("copy_no > 0")))
+        return originals
+    return originals.unionByName(augment(with_copies(rows, n, row_id).where("copy_no > 0")))
 
 
 def _nest(report: DataFrame) -> DataFrame:

@@ -34,12 +34,16 @@ def files(spark, d):
     return Y.read_cycles(spark, path)
 
 
-def signals(spark, d):
-    return K.to_blocks(samples(spark, d).withColumn("channel", F.lit("pcg")), BLOCK)
+def indexed(spark, d):
+    """The stand-in records, numbered once for the several uses below."""
+    return cut_lineage(samples(spark, d, "event_type"), "samples")
 
 
-def found(spark, d):
-    rows = samples(spark, d, "event_type")
+def signals(rows):
+    return K.to_blocks(rows.withColumn("channel", F.lit("pcg")), BLOCK)
+
+
+def found(rows):
     cuts = rows.where((F.col("event_type") == "click") & (F.col("idx") > 0)).select(
         "record_id", F.col("idx").alias("cut"))
     lengths = rows.groupBy("record_id").agg(F.count(F.lit(1)).alias("n"))
@@ -55,21 +59,21 @@ def cycle_cut_points(spark, d):
     SELECT record_id, n, count(cut) AS n_cuts FROM len LEFT JOIN
       (SELECT * FROM cuts WHERE cut > 40) USING (record_id) GROUP BY ALL""")
 def records_with_cycles(spark, d):
-    cuts, lengths, _ = found(spark, d)
+    cuts, lengths, _ = found(indexed(spark, d))
     per = cuts.where(F.col("cut") > 40).groupBy("record_id").agg(F.count(F.lit(1)).alias("n_cuts"))
     return lengths.join(per, "record_id", "left").withColumn("n_cuts", F.coalesce("n_cuts", F.lit(0)))
 
 
 @query("W8", "T20", sql=f"WITH {CUT_SQL} SELECT record_id, cycle_no, start_idx, end_idx, cycles FROM cycles")
 def cycle_intervals(spark, d):
-    return found(spark, d)[2]
+    return found(indexed(spark, d))[2]
 
 
 @query("T20", "W8", sql=f"""WITH {CUT_SQL}
     SELECT record_id, n - coalesce(sum(end_idx - start_idx), 0)::bigint AS dropped
     FROM len LEFT JOIN cycles USING (record_id) GROUP BY record_id, n""")
 def dropped_samples(spark, d):
-    _, lengths, cycles = found(spark, d)
+    _, lengths, cycles = found(indexed(spark, d))
     return Y.dropped_samples(cycles, lengths)
 
 
@@ -77,7 +81,8 @@ def dropped_samples(spark, d):
     SELECT record_id, cycle_no, count(*) AS n, round(sum(x), 6) + 0.0 AS mass
     FROM cycles JOIN sig USING (record_id) WHERE idx >= start_idx AND idx < end_idx GROUP BY ALL""")
 def cycle_samples(spark, d):
-    bodies = Y.cycle_bodies(found(spark, d)[2], signals(spark, d), BLOCK, 1000)
+    rows = indexed(spark, d)
+    bodies = Y.cycle_bodies(found(rows)[2], signals(rows), BLOCK, 1000)
     return bodies.select("record_id", "cycle_no", F.size("values").cast("long").alias("n"),
                          tidy(A.total(F.col("values"))).alias("mass"))
 
@@ -97,22 +102,24 @@ _SIZES = [f"(floor({u_sql(f'''{chr(39)}6:size:{j}:{chr(39)} || record_id''')} *
         ELSE row_number() OVER (PARTITION BY record_id ORDER BY md5('6:group:' || record_id || ':' || grp), cycle_no) - 1
         END AS pos FROM g""")
 def rearranged_cycles(spark, d):
-    return Y.rearrange(found(spark, d)[2], 6, 0.4).select("record_id", "cycle_no", "pos")
+    return Y.rearrange(found(indexed(spark, d))[2], 6, 0.4).select("record_id", "cycle_no", "pos")
 
 
 @query("W10")
 def rebuilt_signals(spark, d):
-    order = cut_lineage(Y.rearrange(found(spark, d)[2], 6, 0.4), "order")
-    bodies = Y.cycle_bodies(Y.needed_cycles(order, 48, 2), signals(spark, d), BLOCK, 1000)
+    rows = indexed(spark, d)
+    order = cut_lineage(Y.rearrange(found(rows)[2], 6, 0.4), "order")
+    bodies = Y.cycle_bodies(Y.needed_cycles(order, 48, 2), signals(rows), BLOCK, 1000)
     out = Y.rebuild(bodies, 48, 2)
     return out.select("record_id", F.size("values").alias("n"), tidy(A.total(F.col("values"))).alias("mass"))
 
 
 @query("F16")
 def generator_items(spark, d):
-    cuts, _, _ = found(spark, d)
+    rows = indexed(spark, d)
+    cuts, _, _ = found(rows)
     mel = MelSpec(fs=1000, n_fft=16, hop=4, n_mels=4)
-    out = P.items(signals(spark, d), BLOCK, cuts, mel, frames=12, seed=6, fade_samples=2, ramp=8)
+    out = P.items(signals(rows), BLOCK, cuts, mel, frames=12, seed=6, fade_samples=2, ramp=8)
     return out.select("record_id", "channel", "rebuilt", F.size("values").alias("n"), F.size("mel").alias("frames"),
                       tidy(A.total(F.col("values"))).alias("mass"), tidy(A.total(F.flatten("mel"))).alias("mel_mass"),
                       tidy(A.total(F.col("chirp"))).alias("chirp_mass"))

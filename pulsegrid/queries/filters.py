@@ -93,6 +93,7 @@ def resample_sql(name: str, src: str, fs_in: int, fs_out: int) -> str:
 
 SMOOTH = np.array([1.0, 2, 3, 4, 5, 4, 3, 2, 1]) / 25
 CHAIN_BLOCK = 256  # the low ECG edge has a long memory; shorter blocks would only add traffic
+RECURSIVE_PLACES = 4  # recursions amplify the rounding of sums taken in another order
 RATE = 1000.0  # nominal sampling rate of the stand-in records
 
 
@@ -132,40 +133,40 @@ def resampled_down(spark, d):
 _CAUSAL = D.band_sections(25.0, 450.0, RATE)
 
 
-@query("F5", "T5", sql=f"WITH RECURSIVE {SIG_SQL}, {iir_sql('flt', 'sig', _CAUSAL)} " + out_sql("x", "flt"))
+@query("F5", "T5", sql=f"WITH RECURSIVE {SIG_SQL}, {iir_sql('flt', 'sig', _CAUSAL)} " + out_sql("x", "flt", RECURSIVE_PLACES))
 def band_passed(spark, d):
-    return flat(I.band(blocks(spark, d), BLOCK, RATE, 25.0, 450.0, keys=KEY))
+    return flat(I.band(blocks(spark, d), BLOCK, RATE, 25.0, 450.0, keys=KEY), places=RECURSIVE_PLACES)
 
 
 _LOW = D.butterworth(4, [0.3], "low")
 
 
-@query("F6", sql=f"WITH RECURSIVE {SIG_SQL}, {zero_phase_sql('flt', 'sig', _LOW, 15)} " + out_sql("x", "flt"))
+@query("F6", sql=f"WITH RECURSIVE {SIG_SQL}, {zero_phase_sql('flt', 'sig', _LOW, 15)} " + out_sql("x", "flt", RECURSIVE_PLACES))
 def zero_phase_low(spark, d):
-    return flat(I.butter_zero_phase(blocks(spark, d), BLOCK, RATE, 150.0, "low", keys=KEY))
+    return flat(I.butter_zero_phase(blocks(spark, d), BLOCK, RATE, 150.0, "low", keys=KEY), places=RECURSIVE_PLACES)
 
 
 _STOP = D.butterworth(2, [0.3, 0.5], "stop")
 
 
-@query("F6", sql=f"WITH RECURSIVE {SIG_SQL}, {zero_phase_sql('flt', 'sig', _STOP, 15)} " + out_sql("x", "flt"))
+@query("F6", sql=f"WITH RECURSIVE {SIG_SQL}, {zero_phase_sql('flt', 'sig', _STOP, 15)} " + out_sql("x", "flt", RECURSIVE_PLACES))
 def zero_phase_band_stop(spark, d):
-    return flat(I.butter_zero_phase(blocks(spark, d), BLOCK, RATE, [150.0, 250.0], "stop", 2, KEY))
+    return flat(I.butter_zero_phase(blocks(spark, d), BLOCK, RATE, [150.0, 250.0], "stop", 2, KEY), places=RECURSIVE_PLACES)
 
 
 @query("F6", sql=f"""WITH RECURSIVE {SIG_SQL},
     {zero_phase_sql('n1', 'sig', D.notch(0.2, 2.0), 9)}, {zero_phase_sql('n2', 'n1', D.notch(0.4, 2.0), 9)}
-    """ + out_sql("x", "n2"))
+    """ + out_sql("x", "n2", RECURSIVE_PLACES))
 def notched(spark, d):
-    return flat(I.notch_chain(blocks(spark, d), BLOCK, RATE, [100.0, 200.0, 500.0], 2.0, KEY))
+    return flat(I.notch_chain(blocks(spark, d), BLOCK, RATE, [100.0, 200.0, 500.0], 2.0, KEY), places=RECURSIVE_PLACES)
 
 
 @query("F10", sql=f"""WITH RECURSIVE {SIG_SQL}, {resample_sql('res', 'sig', 1000, 1500)},
     {iir_sql('flt', 'res', D.band_sections(2.0, 40.0, 1500.0))}, {absmax_sql('nrm', 'flt')}
-    """ + out_sql("x", "nrm"))
+    """ + out_sql("x", "nrm", RECURSIVE_PLACES))
 def ecg_chain(spark, d):
     rows = samples(spark, d).select("record_id", "idx", "value")
-    return flat(P.ecg(rows, CHAIN_BLOCK, 1000, 1500, KEY), CHAIN_BLOCK)
+    return flat(P.ecg(rows, CHAIN_BLOCK, 1000, 1500, KEY), CHAIN_BLOCK, RECURSIVE_PLACES)
 
 
 @query("F9")

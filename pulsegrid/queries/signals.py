@@ -34,12 +34,12 @@ def blocks(spark, d, block=BLOCK):
     return K.to_blocks(samples(spark, d), block, KEY)
 
 
-def flat(block_rows, block=BLOCK):
-    return K.to_samples(block_rows, block, KEY).withColumn("value", tidy(F.col("value")))
+def flat(block_rows, block=BLOCK, places=6):
+    return K.to_samples(block_rows, block, KEY).withColumn("value", tidy(F.col("value"), places))
 
 
-def out_sql(expr: str, src: str, rest: str = "record_id, idx") -> str:
-    return f"SELECT {rest}, round({expr}, 6) + 0.0 AS value FROM {src}"
+def out_sql(expr: str, src: str, places: int = 6) -> str:
+    return f"SELECT record_id, idx, round({expr}, {places}) + 0.0 AS value FROM {src}"
 
 
 @query("T13", sql=f"WITH {SIG_SQL} SELECT record_id, idx, event_id, x AS value FROM sig")
