@@ -12,14 +12,20 @@ from pulsegrid.functions.numeric import ratio
 METRICS = ("accuracy", "uar", "sensitivity", "specificity", "npv", "precision", "f1", "mcc")
 
 
+CELLS = ("tp", "tn", "fp", "fn")
+
+
+def cell_counts(truth: Column, pred: Column) -> list[Column]:
+    """Aggregates for tp, tn, fp, fn; any pair that is none of the first three counts as fn."""
+    tp, tn, fp = (truth == 1) & (pred == 1), (truth == 0) & (pred == 0), (truth == 0) & (pred == 1)
+    rest = ~F.coalesce(tp | tn | fp, F.lit(False))
+    return [F.count_if(c).alias(n) for c, n in zip((tp, tn, fp, rest), CELLS)]
+
+
 def confusion(df: DataFrame, keys: Sequence[str] = (), truth: str = "y_true",
               pred: str = "y_pred") -> DataFrame:
-    """tp/tn/fp/fn per key; any pair that is none of the first three counts as fn."""
-    t, p = F.col(truth), F.col(pred)
-    tp, tn, fp = (t == 1) & (p == 1), (t == 0) & (p == 0), (t == 0) & (p == 1)
-    return df.groupBy(*keys).agg(
-        F.count_if(tp).alias("tp"), F.count_if(tn).alias("tn"), F.count_if(fp).alias("fp"),
-        F.count_if(~F.coalesce(tp | tn | fp, F.lit(False))).alias("fn"))
+    """Confusion counts per key."""
+    return df.groupBy(*keys).agg(*cell_counts(F.col(truth), F.col(pred)))
 
 
 def metric_columns() -> list[Column]:
@@ -50,6 +56,13 @@ def argmax(scores: Column) -> Column:
     return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
 
 
+def _votes(predictions: DataFrame, keys: Sequence[str], classes: int, order: str, extra=()) -> DataFrame:
+    means = [F.avg(F.get("logits", F.lit(c))).alias(f"__m{c}") for c in range(classes)]
+    voted = predictions.groupBy(*keys).agg(F.max_by("y_true", order).alias("y_true"), *means, *extra)
+    logits = F.array(*[F.col(f"__m{c}") for c in range(classes)])
+    return voted.withColumn("y_pred", argmax(logits)).drop(*[f"__m{c}" for c in range(classes)])
+
+
 def patient_votes(predictions: DataFrame, keys: Sequence[str], classes: int,
                   order: str = "fragment_id") -> DataFrame:
     """Per patient: the class with the largest mean logit, and the truth of its last fragment.
@@ -57,19 +70,24 @@ def patient_votes(predictions: DataFrame, keys: Sequence[str], classes: int,
     The per-class sums are plain columns, so the shuffle carries one partial row per patient and
     task, whatever a patient's share of the fragments.
     """
-    means = [F.avg(F.get("logits", F.lit(c))).alias(f"__m{c}") for c in range(classes)]
-    voted = predictions.groupBy(*keys).agg(F.max_by("y_true", order).alias("y_true"), *means)
-    logits = F.array(*[F.col(f"__m{c}") for c in range(classes)])
-    return voted.select(*keys, "y_true", argmax(logits).alias("y_pred"))
+    return _votes(predictions, keys, classes, order)
+
 
+def grouped_metrics(predictions: DataFrame, keys: Sequence[str], classes: int = 2,
+                    order: str = "fragment_id") -> DataFrame:
+    """Metrics per key at fragment and at patient level, in one pass over the predictions.
 
-def grouped_metrics(predictions: DataFrame, keys: Sequence[str], classes: int = 2) -> DataFrame:
-    """Metrics per key at fragment and at patient level."""
-    single = predictions.withColumn("y_pred", argmax(F.col("logits")))
-    votes = patient_votes(predictions, [*keys, "patient"], classes)
-    both = (confusion(single, keys).withColumn("level", F.lit("fragment"))
-            .unionByName(confusion(votes, keys).withColumn("level", F.lit("patient"))))
-    return metrics(both, [*keys, "level"])
+    Fragment counts are made per patient beside the vote; the second aggregate adds them up and
+    counts the votes.
+    """
+    single = [c.alias(f"__{n}") for c, n in zip(cell_counts(F.col("y_true"), argmax(F.col("logits"))), CELLS)]
+    votes = _votes(predictions, [*keys, "patient"], classes, order, single)
+    sums = [F.coalesce(F.sum(f"__{n}"), F.lit(0)).alias(f"__{n}") for n in CELLS]
+    both = votes.groupBy(*keys).agg(*sums, *cell_counts(F.col("y_true"), F.col("y_pred")))
+    level = lambda name, prefix: F.struct(F.lit(name).alias("level"), *[
+        F.col(prefix + n).alias(n) for n in CELLS])
+    rows = both.select(*keys, F.explode(F.array(level("fragment", "__"), level("patient", ""))).alias("r"))
+    return metrics(rows.select(*keys, "r.*"), [*keys, "level"])
 
 
 def best_rows(log: DataFrame, keys: Sequence[str], score: str = "mcc", epoch: str = "epoch"
