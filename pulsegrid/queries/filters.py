@@ -234,14 +234,11 @@ def fractional_steps(spark, d):
     return rows.withColumn("step", tidy(L.fractional_step(F.col("v"), _GRID))).drop("v")
 
 
-@query("W11", sql="""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
-    round(exp(sum(ln(1 - l_discount * 0.777)) OVER (PARTITION BY l_orderkey
-          ORDER BY l_linenumber, l_partkey, l_suppkey)), 6) + 0.0 AS kept FROM lineitem""")
+@query("W11", sql="""SELECT o_custkey, o_orderkey,
+    round(exp(sum(ln(1 - (o_orderkey % 97) * 0.000777e0)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey)), 6) + 0.0 AS kept
+    FROM orders""")
 def running_products(spark, d):
-    rows = table(spark, d, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-        (F.col("l_discount") * 0.777).alias("l_discount"),
-        (F.col("l_linenumber").cast("long") * 100000000000000 + F.col("l_partkey") * 1000000
-         + F.col("l_suppkey")).alias("ord"))
-    out = L.running_product(rows, ["l_orderkey"], "ord", "l_discount", "kept", span=100000000000000)
-    return out.withColumn("kept", tidy(F.col("kept"))).drop("ord", "l_discount")
+    rows = table(spark, d, "orders").select(
+        "o_custkey", "o_orderkey", ((F.col("o_orderkey") % 97) * 0.000777).alias("rate"))
+    out = L.running_product(rows, ["o_custkey"], "o_orderkey", "rate", "kept", span=1000)
+    return out.select("o_custkey", "o_orderkey", tidy(F.col("kept")).alias("kept"))
