@@ -20,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pulsegrid.llm import tokenizers
 from pulsegrid.llm.common import slices, texts_of
 
-CAPACITY, SWEEPS, PATTERNS, NUMBERED = 4096, 60, 6000, 20_000
+CAPACITY, SWEEPS, PATTERNS, NUMBERED = 4096, 60, 6000, 1000
 
 #: Lengths of a pattern with how many of each, longest first.
 Pattern = tuple[tuple[int, int], ...]
