@@ -30,7 +30,7 @@ from pulsegrid.llm.common import with_text_columns
 #: Fixed value: the split pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Known neighbours that a worker keeps; beyond it starts anew, which changes no result.
-FIT_ENTRIES = 1_000_000
+FIT_ENTRIES = 500_000
 NEVER = 1 << 60
 
 
