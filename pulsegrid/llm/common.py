@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Work arrays are built for this much text at a time, whatever the Arrow batch holds.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 6 << 20
 
 
 def free_name(df: DataFrame, wanted: str) -> str:
@@ -24,7 +25,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
     """The batch in pieces of whole rows with about ``most`` bytes of ``column`` each."""
     if not batch.num_rows:
         return
-    sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     begin = held = 0
     for i, n in enumerate(sizes.tolist()):
         if held and held + n > most:
@@ -39,9 +40,9 @@ def texts_of(batch: pa.RecordBatch, column: str) -> pa.Array:
     return batch.column(column).fill_null("")
 
 
-def with_text_columns(df: DataFrame, text: str, added: Sequence[T.StructField],
-                      make: Callable[[], Callable[[pa.Array], list]], keep: bool = True) -> DataFrame:
-    """``df`` with columns worked out from its texts, in one narrow pass without a shuffle.
+def text_pass(df: DataFrame, text: str, added: Sequence[T.StructField],
+              make: Callable[[], Callable[[pa.Array], list]], keep: bool = True) -> tuple[Callable, T.StructType]:
+    """A function over Arrow batches that adds columns worked out from texts, and its schema.
 
     ``make`` runs once per task and returns a function from an array of texts to one Arrow array (or
     list) per added column. ``keep=False`` leaves the text itself out of the result.
@@ -61,7 +62,13 @@ def with_text_columns(df: DataFrame, text: str, added: Sequence[T.StructField],
                            for i, x in enumerate(new)]
                 yield pa.RecordBatch.from_arrays(arrays, names=arrow.names)
 
-    return df.mapInArrow(run, schema)
+    return run, schema
+
+
+def with_text_columns(df: DataFrame, text: str, added: Sequence[T.StructField],
+                      make: Callable[[], Callable[[pa.Array], list]], keep: bool = True) -> DataFrame:
+    """``df`` with columns worked out from its texts, in one narrow pass without a shuffle (see ``text_pass``)."""
+    return df.mapInArrow(*text_pass(df, text, added, make, keep))
 
 
 def hot_keys(rows: DataFrame, key: str, most: int = 1000) -> list:
