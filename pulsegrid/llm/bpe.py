@@ -21,17 +21,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, types as T
 
 from pulsegrid.llm.chunks import ChunkEncoder, Encoded, flat_lists, list_column
-from pulsegrid.llm.common import with_text_columns
+from pulsegrid.llm.common import text_pass
 
 #: Fixed value: the split pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Known neighbours that a worker keeps; beyond it starts anew, which changes no result.
 FIT_ENTRIES = 500_000
 NEVER = 1 << 60
+#: Rows that are decoded together.
+DECODED = 256
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -202,36 +205,48 @@ def vocabulary(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", keep: bool = True) -> DataFrame:
-    """Each whole text as token ids: the rows of ``docs`` plus ``out``, an array of int.
-
-    Null and empty texts give an empty array; nothing is cut, prefixed or padded. Rows are independent:
-    repeated rows repeat their result, an empty table gives an empty one, other columns pass through
-    (``keep=False`` drops the text). No shuffle.
-    """
+def _encoding(docs: DataFrame, path: str, text: str, out: str, keep: bool):
     def make():
         bpe = vocabulary(path)
         return lambda texts: [list_column(*bpe.chunks.encode(texts))]
 
-    return with_text_columns(docs, text, [T.StructField(out, T.ArrayType(T.IntegerType(), False))], make, keep)
+    return text_pass(docs, text, [T.StructField(out, T.ArrayType(T.IntegerType(), False))], make, keep)
 
 
-def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """The rows plus the text of their ids. A null array decodes to the empty text; null or unknown ids
-    are an error, as they have no text."""
-    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())])
-
+def _decoding(schema: T.StructType, path: str, ids: str, out: str):
     def run(batches):
         bpe = vocabulary(path)
         for batch in batches:
-            step = max(1, min(batch.num_rows, 1024))
-            for part in (batch.slice(i, step) for i in range(0, batch.num_rows, step)):
+            for part in (batch.slice(i, DECODED) for i in range(0, batch.num_rows, DECODED)):
                 lists = part.column(ids)
-                n = pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+                n = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
                 flat = lists.flatten()
                 if flat.null_count:
                     raise ValueError(f"{ids} holds a null id")
                 texts = bpe.decode_arrays(flat.to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(n, dtype=np.int64))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out])
 
-    return rows.mapInArrow(run, schema)
+    return run, T.StructType([*schema.fields, T.StructField(out, T.StringType())])
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", keep: bool = True) -> DataFrame:
+    """Each whole text as token ids: the rows of ``docs`` plus ``out``, an array of int.
+
+    Null and empty texts give an empty array; nothing is cut, prefixed or padded. Rows are independent:
+    repeated rows repeat their result, an empty table gives an empty one, other columns pass through
+    (``keep=False`` drops the text). No shuffle.
+    """
+    return docs.mapInArrow(*_encoding(docs, path, text, out, keep))
+
+
+def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """The rows plus the text of their ids. A null array decodes to the empty text; null or unknown ids
+    are an error, as they have no text."""
+    return rows.mapInArrow(*_decoding(rows.schema, path, ids, out))
+
+
+def round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", out: str = "decoded", keep: bool = True) -> DataFrame:
+    """``encode`` and ``decode`` one after the other in one pass, so a task needs one Python worker."""
+    forth, schema = _encoding(docs, path, text, ids, keep)
+    back, schema = _decoding(schema, path, ids, out)
+    return docs.mapInArrow(lambda batches: back(forth(batches)), schema)

@@ -35,8 +35,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @register
 def op1_bpe_trie(spark, sf_dir):
     """Ids by the trie, and their text again, as digests."""
-    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE, keep=False)
-    return bpe.decode(ids, BYTE_BPE).select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.round_trip(docs, BYTE_BPE, keep=False).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
