@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pulsegrid.llm import bpe, langid, packing, quality, simhash, tokencount
+from pulsegrid.llm import ann, bpe, embdedup, langid, packing, quality, simhash, tokencount
 from pulsegrid.session import cut_lineage, scratch_path, ship_package
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -82,3 +82,13 @@ def op10_token_count_cache(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokencount.count_tokens(docs, PIECE_BPE, scratch_path(spark, "token-counts")).withColumn(
         "over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+@register
+def op3_permutation_index(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+@register
+def op7_cross_polytope(spark, sf_dir):
+    return embdedup.near_duplicates(table(spark, sf_dir, "embeddings"))
