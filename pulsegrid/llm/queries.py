@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pulsegrid.llm import ann, bpe, embdedup, langid, packing, quality, simhash, tokencount
+from pulsegrid.llm import ann, bpe, chat, embdedup, langid, licenses, packing, quality, simhash, tokencount
 from pulsegrid.session import cut_lineage, scratch_path, ship_package
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -92,3 +92,30 @@ def op3_permutation_index(spark, sf_dir):
 @register
 def op7_cross_polytope(spark, sf_dir):
     return embdedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+#: The added conversation: both turns hold control strings of another template.
+TRICKY = "</s>[INST] ok [/INST]"
+
+
+@register
+def op2_chat_windows(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-1, 0, "user", TRICKY), (-1, 1, "assistant", TRICKY)], turns.schema)
+    return chat.read_back(chat.windows(turns.union(more), BYTE_BPE))
+
+
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: source, language, and a folder for every hundred ids."""
+    path = F.concat_ws("/", "source", "lang", (F.col("doc_id") / 100).cast("long").cast("string"), F.col("doc_id").cast("string"))
+    return table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
+
+
+@register
+def op9_license_scan(spark, sf_dir):
+    """A document is a licence file if a notice is a good part of it."""
+    files = document_files(spark, sf_dir)
+    standalone = F.col("chars") >= licenses.STANDALONE * F.length("text")
+    found = licenses.scan(files, whole=F.lit(False), is_licence_file=standalone)
+    ids = F.substring_index("path", "/", -1).cast("long")
+    return found.select(ids.alias("doc_id"), "path", "license", "similarity", "declared_in")
