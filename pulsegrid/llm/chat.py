@@ -24,12 +24,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from pulsegrid.llm import bpe
 from pulsegrid.llm.common import spread_join, with_text_columns
+from pulsegrid.session import cut_lineage
 
 #: The marks of this template, and those of others that texts may hold.
 START, BODY, END = "<|start|>", "<|body|>", "<|end|>"
 CONTROL = (START, BODY, END, "<s>", "</s>", "[INST]", "[/INST]", "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<|startoftext|>")
 
 
+#: Characters of a text that decide between turns of one number and role.
+TIE_CHARS = 64
+
+
 @dataclass(frozen=True)
 class Budget:
     """Tokens of a window: in all, kept for the system turn, and for history. The rest is for new turns."""
@@ -63,31 +68,32 @@ def windows(turns: DataFrame, vocabulary: str, budget: Budget = Budget(), target
     Returns ``conv_id, span`` (tokens of the conversation before it), ``n_turns, n_context`` (how many turns at the head are
     repeated), ``n_tokens, text`` and ``loss``, an array of ``(begin, end)`` code points: the new texts of role ``target``.
 
-    Null texts and roles count as empty. Turns go by number (null first), ties by role and text; repeated rows are turns of
-    their own. Rows with a null ``conv_id`` are one conversation. An empty table gives an empty one. Other columns
+    Null texts and roles count as empty. Turns go by number (null first), ties by role, the first
+    characters of the text and a hash of it; repeated rows are turns of their own. Rows with a null ``conv_id`` are one conversation. An empty table gives an empty one. Other columns
     are ignored. The system turn is a first turn of role ``system``; a window exceeds its budget only where a single turn
     or the system turn does.
 
     A conversation of any length is cut into slices of ``slice`` turn numbers for the sums, and a window is the largest thing
-    that meets in one task. Conversations without a second window shuffle nothing for context.
+    that meets in one task. Texts are written once, move to their windows once they are known, and meet there.
     """
     base = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("escaped"))
     marked = base.withColumn("head", F.concat(F.lit(START), escape(F.col("role")), F.lit(BODY))).withColumn(
-        "formatted", F.concat("head", "escaped", F.lit(END)))
+        "formatted", F.concat("head", "escaped", F.lit(END))).withColumn("chars", F.length("formatted"))
 
     def make():
         encoder = bpe.vocabulary(vocabulary).chunks
         return lambda texts: [pa.array(np.maximum(1, encoder.count(texts)))]
 
-    counted = with_text_columns(marked, "formatted", [T.StructField("tokens", T.LongType())], make).select(
-        "conv_id", F.coalesce(F.floor(F.col("turn") / slice), F.lit(-(1 << 62))).alias("slice"), "turn", "role", "escaped",
-        F.length("head").alias("head_chars"), F.length("formatted").alias("chars"), "formatted", "tokens")
+    stored = cut_lineage(with_text_columns(marked, "formatted", [T.StructField("tokens", T.LongType())], make, keep=False).select(
+        F.monotonically_increasing_id().alias("row"), "conv_id", "turn", "role", "escaped", F.length("head").alias("head_chars"), "chars", "tokens"), "turns")
+    # From here to the last join only numbers move, no texts.
+    slim = stored.select("row", "conv_id", F.coalesce(F.floor(F.col("turn") / slice), F.lit(-(1 << 62))).alias("slice"), "turn", "role",
+                         F.substring("escaped", 1, TIE_CHARS).alias("beginning"), F.xxhash64("escaped").alias("hash"), "tokens")
     # Prefix sums in two levels: within a slice, and over the slices' totals.
-    order = [F.col("turn").asc_nulls_first(), "role", "escaped"]
+    order = [F.col("turn").asc_nulls_first(), "role", "beginning", "hash", "row"]
     inside = Window.partitionBy("conv_id", "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    numbered = counted.withColumn("before", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).withColumn(
-        "total", F.sum("tokens").over(Window.partitionBy("conv_id", "slice")))
-    sums = numbered.groupBy("conv_id", "slice").agg(F.max("total").alias("sum"))
+    numbered = slim.withColumn("before", F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
+    sums = slim.groupBy("conv_id", "slice").agg(F.sum("tokens").alias("sum"))
     along = Window.partitionBy("conv_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(F.col("conv_id").alias("c"), F.col("slice").alias("s"), F.coalesce(F.sum("sum").over(along), F.lit(0)).alias("offset"),
                           F.sum("sum").over(Window.partitionBy("conv_id")).alias("all"))
@@ -101,17 +107,18 @@ def windows(turns: DataFrame, vocabulary: str, budget: Budget = Budget(), target
     first = F.min(F.when(F.col("inside"), F.col("before"))).over(cell)
     joins = F.col("inside") | (F.col("after") - F.col("first") <= budget.new)
     spans = placed.withColumn("first", first).withColumn("span", F.when(joins, F.col("first")).otherwise(F.col("before")))
-    spans = spans.withColumn("until", F.max("after").over(Window.partitionBy("conv_id", "cell", "span")))
+    spans = cut_lineage(spans.withColumn("until", F.max("after").over(Window.partitionBy("conv_id", "cell", "span")))
+                        .select("row", "conv_id", "span", "before", "until", "all", "system"), "spans")
     # One row a turn and window that shows it: itself, and as history of the next window.
     again = (F.col("until") - F.col("before") <= budget.history) & (F.col("until") < F.col("all")) & ~F.col("system")
     shown = spans.withColumn("shown", F.explode(F.array_compact(F.array(
         F.struct(F.lit(2).alias("kind"), F.col("span").alias("at")), F.when(again, F.struct(F.lit(1).alias("kind"), F.col("until").alias("at")))))))
-    columns = ["before", "role", "head_chars", "chars", "escaped", "formatted", "tokens"]
-    rows = shown.select("conv_id", F.col("shown.at").alias("span"), F.col("shown.kind").alias("kind"), *columns)
-    systems = spans.where("system").select("conv_id", *columns)
+    rows = shown.select("conv_id", F.col("shown.at").alias("span"), F.col("shown.kind").alias("kind"), "before", "row")
+    systems = spans.where("system").select("conv_id", "before", "row")
     later = spans.where("span > 0").select("conv_id", "span").distinct()
-    context = spread_join(later, systems, "conv_id", F.col("span")).select("conv_id", "span", F.lit(0).alias("kind"), *columns)
-    every = rows.union(context)
+    context = spread_join(later, systems, "conv_id", F.col("span")).select("conv_id", "span", F.lit(0).alias("kind"), "before", "row")
+    every = rows.union(context).join(stored.select("row", "role", "escaped", "head_chars", "chars", "tokens"), "row").withColumn(
+        "formatted", F.concat(F.lit(START), escape(F.col("role")), F.lit(BODY), "escaped", F.lit(END)))
     window = Window.partitionBy("conv_id", "span").orderBy("kind", "before")
     at = F.coalesce(F.sum("chars").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("head_chars")
     spot = F.when((F.col("kind") == 2) & (F.col("role") == target), F.struct(
