@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pulsegrid.llm.common import with_text_columns
 
-PER_CLASS, SLICE_CHARS, DICT_BYTES, LEVEL, PENALTY = 1500, 8192, 1 << 16, 3, 1e-3
+PER_CLASS, SLICE_CHARS, DICT_BYTES, LEVEL, PENALTY, BLOCK_BYTES = 1500, 8192, 1 << 16, 3, 1e-3, 4096
 
 
 def remainder(id: str, of: int) -> Column:
@@ -46,9 +46,15 @@ class Model:
 
 
 def features(texts: list[bytes], compressors: list) -> np.ndarray:
-    """Per text: size difference over the sum of sizes, over the length, and log of the good size over the length."""
+    """Per text: size difference over the sum of sizes, over the length, and log of the good size over the length.
+
+    A text is packed in blocks and means over them are taken, so a long text has no edge over a short one from what
+    the packer learns of it on the way.
+    """
     bad, good = compressors
-    x = np.array([(len(bad.compress(t)), len(good.compress(t)), len(t)) for t in texts], np.float64).reshape(-1, 3)
+    blocks = [[t[i:i + BLOCK_BYTES] for i in range(0, len(t), BLOCK_BYTES)] or [t] for t in texts]
+    size = lambda packer, parts: sum([len(packer.compress(p)) for p in parts]) / len(parts)
+    x = np.array([(size(bad, ps), size(good, ps), sum(map(len, ps)) / len(ps)) for ps in blocks], np.float64).reshape(-1, 3)
     b, g, n = x[:, 0], x[:, 1], x[:, 2]
     return np.stack([(b - g) / np.maximum(1, b + g), (b - g) / np.maximum(1, n), np.log((g + 1) / (n + 1))], axis=1)
 
@@ -61,9 +67,11 @@ def _dictionary(samples: list[bytes]) -> tuple[bytes, bool]:
         return b"".join(samples)[-DICT_BYTES:], True
 
 
-def fit(rows: list[tuple[bytes, int]]) -> Model:
+def fit(rows: list[tuple[bytes, int]], totals: tuple[int, int] | None = None) -> Model:
     """A model from labelled texts in any fixed order: of three, two feed the dictionaries, one the curve.
 
+    ``totals`` says how many texts of each class there were to draw from; in the curve, classes weigh by it.
+
     Without texts of both classes in a part, or without any, the score is the share of good ones (or a half).
     """
     dicts = [_dictionary([t for i, (t, q) in enumerate(rows) if q == c and i % 3]) for c in (0, 1)]
@@ -77,12 +85,15 @@ def fit(rows: list[tuple[bytes, int]]) -> Model:
     x = features([t for t, _ in held], model.compressors())
     centre, scale = x.mean(0), x.std(0) + 1e-9
     z = np.column_stack([(x - centre) / scale, np.ones(len(x))])
-    # Each class weighs as it does among the labels drawn; Newton steps on the penalised likelihood.
+    drawn = np.array([(y == 0).sum(), (y == 1).sum()])
+    each = (np.array(totals or drawn) / drawn)[y.astype(int)]
+    each /= each.sum()
+    # Newton steps on the penalised likelihood.
     w = np.zeros(z.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -500, 500)))
-        grad = z.T @ (p - y) / len(y) + PENALTY * w
-        w = w - np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z / len(y) + PENALTY * np.eye(len(w)), grad)
+        grad = z.T @ ((p - y) * each) + PENALTY * w
+        w = w - np.linalg.solve((z * (p * (1 - p) * each)[:, None]).T @ z + PENALTY * np.eye(len(w)), grad)
     return Model(model.dictionaries, model.raw, centre, scale, w)
 
 
@@ -96,6 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     """
     marks = labels.where(F.col(label).isin(0, 1) & (F.lit(True) if usable is None else usable)).groupBy(id).agg(F.min(label).alias("__mark"))
     known = marks.join(docs.select(id).distinct(), id).withColumn("__h", F.xxhash64(F.col(id), F.lit("sample")))
+    totals = dict.fromkeys((0, 1), 0) | {int(r[0]): r[1] for r in known.groupBy("__mark").count().collect()}
     chosen = {r[0]: r[1] for c in (0, 1) for r in
               known.where(F.col("__mark") == c).orderBy("__h", id).limit(per_class).select(id, "__mark").collect()}
     n = F.length(text)
@@ -103,7 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     passages = (docs.where(F.col(id).isin(list(chosen)) & F.col(text).isNotNull())
                 .select(id, F.substr(F.col(text), begin.cast("int"), F.lit(SLICE_CHARS)).alias("passage"))
                 .groupBy(id).agg(F.min("passage").alias("passage")).collect()) if chosen else []
-    return fit([(p.encode(), chosen[i]) for i, p in sorted(map(tuple, passages))])
+    return fit([(p.encode(), chosen[i]) for i, p in sorted(map(tuple, passages))], (totals[0], totals[1]))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score", keep: bool = True) -> DataFrame:
