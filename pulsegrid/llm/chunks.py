@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks that a worker keeps between batches; beyond it starts anew, which changes no result.
-CACHE_ENTRIES = 350_000
+CACHE_ENTRIES = 300_000
 #: Texts that aren't plain: two whitespace characters in a row, one at either end, or another than space and newline.
 ODD = (r"[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
        r"|[ \n][ \n]|^[ \n]|[ \n]$|^$")
@@ -26,12 +26,13 @@ Encoded = tuple[np.ndarray, np.ndarray]  # ids of several strings one after anot
 class ChunkEncoder:
     """``chunks`` encodes distinct chunks, ``whole`` any texts; both return flat ids and lengths.
 
-    ``never`` are strings (special tokens) whose texts always go to ``whole``.
+    ``never`` are strings (special tokens, in any case) whose texts always go to ``whole``. ``prepare`` may bring plain
+    texts to a form with fewer distinct chunks and the same ids.
     """
 
     def __init__(self, chunks: Callable[[list[str]], Encoded], whole: Callable[[list[str]], Encoded],
-                 never: Sequence[str] = ()):
-        self.chunks, self.whole, self.never = chunks, whole, list(never)
+                 never: Sequence[str] = (), prepare: Callable[[pa.Array], pa.Array] | None = None):
+        self.chunks, self.whole, self.never, self.prepare = chunks, whole, list(never), prepare
         self.forget()
 
     def forget(self) -> None:
@@ -65,6 +66,7 @@ class ChunkEncoder:
 
     def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """For plain texts: store numbers of all chunks, and where each text's chunks end."""
+        texts = self.prepare(texts) if self.prepare else texts
         parts = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         offsets = parts.offsets.to_numpy().astype(np.int64)
         offsets, words = offsets - offsets[0], parts.flatten()
@@ -80,7 +82,7 @@ class ChunkEncoder:
     def _sorted_out(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         odd = pc.match_substring_regex(texts, ODD)
         for s in self.never:
-            odd = pc.or_(odd, pc.match_substring(texts, s))
+            odd = pc.or_(odd, pc.match_substring(texts, s, ignore_case=True))
         odd = odd.to_numpy(zero_copy_only=False)
         return np.flatnonzero(~odd), np.flatnonzero(odd)
 

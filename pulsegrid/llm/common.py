@@ -61,6 +61,8 @@ def text_pass(df: DataFrame, text: str, added: Sequence[T.StructField],
                 arrays += [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, arrow.field(len(names) + i).type)
                            for i, x in enumerate(new)]
                 yield pa.RecordBatch.from_arrays(arrays, names=arrow.names)
+                del arrays, new
+                pa.default_memory_pool().release_unused()
 
     return run, schema
 

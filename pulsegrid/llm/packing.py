@@ -55,6 +55,8 @@ def pieces(docs: DataFrame, path: str, end: int = 1, most: int = CAPACITY, text:
                 ids = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())])
                 kept = [part.column(c).take(pa.array(row)) for c in names]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(piece, pa.int32()), pa.array(start), pa.array(length), ids], names=arrow.names)
+                del kept, ids
+                pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, schema)
 

@@ -7,6 +7,8 @@ import json
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from pulsegrid.llm.chunks import ChunkEncoder, Encoded, flat_lists, shuffled
@@ -43,7 +45,12 @@ class WordBpe:
             "normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
                 {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}, byte_level]}}))
         self.words = ChunkEncoder(self.encode_words, self.encode_words)
-        self.chunks = ChunkEncoder(self.encode_chunks, self.encode_whole, special)
+        self.chunks = ChunkEncoder(self.encode_chunks, self.encode_whole, special, self.spaced)
+
+    @staticmethod
+    def spaced(texts: pa.Array) -> pa.Array:
+        """A-Z lower-cased, as the normaliser does, and a space where words end anyway: before a point or comma after a letter."""
+        return pc.replace_substring_regex(pc.ascii_lower(texts), r"(\pL)([.,])", r"\1 \2")
 
     def encode_words(self, words: list[str]) -> Encoded:
         """Normalised words, many in one call."""
