@@ -131,7 +131,8 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", whole: Column
     spark = files.sparkSession
     named = F.lower(F.col(path)).rlike(r"(^|/)(licen[cs]e|copying|notice|unlicense)[^/]*$")
     own = cut_lineage(notices_of(files, path, text, named if whole is None else whole, notices, least), "notices")
-    sizes = files.join(own.withColumnRenamed("path", "__path"), F.col(path).eqNullSafe(F.col("__path")))
+    clear = files.drop(*{"license", "similarity", "chars", "__path"} - {path, text})  # the notices' own columns count
+    sizes = clear.join(own.withColumnRenamed("path", "__path"), F.col(path).eqNullSafe(F.col("__path")))
     declared = (sizes.where(named if is_licence_file is None else is_licence_file)
                 .select(F.coalesce(path, F.lit("")).alias("path"), "license", "similarity").distinct())
     of_directory = cut_lineage(declared.groupBy(above(F.col("path")).alias("directory")).agg(

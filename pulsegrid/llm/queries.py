@@ -119,3 +119,68 @@ def op9_license_scan(spark, sf_dir):
     found = licenses.scan(files, whole=F.lit(False), is_licence_file=standalone)
     ids = F.substring_index("path", "/", -1).cast("long")
     return found.select(ids.alias("doc_id"), "path", "license", "similarity", "declared_in")
+
+
+SQL["op7_cross_polytope"] = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= 0.9),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(least.b, vec_id)) AS component_id,
+       vec_id = least(vec_id, coalesce(least.b, vec_id)) AS kept
+FROM embeddings LEFT JOIN counts ON counts.a = vec_id LEFT JOIN least ON least.a = vec_id
+"""
+
+
+def _license_sql() -> str:
+    """The scan in SQL: passages are lines, every line is compared with every template, no anchors."""
+    notices = ", ".join(f"('{k}', '{v}')" for k, v in licenses.NOTICES.items())
+    return f"""
+WITH templates(license, notice) AS (VALUES {notices}),
+template_terms AS (
+  SELECT license, term, count(*) AS n FROM (SELECT license, unnest(regexp_extract_all(lower(notice), '[a-z0-9]+')) AS term FROM templates) GROUP BY ALL),
+files AS (SELECT doc_id, concat_ws('/', source, lang, doc_id // 100, doc_id) AS path, text FROM documents),
+total AS (SELECT count(*) AS n FROM files),
+held AS (
+  SELECT DISTINCT path, term FROM (SELECT path, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM files)
+  WHERE term IN (SELECT term FROM template_terms)),
+idf AS (
+  SELECT term, ln((SELECT n + 1 FROM total)::DOUBLE / (coalesce(c, 0) + 1)) + 1 AS idf
+  FROM (SELECT DISTINCT term FROM template_terms) LEFT JOIN (SELECT term, count(*) AS c FROM held GROUP BY term) USING (term)),
+vectors AS (
+  SELECT license, term, n * idf / sqrt(sum(n * idf * n * idf) OVER (PARTITION BY license)) AS share FROM template_terms JOIN idf USING (term)),
+passages AS (SELECT DISTINCT path, passage FROM (SELECT path, unnest(string_split(text, chr(10))) AS passage FROM files)
+             WHERE len(list_intersect(regexp_extract_all(lower(passage), '[a-z0-9]+'), (SELECT list(DISTINCT term) FROM template_terms))) > 0),
+tf AS (
+  SELECT path, passage, term, count(*) * coalesce(any_value(idf), ln((SELECT n + 1 FROM total)::DOUBLE) + 1) AS w
+  FROM (SELECT path, passage, unnest(regexp_extract_all(lower(passage), '[a-z0-9]+')) AS term FROM passages) LEFT JOIN idf USING (term)
+  GROUP BY path, passage, term),
+lengths AS (SELECT path, passage, sqrt(sum(w * w)) AS length FROM tf GROUP BY path, passage),
+scored AS (
+  SELECT path, license, length(passage) AS chars, round(sum(w * share) / any_value(length), 6) AS similarity
+  FROM tf JOIN vectors USING (term) JOIN lengths USING (path, passage) GROUP BY path, passage, license
+  HAVING round(sum(w * share) / any_value(length), 6) >= {licenses.LEAST}),
+own AS (
+  SELECT path, license, similarity, chars FROM scored
+  QUALIFY row_number() OVER (PARTITION BY path ORDER BY similarity DESC, license, chars DESC) = 1),
+declared AS (SELECT own.* FROM own JOIN files USING (path) WHERE own.chars >= {licenses.STANDALONE} * length(text)),
+directories AS (
+  SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS directory, license, similarity, path AS declared_in FROM declared
+  QUALIFY row_number() OVER (PARTITION BY directory ORDER BY similarity DESC, path) = 1),
+nearest AS (
+  SELECT f.path, d.license, d.similarity, d.declared_in
+  FROM files f JOIN directories d ON starts_with(regexp_extract(f.path, '^(.*)/[^/]*$', 1) || '/', d.directory || '/')
+  QUALIFY row_number() OVER (PARTITION BY f.path ORDER BY length(d.directory) DESC) = 1)
+SELECT doc_id, f.path, coalesce(own.license, nearest.license) AS license, coalesce(own.similarity, nearest.similarity) AS similarity,
+       CASE WHEN own.path IS NOT NULL THEN own.path ELSE nearest.declared_in END AS declared_in
+FROM files f LEFT JOIN own USING (path) LEFT JOIN nearest USING (path)
+"""
+
+
+SQL["op9_license_scan"] = _license_sql()
