@@ -37,8 +37,28 @@ def clip(x: Column, lo: float = -1.0, hi: float = 1.0) -> Column:
     return F.greatest(F.lit(lo), F.least(F.lit(hi), x))
 
 
+def fill_gaps(v: Column) -> Column:
+    """Linear interpolation over null or NaN samples; the ends hold the nearest valid one. Without any valid
+    sample the array stays as it is."""
+
+    def filled(c):
+        points = F.filter(F.transform(c, lambda x, i: F.struct(i.alias("i"), x.alias("x"))),
+                          lambda p: p.x.isNotNull() & ~F.isnan(p.x))
+
+        def between_points(p):
+            first, last = F.get(p, F.lit(0)), F.element_at(p, -1)
+            steps = F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p)), lambda a, b: F.transform(
+                F.sequence(F.lit(0), b.i - a.i - 1), lambda k: a.x + (b.x - a.x) / (b.i - a.i) * k))
+            return F.when(F.size(p) == 0, c).otherwise(F.concat(
+                F.array_repeat(first.x, first.i), F.flatten(steps), F.array_repeat(last.x, F.size(c) - last.i)))
+
+        return bind(points, between_points)
+
+    return bind(v, lambda c: F.when(F.exists(c, lambda x: x.isNull() | F.isnan(x)), filled(c)).otherwise(c))
+
+
 def abs_max(v: Column) -> Column:
-    """Zero mean, peak magnitude 1; a constant signal becomes 0."""
+    """Gaps filled, zero mean, peak magnitude 1; a constant signal becomes 0, one without a valid sample stays."""
 
     def scaled(c):
         figures = F.struct(mean(c).alias("m"), F.array_min(c).alias("lo"), F.array_max(c).alias("hi"))
@@ -46,7 +66,8 @@ def abs_max(v: Column) -> Column:
             F.greatest(s.hi - s.m, s.m - s.lo),
             lambda p: F.transform(c, lambda x: F.when(p > 0, clip((x - s.m) / p)).otherwise(x - s.m))))
 
-    return bind(v, lambda c: F.when(F.size(c) > 0, scaled(c)).otherwise(c))
+    valid = lambda c: F.exists(c, lambda x: ~F.isnan(x))
+    return bind(fill_gaps(as_doubles(v)), lambda c: F.when(valid(c), scaled(c)).otherwise(c))
 
 
 def min_max(v: Column, lo: float = -1.0, hi: float = 1.0) -> Column:

@@ -45,6 +45,9 @@ def pick(n, *parts, slot: int = 0) -> Column:
 
 def gaussian(*parts) -> Column:
     """Standard normal draw (Box-Muller on two words of one digest)."""
-    hexed = digest(*parts)
-    radius = F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - _word(hexed, 0)))
-    return radius * F.cos(F.lit(2.0 * math.pi) * _word(hexed, 1))
+    def draw(hexed: Column) -> Column:
+        radius = F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - _word(hexed, 0)))
+        return radius * F.cos(F.lit(2.0 * math.pi) * _word(hexed, 1))
+
+    # As the variable of a lambda the digest is worked out once.
+    return F.get(F.transform(F.array(digest(*parts)), draw), F.lit(0))

@@ -78,6 +78,9 @@ def with_copies(rows: DataFrame, augment_num: int, row_id: str, balance: bool =
                 ) -> DataFrame:
     """Originals (copy 0) and their copies, as rows with ``copy_no``.
 
+    Every original stays: a row without a label, or with one that ``counts_from`` doesn't have, has no copies
+    (``uncounted`` lists those rows).
+
     ``counts_from`` is the table whose classes are balanced: the split rows of all listed records
     for balance by record, the fragments themselves for balance by fragment. The few per-class
     counts reach the rows as one map value, so no row is shuffled by its class. A row of a rare
@@ -85,9 +88,10 @@ def with_copies(rows: DataFrame, augment_num: int, row_id: str, balance: bool =
     """
     counts = copy_counts(rows if counts_from is None else counts_from, augment_num, balance, label)
     per_class = counts.agg(F.map_from_entries(
-        F.collect_list(F.struct(F.col(label).cast("string"), "copies"))).alias("m")).scalar()
-    sized = (rows.withColumn("__copies", F.try_element_at(per_class, F.col(label).cast("string")))
-             .where(F.col("__copies").isNotNull())
+        F.collect_list(F.when(F.col(label).isNotNull(), F.struct(F.col(label).cast("string"), "copies")))).alias("m")).scalar()
+    known = F.try_element_at(per_class, F.coalesce(F.col(label).cast("string"), F.lit("")))
+    sized = (rows.withColumn("__copies", F.when(F.col(label).isNotNull(), known))
+             .withColumn("__copies", F.coalesce("__copies", F.lit(0).cast("long")))
              .withColumn("__chunk", F.explode(F.expr(f"sequence(0, __copies div {chunk})")))
              .repartition(row_id, "__chunk"))
     first = F.col("__chunk") * chunk
@@ -96,6 +100,11 @@ def with_copies(rows: DataFrame, augment_num: int, row_id: str, balance: bool =
             .drop("__copies", "__chunk"))
 
 
+def uncounted(rows: DataFrame, counts_from: DataFrame, label: str = "label") -> DataFrame:
+    """Rows that ``with_copies`` gives no copies because their label is null or absent from ``counts_from``."""
+    return rows.join(counts_from.select(label).distinct(), label, "left_anti")
+
+
 def copy_patient(patient: str = "patient", copy_no: str = "copy_no"):
     """Output form of the patient id of an augmented copy."""
     return F.when(F.col(copy_no) > 0, F.concat(F.col(patient).cast("string"), F.lit("#aug"),

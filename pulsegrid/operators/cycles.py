@@ -16,6 +16,8 @@ from pulsegrid.operators.ranking import carry_ends, hash_bucket, split_cumsum, s
 
 CYCLE_SCHEMA = "record_id STRING, segments ARRAY<ARRAY<BIGINT>>, last_index BIGINT, fs DOUBLE"
 
+FLAT = 1e-5  # fixed value: ends with less variance fade linearly
+
 
 def read_cycles(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Segmentation files; without a ``record_id`` field the file name gives the record."""
@@ -89,10 +91,11 @@ def rearrange(cycles: DataFrame, seed, prob_contiguous: float = 0.0, random_star
     return ranked.withColumn("pos", pos.cast("long")).drop("__h", "__r", "grp")
 
 
-def cycle_bodies(cycles: DataFrame, blocks: DataFrame, block: int, limit: int,
+def cycle_bodies(cycles: DataFrame, blocks: DataFrame, block: int, limit: int | None = None,
                  keys: Sequence[str] = KEYS) -> DataFrame:
-    """Samples of each cycle, at most its first ``limit`` ones, joined block by block."""
-    stop = F.least("end_idx", F.col("start_idx") + limit)
+    """Samples of each cycle, joined block by block: all of them, or the first ``limit`` where a caller
+    can't use more (a signal of ``target`` samples never reaches beyond ``target + fade`` of a cycle)."""
+    stop = F.col("end_idx") if limit is None else F.least("end_idx", F.col("start_idx") + limit)
     wanted = cycles.withColumn("__stop", stop).withColumn("block", F.explode(F.sequence(
         F.expr(f"start_idx div {block}"), F.expr(f"(__stop - 1) div {block}"))))
     base = F.col("block") * block
@@ -105,30 +108,50 @@ def cycle_bodies(cycles: DataFrame, blocks: DataFrame, block: int, limit: int,
         F.flatten(F.array_sort(F.collect_list("__p")).v).alias("values"))
 
 
-def crossfade(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Join with ``n`` overlapping samples, weighted by how alike the two ends are."""
-    if n <= 1 or min(len(a), len(b)) < n:
-        return np.concatenate([a, b])
-    tail, head = a[-n:], b[:n]
-    if min(tail.var(), head.var()) < 1e-5:
-        rise = np.linspace(0.0, 1.0, n)
-    else:
-        like = abs(np.nan_to_num(np.corrcoef(tail, head)[0, 1]))
-        t = np.linspace(-1.0, 1.0, n) * np.pi / 2
-        odd = (9 * np.sin(t) + np.sin(3 * t)) / 16
-        even2 = (0.5 - (1 - like) * odd ** 2) / (1 + like)
-        rise = np.clip(np.sqrt(np.maximum(even2, 0.0)) + odd, 0.0, 1.0)
-    return np.concatenate([a[:-n], tail * (1 - rise) + head * rise, b[n:]])
-
-
-def chain(parts: list[np.ndarray], target: int, n: int) -> np.ndarray:
-    """Cross-fade cycles in order, starting over at the end, until ``target`` samples are reached."""
-    out = parts[0]
-    for i in range(1, 10 * len(parts) + 6):
-        if len(out) >= target:
+def fade_in(n: int, likeness: float) -> np.ndarray:
+    """Weights of the incoming signal over ``n`` overlapping samples.
+
+    The odd part is a smooth step from -1/2 to 1/2. The even part makes the two weights' power constant
+    for signals that correlate by ``likeness``: 1/2 for equal signals, more the less they are alike.
+    """
+    phase = np.linspace(-0.5, 0.5, n) * np.pi
+    odd = 9 / 16 * np.sin(phase) + np.sin(3 * phase) / 16
+    power = (0.5 - (1 - likeness) * odd * odd) / (1 + likeness)
+    return np.clip(odd + np.sqrt(np.maximum(power, 0)), 0, 1)
+
+
+def layout(sizes: Sequence[int], target: int, fade: int) -> tuple[list[tuple[int, int, int]], int]:
+    """Where cycles lie when laid end to end, over again from the first, until ``target`` samples are reached.
+
+    Gives ``(cycle, start, overlap)`` and the length of all. A cycle overlaps what is there by ``fade`` samples
+    if both are that long, else it follows without overlap. After ten laps it ends in any case.
+    """
+    places, length = [(0, 0, 0)], sizes[0]
+    for k in range(1, 10 * len(sizes) + 6):
+        if length >= target:
             break
-        out = crossfade(out, parts[i % len(parts)], n)
-    return out
+        size = sizes[k % len(sizes)]
+        overlap = fade if 1 < fade <= min(length, size) else 0
+        places.append((k % len(sizes), length - overlap, overlap))
+        length += size - overlap
+    return places, length
+
+
+def chain(parts: Sequence[np.ndarray], target: int, fade: int) -> np.ndarray:
+    """Cycles in their layout in one buffer; overlaps move from what is there to the incoming cycle."""
+    places, length = layout([len(p) for p in parts], target, fade)
+    buffer = np.empty(length)
+    for cycle, start, overlap in places:
+        part, seam = parts[cycle], slice(start, start + overlap)
+        if overlap:
+            there, new = buffer[seam], part[:overlap]
+            if min(there.var(), new.var()) < FLAT:
+                weight = np.arange(overlap) / (overlap - 1)
+            else:
+                weight = fade_in(overlap, min(1.0, abs(np.mean((there - there.mean()) * (new - new.mean())) / (there.std() * new.std()))))
+            buffer[seam] += weight * (new - there)
+        buffer[start + overlap:start + len(part)] = part[overlap:]
+    return buffer
 
 
 def needed_cycles(ordered: DataFrame, target: int, fade: int, span: int = 10_000) -> DataFrame:

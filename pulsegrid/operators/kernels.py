@@ -17,8 +17,14 @@ EDGES = {"zero": {"mode": "constant"}, "reflect": {"mode": "reflect"},
          "odd": {"mode": "reflect", "reflect_type": "odd"}}
 
 
-def _framed(before, values, after, half: int, edge: str) -> np.ndarray:
-    """Own samples with ``half`` neighbours per side; missing ones follow the edge rule."""
+def _framed(number, before, values, after, half: int, edge: str) -> np.ndarray:
+    """Own samples with ``half`` neighbours per side; missing ones follow the edge rule.
+
+    Only the adjacent blocks are at hand, so an inner block that has too few samples before it is an error: the
+    blocks are shorter than the kernel reaches.
+    """
+    if number > 0 and len(before) < half:
+        raise ValueError(f"blocks of {len(before)} samples are shorter than the {half} that a kernel reaches; resize them")
     body = np.concatenate([before, values, after])
     return np.pad(body, (half - len(before), half - len(after)), **EDGES[edge])
 
@@ -33,12 +39,12 @@ def convolve(blocks: DataFrame, kernel: np.ndarray, edge: str = "zero", keys: Se
     half = len(kernel) // 2
 
     @pandas_udf("array<double>")
-    def apply(before: pd.Series, values: pd.Series, after: pd.Series) -> pd.Series:
-        return pd.Series([np.convolve(_framed(b, v, a, half, edge), kernel, "valid")
-                          for b, v, a in zip(before, values, after)])
+    def apply(number: pd.Series, before: pd.Series, values: pd.Series, after: pd.Series) -> pd.Series:
+        return pd.Series([np.convolve(_framed(n, b, v, a, half, edge), kernel, "valid")
+                          for n, b, v, a in zip(number, before, values, after)])
 
     return with_halo(blocks, half, half, keys).select(
-        *keys, "block", apply("before", "values", "after").alias("values"))
+        *keys, "block", apply("block", "before", "values", "after").alias("values"))
 
 
 def split_bands(blocks: DataFrame, kernels: Sequence[np.ndarray], keys: Sequence[str] = KEYS
@@ -48,13 +54,13 @@ def split_bands(blocks: DataFrame, kernels: Sequence[np.ndarray], keys: Sequence
     half = len(symmetric[0]) // 2
 
     @pandas_udf("array<array<double>>")
-    def apply(before: pd.Series, values: pd.Series, after: pd.Series) -> pd.Series:
+    def apply(number: pd.Series, before: pd.Series, values: pd.Series, after: pd.Series) -> pd.Series:
         return pd.Series([[np.convolve(x, k, "valid") for k in symmetric]
-                          for x in (_framed(b, v, a, half, "odd")
-                                    for b, v, a in zip(before, values, after))])
+                          for x in (_framed(n, b, v, a, half, "odd")
+                                    for n, b, v, a in zip(number, before, values, after))])
 
     wide = with_halo(blocks, half, half, keys).select(
-        *keys, "block", apply("before", "values", "after").alias("bands"))
+        *keys, "block", apply("block", "before", "values", "after").alias("bands"))
     return wide.select(*keys, "block", F.posexplode_outer("bands").alias("band", "values"))
 
 
@@ -83,7 +89,7 @@ def resample(blocks: DataFrame, block: int, fs_in: int, fs_out: int, keys: Seque
               ) -> pd.DataFrame:
         firsts, outs = [], []
         for n, b, v, a in zip(number, before, values, after):
-            x = _framed(b, v, a, reach, "zero")
+            x = _framed(n, b, v, a, reach, "zero")
             base = n * block
             first = -(-base * up // down)
             m = np.arange(first, -(-(base + len(v)) * up // down))
@@ -112,12 +118,12 @@ def envelope(blocks: DataFrame, taps: int = 255, keys: Sequence[str] = KEYS) ->
     half = taps // 2
 
     @pandas_udf("array<double>")
-    def apply(before: pd.Series, values: pd.Series, after: pd.Series) -> pd.Series:
-        return pd.Series([np.hypot(v, np.convolve(_framed(b, v, a, half, "zero"), kernel, "valid"))
-                          for b, v, a in zip(before, values, after)])
+    def apply(number: pd.Series, before: pd.Series, values: pd.Series, after: pd.Series) -> pd.Series:
+        return pd.Series([np.hypot(v, np.convolve(_framed(n, b, v, a, half, "zero"), kernel, "valid"))
+                          for n, b, v, a in zip(number, before, values, after)])
 
     return with_halo(blocks, half, half, keys).select(
-        *keys, "block", apply("before", "values", "after").alias("values"))
+        *keys, "block", apply("block", "before", "values", "after").alias("values"))
 
 
 def sinc_weights(delays: np.ndarray, taps: int) -> np.ndarray:

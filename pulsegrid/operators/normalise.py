@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pulsegrid.operators.blocks import KEYS, attach, record_stats
+from pulsegrid.operators.repair import fill_gaps
 
 
 def _scaled(blocks, stats, fn, keys):
@@ -14,18 +15,23 @@ def _scaled(blocks, stats, fn, keys):
     return joined.select(*keys, "block", F.transform("values", fn).alias("values"))
 
 
-def abs_max(blocks: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def abs_max(blocks: DataFrame, keys: Sequence[str] = KEYS, block: int | None = None) -> DataFrame:
     """Zero mean, peak magnitude 1 (constant signals stay 0), clipped to [-1, 1].
 
-    The peak of the centred signal follows from mean, minimum and maximum, so one pass is enough.
+    The peak of the centred signal follows from mean, minimum and maximum, so one pass is enough. With the
+    block length, gaps are filled first; without it (chains fill them at their start), null and NaN samples
+    stay as they are and don't count.
     """
-    stats = record_stats(blocks, [F.avg("value").alias("__m"), F.min("value").alias("__lo"),
-                                  F.max("value").alias("__hi")], keys)
+    if block is not None:
+        blocks = fill_gaps(blocks, block, keys)
+    valid = F.when(~F.isnan("value"), F.col("value"))
+    stats = record_stats(blocks, [F.avg(valid).alias("__m"), F.min(valid).alias("__lo"), F.max(valid).alias("__hi")], keys)
     stats = stats.withColumn("__peak", F.greatest(F.col("__hi") - F.col("__m"), F.col("__m") - F.col("__lo")))
 
     def scale(x):
         # A constant record has no peak: its samples are all zero after centring.
-        return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (x - F.col("__m")) / F.col("__safe")))
+        at = (x - F.col("__m")) / F.col("__safe")
+        return F.when(x.isNull() | F.isnan(x), x).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), at)))
 
     safe = F.when(F.col("__peak") > 0, F.col("__peak")).otherwise(1.0)
     return _scaled(blocks, stats.withColumn("__safe", safe), scale, keys)

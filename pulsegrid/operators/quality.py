@@ -51,18 +51,22 @@ def contrastive(batched: DataFrame, row_id: str, features: str, label: str = "la
     kinds = {f.name: f.dataType.simpleString() for f in batched.schema.fields}
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf[features].to_numpy()).astype(float)
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        sim = x @ x.T / temperature
-        sim -= sim.max(axis=1, keepdims=True)
-        own = np.eye(len(x), dtype=bool)
-        y = pdf[label].to_numpy()
-        partner = (y[:, None] == y[None, :]) & ~own
-        logp = sim - np.log((np.exp(sim) * ~own).sum(axis=1, keepdims=True) + 1e-8)
-        n = partner.sum(axis=1)
-        mean = np.where(n > 0, (logp * partner).sum(axis=1) / np.maximum(n, 1), np.nan)
-        return pd.DataFrame({batch: pdf[batch], row_id: pdf[row_id], "partners": n,
-                             "mean_log_prob": pd.Series(mean, index=pdf.index).where(n > 0)})
+        vectors = np.array(pdf[features].tolist(), dtype=float)
+        vectors /= np.maximum(np.sqrt(np.square(vectors).sum(axis=1)), 1e-12)[:, None]
+        kind, members = np.unique(pdf[label].to_numpy(), return_inverse=True)
+        # Partners enter by the sum of their class, less the row itself: no mask of pairs.
+        sums = np.zeros((len(kind), vectors.shape[1]))
+        np.add.at(sums, members, vectors)
+        partners = np.bincount(members)[members] - 1
+        toward = np.einsum("ij,ij->i", vectors, sums[members] - vectors) / temperature
+        # All others enter by the normaliser, taken relative to the largest similarity.
+        similar = vectors @ vectors.T / temperature
+        largest = similar.max(axis=1)
+        np.fill_diagonal(similar, -np.inf)
+        normaliser = largest + np.log(np.exp(similar - largest[:, None]).sum(axis=1) + 1e-8)
+        mean = pd.Series(toward / np.maximum(partners, 1) - normaliser, index=pdf.index)
+        return pd.DataFrame({batch: pdf[batch], row_id: pdf[row_id], "partners": partners,
+                             "mean_log_prob": mean.where(partners > 0)})
 
     return batched.select(batch, row_id, features, label).groupBy(batch).applyInPandas(
         score, f"{batch} {kinds[batch]}, {row_id} {kinds[row_id]}, partners long, mean_log_prob double")

@@ -82,7 +82,7 @@ def dropped_samples(spark, d):
     FROM cycles JOIN sig USING (record_id) WHERE idx >= start_idx AND idx < end_idx GROUP BY ALL""")
 def cycle_samples(spark, d):
     rows = indexed(spark, d)
-    bodies = Y.cycle_bodies(found(rows)[2], signals(rows), BLOCK, 1000)
+    bodies = Y.cycle_bodies(found(rows)[2], signals(rows), BLOCK)
     return bodies.select("record_id", "cycle_no", F.size("values").cast("long").alias("n"),
                          tidy(A.total(F.col("values"))).alias("mass"))
 
@@ -109,7 +109,7 @@ def rearranged_cycles(spark, d):
 def rebuilt_signals(spark, d):
     rows = indexed(spark, d)
     order = cut_lineage(Y.rearrange(found(rows)[2], 6, 0.4), "order")
-    bodies = Y.cycle_bodies(Y.needed_cycles(order, 48, 2), signals(rows), BLOCK, 1000)
+    bodies = Y.cycle_bodies(Y.needed_cycles(order, 48, 2), signals(rows), BLOCK, 48 + 2)
     out = Y.rebuild(bodies, 48, 2)
     return out.select("record_id", F.size("values").alias("n"), tidy(A.total(F.col("values"))).alias("mass"))
 

@@ -138,9 +138,13 @@ def keyed_draws(spark, d):
         keyed.pick(7, 1, "p", e).alias("k"))
 
 
-@query("K5", sql="""SELECT count(*) AS n, count(*) <= 64 * 3 AS within FROM
-    (SELECT vec_id FROM embeddings LIMIT 192)""")
+@query("K5", sql="""SELECT (label // 4)::integer AS part, count(*) AS n, least(ceil(count(*) / 64.0), 3)::bigint AS batches,
+    least(count(*), 64 * 3) AS used FROM embeddings GROUP BY ALL""")
 def batch_limit(spark, d):
+    """Of how many rows a training pass of at most three batches makes use, by part of the table: the limit is on
+    the pass, the counts are over all rows."""
     batch, max_batches = 64, 3
-    head = table(spark, d, "embeddings").select("vec_id").limit(batch * max_batches)
-    return head.agg(F.count(F.lit(1)).alias("n")).withColumn("within", F.col("n") <= batch * max_batches)
+    parts = table(spark, d, "embeddings").groupBy(F.floor(F.col("label") / 4).cast("int").alias("part"))
+    return parts.agg(F.count(F.lit(1)).alias("n")).select(
+        "part", "n", F.least(F.ceil(F.col("n") / batch), F.lit(max_batches)).cast("long").alias("batches"),
+        F.least("n", F.lit(batch * max_batches)).alias("used"))

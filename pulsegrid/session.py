@@ -52,6 +52,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/pulsegrid/{name}-{uuid.uuid4().hex}"
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this library has written below the shared folder; for the end of a job, once its results are stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark).rstrip('/')}/pulsegrid")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: survives the loss of executors."""
     path = scratch_path(df.sparkSession, name)

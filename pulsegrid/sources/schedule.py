@@ -98,8 +98,8 @@ def unused_fields(schedule: DataFrame) -> DataFrame:
 
 
 def check(schedule: DataFrame) -> DataFrame:
-    """The schedule itself; raises with the list of problems if there are any."""
-    found = violations(schedule).limit(20).collect()
+    """The schedule itself; raises with all problems (the rows of ``violations``) if there are any."""
+    found = violations(schedule).orderBy("file", "key", "problem").collect()
     if found:
         raise ValueError("invalid schedule: " + "; ".join(f"{r.key}: {r.problem}" for r in found))
     return schedule

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsegrid.functions.numeric import half_even, binary_label
@@ -24,15 +25,27 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def union_labels(parts: Sequence[DataFrame]) -> DataFrame:
-    """Union in order; a record listed more than once keeps the last listed label."""
-    numbered = [p.select("record_id", "label", F.lit(i).alias("__part"),
-                         F.monotonically_increasing_id().alias("__row"))
+    """Union in order; a record listed more than once keeps the last listed label.
+
+    Files of one part go by path, whatever order they are scanned in; a row's place in its file is that of its
+    split and then of the row, which a task reads in order.
+    """
+    numbered = [_placed(p).select("record_id", "label", F.lit(i).alias("__part"), "__file", "__split",
+                                  F.monotonically_increasing_id().alias("__row"))
                 for i, p in enumerate(parts)]
     rows = numbered[0]
     for p in numbered[1:]:
         rows = rows.unionByName(p)
     return rows.groupBy("record_id").agg(
-        F.max_by("label", F.struct("__part", "__row")).alias("label"))
+        F.max_by("label", F.struct("__part", "__file", "__split", "__row")).alias("label"))
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """With the file and split that each row comes from; without, where ``rows`` is no file scan."""
+    try:
+        return rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__split"))
+    except AnalysisException:
+        return rows.withColumn("__file", F.lit("")).withColumn("__split", F.lit(0).cast("long"))
 
 
 def read_split(spark: SparkSession, path: str, subset: str = "all", fold: int = 1) -> DataFrame:

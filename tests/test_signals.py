@@ -223,3 +223,42 @@ def test_partitioning_does_not_matter(spark, parts):
             np.testing.assert_allclose(got[k], y / np.abs(y).max(), atol=1e-9)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_gap_does_not_reach_the_other_samples(spark):
+    nan, rng_ = float("nan"), np.random.default_rng(4)
+    x = {k: rng_.normal(size=50) for k in ("start", "middle", "end", "none")}
+    for k, at in (("start", [0, 1]), ("middle", [20, 21, 33]), ("end", [48, 49])):
+        x[k][at] = nan
+    x["all"] = np.full(50, nan)
+    blocks = K.to_blocks(frame(spark, {k: list(v) for k, v in x.items()}), 16)
+    filled, plain = collect(N.abs_max(blocks, block=16)), collect(N.abs_max(blocks))
+    for k, v in x.items():
+        bad = np.isnan(v)
+        if bad.all():
+            assert np.isnan(filled[k]).all()
+            continue
+        y = v.copy()
+        y[bad] = np.interp(np.flatnonzero(bad), np.flatnonzero(~bad), v[~bad])
+        y -= y.mean()
+        np.testing.assert_allclose(filled[k], y / np.abs(y).max(), atol=1e-12)
+        z = v - np.nanmean(v)
+        np.testing.assert_allclose(plain[k], z / np.nanmax(np.abs(z)), atol=1e-12)
+
+
+def test_blocks_shorter_than_the_kernel_are_refused(spark):
+    x = np.random.default_rng(5).normal(size=200)
+    kernel = np.hanning(63)[1:-1]
+    for block in (5, 16, 64):
+        blocks = K.to_blocks(frame(spark, {"r": list(x)}), block)
+        if block < 30:
+            with pytest.raises(Exception, match="shorter than the 30"):
+                C.convolve(blocks, kernel).collect()
+        else:
+            np.testing.assert_allclose(collect(C.convolve(blocks, kernel))["r"], np.convolve(x, kernel, "same"), atol=1e-12)
+
+
+def test_the_plan_of_a_notch_chain_does_not_grow(spark):
+    blocks = K.to_blocks(frame(spark, {"r": list(np.random.default_rng(6).normal(size=300))}), 64)
+    sizes = [I.notch_chain(blocks, 64, 1000, list(range(100, 100 + 50 * n, 50)))._jdf.queryExecution().optimizedPlan().toString().count("\n") for n in (2, 4)]
+    assert sizes[1] == sizes[0]

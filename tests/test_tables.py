@@ -211,3 +211,38 @@ def test_array_helpers(spark):
     assert got[0] == [0.0, 0.0] and got[2] == [] and max(np.abs(got[1])) == 1.0
     got = df.select(W.fit_length(F.col("x"), 2).alias("y"), W.valid_length(F.col("x"), 2).alias("n")).collect()
     assert [(r.y, r.n) for r in got] == [([3.0, 3.0], 2), ([1.0, 5.0], 2), ([0.0, 0.0], 0)]
+
+
+def test_every_original_stays_among_copies(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "elsewhere"), (4, "a"), (5, "b")], "id INT, label STRING")
+    listed = rows.where("label in ('a', 'b')")
+    got = B.with_copies(rows, 2, "id", counts_from=listed)
+    assert sorted(r.id for r in got.where("copy_no = 0").collect()) == [1, 2, 3, 4, 5]
+    assert {r.id: r.n for r in got.where("copy_no > 0").groupBy("id").agg(F.count("*").alias("n")).collect()} == {1: 2, 4: 2, 5: 4}
+    assert sorted(r.id for r in B.uncounted(rows, listed).collect()) == [2, 3]
+
+
+def test_gaps_are_filled_before_the_peak(spark):
+    nan = float("nan")
+    cases = [[nan, 1.0, nan, nan, 4.0, nan], [1.0, nan, 3.0], [nan, nan], [2.0, 2.0], [None, 1.0, 2.0], []]
+    frame = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i INT, x ARRAY<DOUBLE>")
+    got = [r[0] for r in frame.orderBy("i").select(A.abs_max(F.col("x"))).collect()]
+
+    def plain(c):
+        x = np.array([nan if v is None else v for v in c], float)
+        bad = np.isnan(x)
+        if len(x) and not bad.all():
+            x[bad] = np.interp(np.flatnonzero(bad), np.flatnonzero(~bad), x[~bad])
+            x = x - x.mean()
+            x = x / np.abs(x).max() if np.abs(x).max() > 0 else x
+        return x
+
+    for g, c in zip(got, cases, strict=True):
+        np.testing.assert_allclose(np.array(g, float), plain(c), atol=1e-12)
+
+
+def test_last_listed_label_goes_by_file_and_row(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("r1,1\nr2,1\nr2,-1\n")
+    (tmp_path / "b.csv").write_text("r1,-1\n" + "".join(f"x{i},1\n" for i in range(400)))
+    got = {r.record_id: r.label for r in T.union_labels([T.read_labels(spark, str(tmp_path))]).collect()}
+    assert got["r1"] == -1 and got["r2"] == -1
