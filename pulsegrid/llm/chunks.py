@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks that a worker keeps between batches; beyond it starts anew, which changes no result.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 500_000
 #: Texts that aren't plain: two whitespace characters in a row, one at either end, or another than space and newline.
 ODD = (r"[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
        r"|[ \n][ \n]|^[ \n]|[ \n]$|^$")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Work arrays are built for this much text at a time, whatever the Arrow batch holds.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 8 << 20
 
 
 def free_name(df: DataFrame, wanted: str) -> str:
