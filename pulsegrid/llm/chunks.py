@@ -27,12 +27,13 @@ class ChunkEncoder:
     """``chunks`` encodes distinct chunks, ``whole`` any texts; both return flat ids and lengths.
 
     ``never`` are strings (special tokens, in any case) whose texts always go to ``whole``. ``prepare`` may bring plain
-    texts to a form with fewer distinct chunks and the same ids.
+    texts to a form with fewer distinct chunks and the same ids. ``share`` is of ``CACHE_ENTRIES``.
     """
 
     def __init__(self, chunks: Callable[[list[str]], Encoded], whole: Callable[[list[str]], Encoded],
-                 never: Sequence[str] = (), prepare: Callable[[pa.Array], pa.Array] | None = None):
-        self.chunks, self.whole, self.never, self.prepare = chunks, whole, list(never), prepare
+                 never: Sequence[str] = (), prepare: Callable[[pa.Array], pa.Array] | None = None,
+                 share: float = 1.0):
+        self.chunks, self.whole, self.never, self.prepare, self.share = chunks, whole, list(never), prepare, share
         self.forget()
 
     def forget(self) -> None:
@@ -46,7 +47,7 @@ class ChunkEncoder:
         new = [k for k, i in zip(keys, found, strict=True) if i is None]
         if new:
             new = list(dict.fromkeys(new))
-            if self.index and len(self.index) + len(new) > CACHE_ENTRIES:
+            if self.index and len(self.index) + len(new) > self.share * CACHE_ENTRIES:
                 self.forget()
                 return self.numbers(keys)
             flat, lengths = self.chunks(new)

@@ -58,8 +58,9 @@ def windows_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     begin = np.repeat(np.cumsum(n) - n, count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) * STRIDE
     end = np.repeat(np.cumsum(n), count)
     flat = np.frombuffer(b"".join(texts) + bytes(WINDOW), np.uint8)
-    at = begin[:, None] + np.arange(WINDOW)
-    return np.where(at < end[:, None], flat[np.minimum(at, len(flat) - 1)], 0).astype(np.uint8), count
+    windows = np.lib.stride_tricks.sliding_window_view(flat, WINDOW)[begin]
+    windows[np.arange(WINDOW) >= (end - begin)[:, None]] = 0
+    return windows, count
 
 
 def fit(rows: list[tuple[bytes, str]], seed: int = 7) -> Network:

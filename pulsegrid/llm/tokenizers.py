@@ -44,7 +44,7 @@ class WordBpe:
         self.plain = tokenizers.Tokenizer.from_str(json.dumps(spec | {
             "normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
                 {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}, byte_level]}}))
-        self.words = ChunkEncoder(self.encode_words, self.encode_words)
+        self.words = ChunkEncoder(self.encode_words, self.encode_words, share=0.5)
         self.chunks = ChunkEncoder(self.encode_chunks, self.encode_whole, special, self.spaced)
 
     @staticmethod
