@@ -48,7 +48,7 @@ def _decode(content: bytes) -> tuple[int, np.ndarray]:
 
 
 def decode(files: DataFrame, block: int = 4096) -> DataFrame:
-    """``(path, content)`` to blocks per channel; unreadable files give no rows."""
+    """``(path, content)`` to blocks per channel; unreadable files give no rows (``unreadable`` lists them)."""
 
     def run(batches):
         rows, held = [], 0
@@ -70,6 +70,22 @@ def decode(files: DataFrame, block: int = 4096) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, SAMPLE_SCHEMA)
 
 
+def unreadable(files: DataFrame) -> DataFrame:
+    """``(path, problem)`` for the files that ``decode`` gives no rows for."""
+
+    def run(batches):
+        for pdf in batches:
+            found = []
+            for path, content in zip(pdf["path"], pdf["content"]):
+                try:
+                    _decode(bytes(content))
+                except (ValueError, TypeError, struct.error) as e:
+                    found.append((path, str(e) or type(e).__name__))
+            yield pd.DataFrame(found, columns=["path", "problem"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, problem string")
+
+
 def ingest(spark: SparkSession, path: str, out: str, block: int = 4096) -> DataFrame:
     """Decode all recordings below ``path`` into a Parquet table of blocks."""
     blocks = decode(read_files(spark, path), block).withColumn(

@@ -188,3 +188,12 @@ def test_mel_presets():
     assert X.conditioning("DiffWave", "pcg")[0].f_max == 500.0
     with pytest.raises(ValueError):
         X.conditioning("other", "pcg")
+
+
+def test_unreadable_files_are_listed(spark):
+    from pulsegrid.sources import wav
+
+    files = spark.createDataFrame([("a.wav", bytearray(b"RIFF")), ("b.wav", bytearray()), ("c.wav", None)], "path STRING, content BINARY")
+    assert wav.decode(files).count() == 0
+    found = {r.path: r.problem for r in wav.unreadable(files).collect()}
+    assert set(found) == {"a.wav", "b.wav", "c.wav"} and all(found.values())
