@@ -15,14 +15,14 @@ VOCABULARIES: dict[str, tuple] = {
     "training-a": (-1, 1),
     "training-a-extended": ("Normal", "Benign", "MVP", "MPC", "AD"),
     "ticking-heart-multi": (-1, 1),
-    "ticking-heart-extended": tuple("""
-        C1X2N C1X2A C1X3N C1X3A C1X4N C1X4A C1X5N C1X5A C1X6N C1X6A
-        C2X1N C2X1A C2X3N C2X3A C2X4N C2X4A C2X5N C2X5A C2X6N C2X6A
-        C3X1N C3X1A C3X2N C3X2A C3X4N C3X4A C3X5N C3X5A C3X6N C3X6A
-        C4X1N C4X1A C4X2N C4X2A C4X3N C4X3A C4X5N C4X5A C4X6N C4X6A
-        C5X1N C5X1A C5X2N C5X2A C5X3N C5X3A C5X4N C5X4A C5X6N C5X6A
-        C6X1N C6X1A C6X2N C6X2A C6X3N C6X3A C6X4N C6X4A C6X5N C6X5A
-        """.split()),
+    "ticking-heart-extended": (
+        "C1X2N", "C1X2A", "C1X3N", "C1X3A", "C1X4N", "C1X4A", "C1X5N", "C1X5A", "C1X6N", "C1X6A",
+        "C2X1N", "C2X1A", "C2X3N", "C2X3A", "C2X4N", "C2X4A", "C2X5N", "C2X5A", "C2X6N", "C2X6A",
+        "C3X1N", "C3X1A", "C3X2N", "C3X2A", "C3X4N", "C3X4A", "C3X5N", "C3X5A", "C3X6N", "C3X6A",
+        "C4X1N", "C4X1A", "C4X2N", "C4X2A", "C4X3N", "C4X3A", "C4X5N", "C4X5A", "C4X6N", "C4X6A",
+        "C5X1N", "C5X1A", "C5X2N", "C5X2A", "C5X3N", "C5X3A", "C5X4N", "C5X4A", "C5X6N", "C5X6A",
+        "C6X1N", "C6X1A", "C6X2N", "C6X2A", "C6X3N", "C6X3A", "C6X4N", "C6X4A", "C6X5N", "C6X5A",
+    ),
     "cinc-channels": ("2N", "2A", "3N", "3A", "4N", "4A", "5N", "5A", "6N", "6A"),
     "multichannel-mixed": (0, 1, 2),
 }

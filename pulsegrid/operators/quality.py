@@ -94,17 +94,20 @@ def objective(batched: DataFrame, row_id: str, features: str, logits: str,
 
 
 def f_scores(rows: DataFrame, features: str, label: str = "label") -> DataFrame:
-    """One-way analysis-of-variance F per feature, from per-class sums."""
+    """One-way analysis-of-variance F per feature, from each class's count, mean and variance.
+
+    Only deviations are squared, so a feature with a large mean keeps its digits. A feature has one group a class,
+    of which there are few; classes without a value of the feature don't count.
+    """
     long = rows.select(label, F.posexplode_outer(features).alias("feature", "x"))
-    groups = long.groupBy("feature", label).agg(
-        F.count("x").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
-    whole = groups.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"),
-        F.sum(F.col("s") * F.col("s") / F.col("n")).alias("g"))
-    between = F.col("g") - F.col("s") * F.col("s") / F.col("n")
-    within = F.col("q") - F.col("g")
-    return whole.select("feature", (between / (F.col("k") - 1) / (within / (F.col("n") - F.col("k"))))
-                        .alias("f"))
+    classes = long.groupBy("feature", label).agg(
+        F.count("x").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("var")).where("n > 0")
+    whole = classes.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("var")).alias("within"),
+        (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("centre"),
+        F.array_sort(F.collect_list(F.struct("mean", F.col("n").alias("size")))).alias("classes"))
+    between = F.aggregate("classes", F.lit(0.0), lambda s, c: s + c["size"] * (c["mean"] - F.col("centre")) * (c["mean"] - F.col("centre")))
+    return whole.select("feature", (between / (F.col("k") - 1) / (F.col("within") / (F.col("n") - F.col("k")))).alias("f"))
 
 
 def best_features(rows: DataFrame, features: str, k: int = 80, label: str = "label") -> DataFrame:

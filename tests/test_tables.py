@@ -246,3 +246,19 @@ def test_last_listed_label_goes_by_file_and_row(spark, tmp_path):
     (tmp_path / "b.csv").write_text("r1,-1\n" + "".join(f"x{i},1\n" for i in range(400)))
     got = {r.record_id: r.label for r in T.union_labels([T.read_labels(spark, str(tmp_path))]).collect()}
     assert got["r1"] == -1 and got["r2"] == -1
+
+
+def test_f_scores_keep_their_digits(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(90, 2)) + np.repeat([[0.0, 0.0], [0.3, 0.0], [0.9, 0.1]], 30, axis=0)
+    y = np.repeat([0, 1, 2], 30)
+
+    def scores(offset):
+        rows = [(int(k), [float(v) + offset for v in r]) for k, r in zip(y, x, strict=True)]
+        return [r.f for r in Q.f_scores(spark.createDataFrame(rows, "label INT, x ARRAY<DOUBLE>"), "x").orderBy("feature").collect()]
+
+    means = np.array([x[y == k].mean(axis=0) for k in range(3)])
+    within = sum(((x[y == k] - means[k]) ** 2).sum(axis=0) for k in range(3)) / 87
+    want = 30 * ((means - x.mean(axis=0)) ** 2).sum(axis=0) / 2 / within
+    np.testing.assert_allclose(scores(0.0), want, rtol=1e-9)
+    np.testing.assert_allclose(scores(1e7), want, rtol=1e-5)
