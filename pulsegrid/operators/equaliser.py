@@ -9,7 +9,7 @@ from pyspark.sql.functions import pandas_udf
 
 from pulsegrid.functions import arrays as A
 from pulsegrid.functions.keyed import between, unit
-from pulsegrid.operators.recursive import run_sections
+from pulsegrid.operators.recursive import bounded, run_sections
 
 
 def band_edges(draws: np.ndarray, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
@@ -35,8 +35,7 @@ def coloured(v: Column, draws: Column, fs: float, low: float, high: float) -> Co
     @pandas_udf("array<double>")
     def run(values: pd.Series, draws: pd.Series) -> pd.Series:
         out = [None] * len(values)
-        live = [i for i, x in enumerate(values) if x is not None]
-        if live:
+        for live in bounded([-1 if x is None else len(x) for x in values]):
             sizes = [len(values.iloc[i]) for i in live]
             x = np.zeros((len(live), max(sizes)))
             for j, i in enumerate(live):

@@ -152,7 +152,11 @@ def delay_energy(rows: DataFrame, values: str, delays: str, taps: int = 41, out:
 
 def beam(rows: DataFrame, keys: Sequence[str], values: str = "values", delays: str = "delays",
          taps: int = 41) -> DataFrame:
-    """Sum over the channels of a fragment of the squared delayed signals, per sample."""
-    long = delay_energy(rows, values, delays, taps).select(
-        *keys, F.posexplode_outer("energy").alias("idx", "e"))
-    return long.groupBy(*keys, "idx").agg(F.sum("e").alias("value"))
+    """Sum over the channels of a fragment of the squared delayed signals, per sample.
+
+    A fragment's channels, as many as the device has, meet as whole arrays; a shorter one counts as silence beyond its end.
+    """
+    silent = lambda x: F.coalesce(x, F.lit(0.0))
+    fragments = delay_energy(rows, values, delays, taps).groupBy(*keys).agg(F.collect_list("energy").alias("__e"))
+    total = F.aggregate("__e", F.array().cast("array<double>"), lambda s, e: F.zip_with(s, e, lambda a, b: silent(a) + silent(b)))
+    return fragments.select(*keys, F.posexplode_outer(total).alias("idx", "value"))

@@ -20,6 +20,8 @@ from pulsegrid.functions import filter_design as D
 from pulsegrid.operators.blocks import KEYS, map_values, with_halo
 from pulsegrid.session import cut_lineage
 
+#: Samples that are filtered side by side.
+CELLS = 1 << 21
 NEGLIGIBLE = 1e-20  # share of an earlier block's state that is below rounding error
 
 
@@ -42,6 +44,22 @@ def run_sections(x: np.ndarray, sos: np.ndarray, state: np.ndarray) -> tuple[np.
     return y, state
 
 
+def bounded(sizes: Sequence[int]) -> list[list[int]]:
+    """Rows, by number, in groups whose padded grid has at most ``CELLS`` numbers, whatever the Arrow batch
+    holds; rows of negative size are left out."""
+    groups: list[list[int]] = []
+    width = 0
+    for i, n in enumerate(sizes):
+        if n < 0:
+            continue
+        if not groups or max(width, n) * (len(groups[-1]) + 1) > CELLS:
+            groups.append([])
+            width = 0
+        groups[-1].append(i)
+        width = max(width, n)
+    return groups
+
+
 def state_responses(sos: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Outputs (``[2S, length]``) and end states for each unit start state and no input."""
     size = 2 * len(sos)
@@ -69,11 +87,15 @@ def run(blocks: DataFrame, sos: np.ndarray, block: int, keys: Sequence[str] = KE
     sos = np.asarray(sos, float)
     size = 2 * len(sos)
     far = reach(sos, block)
-    transition = state_responses(sos, block)[1]
+    responses, transition = state_responses(sos, block)
     rest_state = D.steady_state(sos) if settled else np.zeros(size)
 
     @pandas_udf("struct<y: array<double>, sends: array<double>>")
     def from_rest(values: pd.Series, starts: pd.Series) -> pd.DataFrame:
+        parts = [side_by_side(values.iloc[g], starts.iloc[g]) for g in bounded([len(v) for v in values])]
+        return pd.DataFrame({"y": [y for p in parts for y in p[0]], "sends": [s for p in parts for s in p[1]]})
+
+    def side_by_side(values: pd.Series, starts: pd.Series) -> tuple[list, list]:
         first = starts.to_numpy(bool)
         rows = [np.asarray(v, float)[::-1] if backward else np.asarray(v, float) for v in values]
         width = max((len(x) for x in rows), default=0)
@@ -89,14 +111,14 @@ def run(blocks: DataFrame, sos: np.ndarray, block: int, keys: Sequence[str] = KE
         for k in range(1, far):
             shares[:, k] = shares[:, k - 1] @ transition
         ys = [y[width - len(x):][::-1] if backward else y[width - len(x):] for y, x in zip(out, rows)]
-        sends = list(shares.reshape(len(rows), -1))
-        return pd.DataFrame({"y": ys, "sends": sends})
+        return ys, list(shares.reshape(len(rows), -1))
 
     @pandas_udf("array<double>")
     def add_state(y: pd.Series, states: pd.Series) -> pd.Series:
         longest = max((len(v) for v in y), default=0)
-        more = np.stack(states.to_numpy()) @ state_responses(sos, longest)[0] if len(y) else []
-        return pd.Series([v + (m[:len(v)][::-1] if backward else m[:len(v)]) for v, m in zip(y, more)])
+        known = responses if longest <= block else state_responses(sos, longest)[0]
+        more = (s @ known[:, :len(v)] for v, s in zip(y, states))
+        return pd.Series([v + (m[::-1] if backward else m) for v, m in zip(y, more)])
 
     marked = blocks if "starts" in blocks.columns else blocks.withColumn(
         "starts", F.col("block") == 0)

@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from pulsegrid.functions import arrays as A
 from pulsegrid.functions.keyed import between, pick
 
 # Upper mel edge in Hz per signal kind.
@@ -116,19 +115,18 @@ def spectra_table(rows: DataFrame, keys, values: str, n_fft: int, hop: int, wind
     return made.select(*keys, F.posexplode_outer("__m").alias("frame", "mags"))
 
 
-def median_filter(v: Column, size: Column) -> Column:
-    """Running median over ``size`` neighbours with mirrored ends; upper middle for even sizes."""
-    def run(c, size):
-        n = F.size(c)
-        half = F.floor(size / 2).cast("int")
+#: Numbers that the running median lays out at a time.
+MEDIAN_CELLS = 1 << 20
 
-        def mirrored(r):
-            return A.bind(F.pmod(r, 2 * n), lambda m: F.get(c, F.when(m < n, m).otherwise(2 * n - 1 - m)))
 
-        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(F.array_sort(F.transform(
-            F.sequence(-half, size - half - 1), lambda o: mirrored(i + o))), half))
-
-    return A.bind(F.struct(v.alias("c"), size.alias("n")), lambda b: run(b.c, b.n))
+def running_median(x: np.ndarray, size: int) -> np.ndarray:
+    """Down each column of ``x``, the median of ``size`` neighbours with mirrored ends; upper middle for even sizes."""
+    n, half = len(x), size // 2
+    at = (np.arange(n)[:, None] + np.arange(size)[None, :] - half) % (2 * n)
+    at = np.minimum(at, 2 * n - 1 - at)
+    step = max(1, MEDIAN_CELLS // at.size)
+    parts = [np.partition(x[:, i:i + step][at], half, axis=1)[:, half] for i in range(0, x.shape[1], step)]
+    return np.concatenate(parts, axis=1)
 
 
 def soft_mask(x: Column, ref: Column, split_zeros: Column) -> Column:
@@ -142,18 +140,28 @@ def soft_masks(spectra: DataFrame, keys, time_size: Column, freq_size: Column,
                margins: tuple[Column, Column]) -> DataFrame:
     """Harmonic and percussive masks ``(keys, frame, bin, mag, harmonic, percussive)``.
 
-    The median over frequency stays inside a frame row; the median over time regroups one bin of
-    one fragment, whose frames are few by the fragment's fixed length.
+    Both medians lie inside one fragment, so its frames (few, by its fixed length) meet as whole rows and no cell
+    is shuffled. Sizes depend on the keys only.
     """
     keys = list(keys)
-    perc = spectra.select(*keys, "frame", F.posexplode_outer(F.arrays_zip(
-        F.col("mags").alias("mag"), median_filter(F.col("mags"), freq_size).alias("p"))).alias("bin", "z"))
-    cells = perc.select(*keys, "frame", "bin", F.col("z.mag").alias("mag"), F.col("z.p").alias("__p"))
-    series = cells.groupBy(*keys, "bin").agg(
-        F.array_sort(F.collect_list(F.struct("frame", "mag", "__p"))).alias("s"))
-    both = series.withColumn("__h", median_filter(F.transform("s", lambda c: c["mag"]), time_size))
-    flat = both.select(*keys, "bin", F.explode_outer(F.arrays_zip("s", "__h")).alias("z")).select(
-        *keys, "bin", "z.s.frame", "z.s.mag", F.col("z.s.__p").alias("__p"), F.col("z.__h").alias("__h"))
+
+    @pandas_udf("array<struct<h: array<double>, p: array<double>>>")
+    def medians(tables: pd.Series, time: pd.Series, freq: pd.Series) -> pd.Series:
+        out = []
+        for rows, over_time, over_freq in zip(tables, time, freq):
+            x = np.stack(list(rows)) if len(rows) else np.zeros((0, 0))
+            h, p = (running_median(x, over_time), running_median(x.T, over_freq).T) if x.size else (x, x)
+            out.append([{"h": a, "p": b} for a, b in zip(h, p)])
+        return pd.Series(out)
+
+    fragments = spectra.where(F.col("mags").isNotNull()).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("frame", "mags"))).alias("__s"))
+    with_medians = fragments.withColumn("__m", medians(
+        F.transform("__s", lambda c: c["mags"]), time_size.cast("int"), freq_size.cast("int")))
+    frames = with_medians.select(*keys, F.explode_outer(F.arrays_zip("__s", "__m")).alias("z")).select(
+        *keys, "z.__s.frame", "z.__s.mags", F.col("z.__m.h").alias("h"), F.col("z.__m.p").alias("p"))
+    flat = frames.select(*keys, "frame", F.posexplode_outer(F.arrays_zip("mags", "h", "p")).alias("bin", "z")).select(
+        *keys, "frame", "bin", F.col("z.mags").alias("mag"), F.col("z.h").alias("__h"), F.col("z.p").alias("__p"))
     m1, m2 = margins
     even = (m1 == 1) & (m2 == 1)
     return flat.select(*keys, "frame", "bin", "mag",

@@ -78,7 +78,7 @@ def stretch(name: str, src: str, step: str, rates, keep: bool = False, k: str =
     out = name + ("_y" if normal else "")
     return f"""{name}_n AS (SELECT k, count(*) AS n, {rate} AS rate FROM {src} GROUP BY k),
     {name}_t AS (SELECT k, n, i AS idx, i * rate AS t, floor(i * rate)::bigint AS j
-        FROM {name}_n, range(0, 200) AS r(i) WHERE i <= floor((n - 1) / rate) {'AND i < n' if keep else ''}),
+        FROM {name}_n, unnest(range(0, floor((n - 1) / rate)::bigint + 1)) AS r(i) {'WHERE i < n' if keep else ''}),
     {out} AS (SELECT t.k, t.idx, a.x + (t.t - t.j) * (b.x - a.x) AS x FROM {name}_t t
         JOIN {src} a ON a.k = t.k AND a.idx = t.j JOIN {src} b ON b.k = t.k AND b.idx = least(t.j + 1, n - 1))
     """ + ("," + absmax(name, out) if normal else "")

@@ -84,7 +84,7 @@ def resample_sql(name: str, src: str, fs_in: int, fs_out: int) -> str:
     half = len(taps) // 2
     return f"""{values_sql(name + '_k', taps)},
     {name}_n AS (SELECT record_id, count(*) AS n FROM {src} GROUP BY record_id),
-    {name}_m AS (SELECT record_id, m FROM {name}_n, range(0, 1000) AS r(m) WHERE m * {down} < n * {up}),
+    {name}_m AS (SELECT record_id, m FROM {name}_n, unnest(range(0, (n * {up} - 1) // {down} + 1)) AS r(m)),
     {name} AS (SELECT o.record_id, m AS idx, sum(h * x) AS x
       FROM {name}_m o JOIN {src} z ON z.record_id = o.record_id
         AND z.idx * {up} BETWEEN m * {down} - {half} AND m * {down} + {half}

@@ -128,8 +128,7 @@ def fragment_k_peak(spark, d):
 
 @query("W1", sql=f"""WITH {RAG_SQL},
     n AS (SELECT vec_id, 40 + vec_id % 25 AS n FROM embeddings),
-    w AS (SELECT vec_id, n, k AS win_no, 3 + k * 12 AS start_idx FROM n, range(0, 20) AS q(k)
-          WHERE k <= greatest(0, n - 16 - 3) // 12)
+    w AS (SELECT vec_id, n, k AS win_no, 3 + k * 12 AS start_idx FROM n, unnest(range(0, greatest(0, n - 16 - 3) // 12 + 1)) AS q(k))
     SELECT w.vec_id, win_no::integer AS win_no, p.p::integer AS idx, round(coalesce(x, 0.0), 6) + 0.0 AS value
     FROM w CROSS JOIN range(0, 16) AS p(p) LEFT JOIN r ON r.vec_id = w.vec_id AND r.idx = start_idx + p.p""")
 def fragment_windows(spark, d):

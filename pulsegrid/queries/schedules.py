@@ -20,6 +20,7 @@ comb AS (SELECT key, base_set, row_number() OVER (PARTITION BY key ORDER BY base
 combined AS (SELECT key, pos::integer AS pos, base_set, (pos + 1) / 20.0::double AS proportion,
           min(s.augment_num) OVER (PARTITION BY comb.key)::integer AS augment_num, s.path, s.split, s.segment, s.gen_data
           FROM (SELECT key AS base_set, augment_num, path, split, segment, gen_data FROM sets) s JOIN comb USING (base_set)),
+held AS (SELECT 'test_set' AS part, min(source) AS s FROM documents UNION ALL SELECT 'valid_set', max(source) FROM documents),
 names AS (SELECT key, n FROM src UNION ALL SELECT DISTINCT lang, 7 FROM documents UNION ALL SELECT 'src' || max(n_chars), 3 FROM documents),
 stages AS (SELECT (row_number() OVER (ORDER BY key) - 1)::integer AS stage, key, (1 + n % 5)::integer AS epochs, n % 2 = 0 AS letskip FROM names)
 """
@@ -45,10 +46,11 @@ def written(spark, d):
                  F.concat(F.lit("src"), F.col("c").cast("string")).alias("key"), F.lit(3).cast("long").alias("n"))))
     steps = names.agg(F.array_sort(F.collect_list(F.struct(
         "key", (1 + F.col("n") % 5).cast("int").alias("epochs"), (F.col("n") % 2 == 0).alias("letskip")))).alias("s"))
-    held = lambda name: F.struct(F.lit(f"/data/{name}").alias("data"), F.lit(f"/split/{name}.csv").alias("split"),
-                                 F.lit(f"/seg/{name}").alias("segment"))
+    # The first source by name is held out for the test, the last for validation.
+    held = lambda pick: src.agg(F.struct(*[F.concat(F.lit(a), pick("source"), F.lit(b)).alias(c) for a, b, c in (
+        ("/data/", "", "data"), ("/split/", ".csv", "split"), ("/seg/", "", "segment"))])).scalar()
     one = spark.range(1).select(
-        held("test").alias("test_set"), held("valid").alias("valid_set"), sets.scalar().alias("datasets"),
+        held(F.min).alias("test_set"), held(F.max).alias("valid_set"), sets.scalar().alias("datasets"),
         parts.scalar().alias("combined_datasets"), steps.scalar().alias("schedule"))
     path = scratch_path(spark, "schedule")
     one.write.json(path)
@@ -62,7 +64,7 @@ def schedule_datasets(spark, d):
 
 
 @query("S11", sql=f"""WITH {SRC_SQL}, p AS (SELECT key, path AS data, split, segment FROM sets
-    UNION ALL SELECT s || '_set', '/data/' || s, '/split/' || s || '.csv', '/seg/' || s FROM (VALUES ('test'), ('valid')) v(s))
+    UNION ALL SELECT part, '/data/' || s, '/split/' || s || '.csv', '/seg/' || s FROM held)
     SELECT key, kind, path FROM (UNPIVOT p ON data, split, segment INTO NAME kind VALUE path)""")
 def schedule_paths(spark, d):
     return S.paths(written(spark, d)).drop("file")
@@ -97,7 +99,7 @@ def schedule_unused_fields(spark, d):
     return S.unused_fields(written(spark, d)).drop("file")
 
 
-@query("S11", sql="""SELECT s || '_set' AS part, '/data/' || s AS data, '/split/' || s || '.csv' AS split,
-    '/seg/' || s AS segment, 0::integer AS augment_num FROM (VALUES ('test'), ('valid')) v(s)""")
+@query("S11", sql=f"""WITH {SRC_SQL} SELECT part, '/data/' || s AS data, '/split/' || s || '.csv' AS split,
+    '/seg/' || s AS segment, 0::integer AS augment_num FROM held""")
 def schedule_eval_sets(spark, d):
     return S.eval_sets(written(spark, d)).drop("file")

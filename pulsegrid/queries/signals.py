@@ -99,7 +99,7 @@ def k_peak_normalised(spark, d):
 @query("W1", "T8", "T9", sql=f"""WITH {SIG_SQL},
     n AS (SELECT record_id, count(*) AS n FROM sig GROUP BY record_id),
     w AS (SELECT record_id, n, k AS win_no, 3 + k * 12 AS start_idx
-          FROM n, range(0, 100) AS r(k) WHERE n > 3 AND k <= greatest(0, n - 16 - 3) // 12)
+          FROM n, unnest(range(0, greatest(0, n - 16 - 3) // 12 + 1)) AS r(k) WHERE n > 3)
     SELECT w.record_id, win_no, start_idx, pos, coalesce(x, 0.0) AS value,
            cast(least(16, n - start_idx) AS integer) AS valid_len
     FROM w CROSS JOIN range(0, 16) AS p(pos)

@@ -26,15 +26,14 @@ def _seconds(c):
 
 @query("X1", sql="""
     WITH w AS (SELECT epoch(ts)::bigint // 43200 * 43200 - k * 43200 AS start, ts, event_type, value
-        FROM events, range(0, 2) AS r(k)),
-    mark AS (SELECT epoch(max(ts)) - 3600 AS t FROM events)
+        FROM events, range(0, 2) AS r(k))
     SELECT start, event_type, count(*) AS n, round(sum(value), 4) + 0.0 AS total, round(max(abs(value)), 6) + 0.0 AS peak
-    FROM w, mark WHERE epoch(ts) < start + 57600 AND start + 57600 <= t GROUP BY start, event_type""")
+    FROM w WHERE epoch(ts) < start + 57600 GROUP BY start, event_type""")
 def streamed_windows(spark, d):
     out, state = scratch_path(spark, "stream-windows"), scratch_path(spark, "stream-state")
     windows = X.sliding_windows(event_stream(spark, d), "ts", ["event_type"], "16 hours", "12 hours", "1 hour")
-    X.write_append(windows, out, state).awaitTermination()
-    rows = spark.read.parquet(out)
+    X.write_updates(windows, out, state).awaitTermination()
+    rows = X.latest_updates(spark, out, ["start", "event_type"])
     return rows.select(_seconds("start").alias("start"), "event_type", "n", tidy(F.col("total"), 4).alias("total"),
                        tidy(F.col("peak")).alias("peak"))
 

@@ -12,7 +12,12 @@ from pulsegrid.operators.metrics import confusion, metric_columns
 
 def sliding_windows(stream: DataFrame, time: str, keys: Sequence[str], length: str, hop: str,
                     delay: str, value: str = "value") -> DataFrame:
-    """Overlapping event-time windows per key; rows later than ``delay`` are dropped."""
+    """Overlapping event-time windows per key.
+
+    A row that comes after its window's end has passed by more than ``delay`` is left out of that window (``write_late``
+    keeps such rows). ``write_append`` stores closed windows only; where the input ends, ``write_updates`` and
+    ``latest_updates`` give the open ones as well.
+    """
     return (stream.withWatermark(time, delay)
             .groupBy(F.window(time, length, hop), *keys)
             .agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"),
@@ -31,6 +36,20 @@ def running_confusion(stream: DataFrame, time: str, keys: Sequence[str], length:
                          *metric_columns())
 
 
+def write_late(stream: DataFrame, time: str, delay: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Rows that come more than ``delay`` after the latest time of earlier batches, below ``path/late``: those that windows
+    with this delay may leave out. A repeated batch overwrites its own folders."""
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.agg(F.max(time).alias("latest")).write.mode("overwrite").parquet(f"{path}/marks/batch={batch_id}")
+        mark = spark.read.parquet(f"{path}/marks").where(F.col("batch") < batch_id).agg(F.max("latest")).scalar()
+        batch.where(F.col(time) < mark - F.expr(f"INTERVAL {delay}")).write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")
+
+    return (stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
 def write_append(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Process all available input into a Parquet table, exactly once."""
     return (df.writeStream.format("parquet").outputMode("append")

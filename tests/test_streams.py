@@ -32,6 +32,21 @@ def test_windows_over_several_batches_and_late_rows(spark):
     assert all(total < 50 for _, total, _ in got.values())
 
 
+def test_open_windows_come_whatever_the_order_of_files_and_late_rows_are_kept(spark):
+    src, out, late = (scratch_path(spark, n) for n in ("src", "out", "late"))
+    rows = [(1, "a", 1.0), (16, "a", -4.0), (70, "a", 2.0), (2, "a", 8.0), (120, "b", 3.0), (18, "a", 5.0)]
+    for i in (2, 0, 1):
+        put(spark, src, rows[2 * i:2 * i + 2])
+    make = lambda df: X.sliding_windows(df, "ts", ["k"], "20 minutes", "15 minutes", "1 day")
+    X.write_updates(make(source(spark, src)), out, scratch_path(spark, "state")).awaitTermination()
+    key = lambda r: (r.start, r.k, r.n, r.total, r.peak)
+    got = sorted(map(key, X.latest_updates(spark, out, ["start", "k"]).collect()))
+    assert got == sorted(map(key, make(spark.read.schema(SCHEMA).parquet(src)).collect())) and len(got) > 3
+    X.write_late(source(spark, src), "ts", "5 minutes", late, scratch_path(spark, "state")).awaitTermination()
+    # The files come as they were written: minutes 120 and 18, then 1 and 16, then 70 and 2.
+    assert sorted(r.value for r in spark.read.parquet(f"{late}/late").collect()) == [-4.0, 1.0, 2.0, 8.0]
+
+
 def test_running_confusion_keeps_the_last_state(spark):
     src, out, state = (scratch_path(spark, n) for n in ("src", "out", "state"))
     make = lambda: X.running_confusion(source(spark, src), "ts", ["k"], "1 day", "1 hour")
