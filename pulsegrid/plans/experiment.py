@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from pulsegrid.operators.balance import with_copies
+from pulsegrid.operators.balance import balanced_resample, with_copies
 from pulsegrid.operators.metrics import METRICS, confusion, metrics
 from pulsegrid.operators.splits import leave_one_source_out
 from pulsegrid.plans import models as M
@@ -46,6 +46,12 @@ def copies(rows: DataFrame, n: int, row_id: str, augment) -> DataFrame:
     return originals.unionByName(augment(with_copies(rows, n, row_id).where("copy_no > 0")))
 
 
+def drawn(rows: DataFrame, row_id: str, seed: int = 0) -> DataFrame:
+    """As many rows as there are, drawn with replacement so that every class is equally likely, as training sets are read."""
+    keyed = rows.withColumn("__row", F.concat_ws("#", F.col(row_id).cast("string"), F.col("copy_no").cast("string")))
+    return balanced_resample(keyed.select("__row", "label"), "__row", seed=seed).select("__row").join(keyed, "__row").drop("__row")
+
+
 def _nest(report: DataFrame) -> DataFrame:
     """Fragment and patient metric rows as one record of nested structs."""
     cell = F.struct(*METRICS)
@@ -64,7 +70,7 @@ def run_fold(rows: DataFrame, layers: Sequence[int], regime: Regime, row_id: str
              fold: int = 1, step: int = 2, results: str | None = None) -> DataFrame:
     """``rows(subset, label, patient, x)`` of one fold: fit on train, select on valid, report test."""
     part = lambda s: rows.where(F.col("subset") == s)
-    train = M.as_vectors(copies(part("train"), regime.train_copies, row_id, augment))
+    train = M.as_vectors(drawn(copies(part("train"), regime.train_copies, row_id, augment), row_id))
     valid = M.as_vectors(copies(part("valid"), regime.valid_copies, row_id, augment))
     model, _ = M.fit_head(train, valid, layers, M.TrainingArgs(regime.train_epochs, step=step))
     report = M.patient_report(model, M.as_vectors(part("test")), order=row_id)
@@ -93,7 +99,7 @@ def run_stages(real: DataFrame, synthetic: DataFrame, stages: Sequence[tuple[str
         rows = real.where("subset = 'train'") if kind == "real" else synthetic
         if kind != "real" and share < 1.0:
             rows = proportion_sample(rows, [], row_id, share)
-        sets.append((M.as_vectors(copies(rows, n, row_id, augment)), epochs))
+        sets.append((M.as_vectors(drawn(copies(rows, n, row_id, augment), row_id, len(sets))), epochs))
     model, _ = M.fit_stages(sets, M.as_vectors(real.where("subset = 'valid'")), layers,
                             M.TrainingArgs(step=step))
     report = M.patient_report(model, M.as_vectors(real.where("subset = 'test'")), order=row_id)
@@ -105,14 +111,17 @@ def run_multichannel(rows: DataFrame, layers: Sequence[int], regime: Regime, row
                      ) -> DataFrame:
     """Head and support-vector probe side by side, nested under ``mlp`` and ``svm``."""
     part = lambda s: M.as_vectors(rows.where(F.col("subset") == s))
-    train = M.as_vectors(copies(rows.where("subset = 'train'"), regime.train_copies, row_id, augment))
-    model, _ = M.fit_head(train, part("valid"), layers, M.TrainingArgs(regime.train_epochs, step=step))
+    every = copies(rows.where("subset = 'train'"), regime.train_copies, row_id, augment)
+    train = M.as_vectors(every)
+    model, _ = M.fit_head(M.as_vectors(drawn(every, row_id)), part("valid"), layers, M.TrainingArgs(regime.train_epochs, step=step))
     mlp = _nest(M.patient_report(model, part("test"), order=row_id))
     probe = M.fit_svm(train.select("features", "label"), k_best)
     pairs = probe.transform(part("test")).select(
         F.col("label").cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"))
     svm = metrics(confusion(pairs)).select(F.struct(*METRICS).alias("svm"))
-    record = mlp.select(F.struct("fragment", "patient").alias("mlp"), svm.scalar().alias("svm"))
+    config = {"epochs": regime.epochs, "augment_num": regime.train_copies, "halved": regime.halved, "k_best": k_best}
+    record = mlp.select(*[F.lit(v).alias(k) for k, v in config.items()], F.struct("fragment", "patient").alias("mlp"),
+                        svm.scalar().alias("svm"))
     if results:
         append_results(record, results)
     return record

@@ -10,9 +10,10 @@ from pulsegrid.functions.numeric import tidy
 from pulsegrid.operators import kernels as C
 from pulsegrid.operators import lookup as L
 from pulsegrid.operators import recursive as I
+from pulsegrid.operators.blocks import to_samples
 from pulsegrid.plans import preprocess as P
 from pulsegrid.queries import query, table
-from pulsegrid.queries.signals import BLOCK, KEY, SIG_SQL, blocks, flat, out_sql, samples
+from pulsegrid.queries.signals import BLOCK, KEY, SIG_SQL, blocks, despike_sql, flat, out_sql, samples
 
 
 def num(v) -> str:
@@ -169,25 +170,36 @@ def ecg_chain(spark, d):
     return flat(P.ecg(rows, CHAIN_BLOCK, 1000, 1500, KEY), CHAIN_BLOCK, RECURSIVE_PLACES)
 
 
-@query("F9")
+@query("F9", sql=f"""WITH RECURSIVE {SIG_SQL}, {resample_sql('res', 'sig', 16, 32)}, {despike_sql('flat', 'res', 16)},
+    {iir_sql('flt', 'flat', D.band_sections(0.5, 9.0, 32.0))}, {absmax_sql('nrm', 'flt')}
+    """ + out_sql("x", "nrm", RECURSIVE_PLACES))
 def pcg_chain(spark, d):
     rows = samples(spark, d).select("record_id", "idx", "value")
-    return flat(P.pcg(rows, CHAIN_BLOCK, 16, 32, KEY, band_hz=(0.5, 9.0)), CHAIN_BLOCK)
+    return flat(P.pcg(rows, CHAIN_BLOCK, 16, 32, KEY, band_hz=(0.5, 9.0)), CHAIN_BLOCK, RECURSIVE_PLACES)
 
 
-@query("F11", "P5")
+@query("F11", "P5", sql=f"""WITH RECURSIVE {SIG_SQL}, {resample_sql('res', 'sig', 1000, 1500)},
+    e AS (SELECT * FROM res WHERE record_id::bigint % 2 = 0), p AS (SELECT * FROM res WHERE record_id::bigint % 2 = 1),
+    {iir_sql('fe', 'e', D.band_sections(*P.BANDS["ecg"], 1500.0))}, {absmax_sql('ne', 'fe')}, {despike_sql('pd', 'p', 750)},
+    {iir_sql('fp', 'pd', D.band_sections(*P.BANDS["pcg"], 1500.0))}, {absmax_sql('np', 'fp')},
+    b AS (SELECT *, 'E' AS channel FROM ne UNION ALL SELECT *, '1' FROM np)
+    SELECT record_id, channel, idx, round(x, {RECURSIVE_PLACES}) + 0.0 AS value FROM b""")
 def chains_by_channel_kind(spark, d):
     rows = samples(spark, d, "event_type").select(
         "record_id", "idx", "value", F.when(F.col("record_id").cast("long") % 2 == 0, "E")
         .otherwise("1").alias("channel"))
-    out = P.by_kind(rows, CHAIN_BLOCK, 1000, 1500)
-    return out.select("record_id", "channel", "block", F.size("values").alias("n"))
+    out = to_samples(P.by_kind(rows, CHAIN_BLOCK, 1000, 1500), CHAIN_BLOCK)
+    return out.withColumn("value", tidy(F.col("value"), RECURSIVE_PLACES))
 
 
-@query("F12")
+@query("F12", sql=f"""WITH RECURSIVE {SIG_SQL}, {values_sql("ker", C.hilbert_kernel(31))},
+    env AS (SELECT o.record_id, o.idx, ln(greatest(sqrt(any_value(o.x) ** 2 + sum(h * z.x) ** 2), {num(np.finfo(float).eps)})) AS x
+      FROM sig o JOIN ker ON true JOIN sig z ON z.record_id = o.record_id AND z.idx = o.idx + 15 - k GROUP BY o.record_id, o.idx),
+    {zero_phase_sql('flt', 'env', D.butterworth(4, [8.0 / 50.0], "low"), 15)}
+    """ + out_sql("exp(x)", "flt", RECURSIVE_PLACES))
 def homomorphic_envelopes(spark, d):
     env = C.envelope(blocks(spark, d, 64), 31, KEY)
-    return flat(I.log_smooth(env, 64, 100.0, 8.0, 4, KEY), 64)
+    return flat(I.log_smooth(env, 64, 100.0, 8.0, 4, KEY), 64, RECURSIVE_PLACES)
 
 
 @query("F12", sql=f"""WITH {SIG_SQL}, {values_sql("ker", C.hilbert_kernel(31))}

@@ -83,7 +83,7 @@ def holdout_experiment(spark, d):
 
 @query("M7")
 def multichannel_experiment(spark, d):
-    return leaves(E.run_multichannel(features(spark, d), [64, 8, 2], SMALL, "vec_id", 20, noisy))
+    return leaves(E.run_multichannel(features(spark, d), [64, 8, 2], SMALL, "vec_id", 20, noisy), "epochs", "k_best")
 
 
 @query("M8")

@@ -160,7 +160,39 @@ def window_peak_medians(spark, d):
     return m.select("record_id", tidy(F.col("median_maa")).alias("median_maa"))
 
 
-@query("W7", "T10")
+def despike_sql(name: str, src: str, win: int, threshold: float = 3.0, rounds: int = 1000, key: str = "record_id") -> str:
+    """Rounds of flattening as a recursion over the full windows of a record: ``{name}_end(w, stuck)`` and the signal ``{name}``."""
+    return f"""{name}_n AS (SELECT {key}, count(*) AS n FROM {src} GROUP BY {key}),
+    {name}_w AS (SELECT {key}, idx // {win} AS win, list(x ORDER BY idx) AS v FROM {src} JOIN {name}_n USING ({key})
+        WHERE idx < n // {win} * {win} GROUP BY ALL),
+    {name}_st({key}, r, w, going, stuck) AS (
+        SELECT {key}, 0, list(v ORDER BY win), true, false FROM {name}_w GROUP BY {key}
+        UNION ALL
+        SELECT {key}, r + 1, CASE WHEN loud THEN list_transform(w, lambda y, i: CASE WHEN i = k THEN new ELSE y END) ELSE w END,
+            loud AND new <> x AND r + 1 < {rounds}, loud AND (new = x OR r + 1 = {rounds})
+        FROM (SELECT *, list_transform(x, lambda y, j: CASE WHEN j - 1 >= low AND j - 1 < high THEN 1e-4 ELSE y END) AS new
+          FROM (SELECT *, coalesce(list_max(list_filter(flips, lambda f: f < peak)) + 1, 0) AS low,
+                coalesce(list_min(list_filter(flips, lambda f: f >= peak)), len(x) - 1) AS high
+            FROM (SELECT *, list_position(list_transform(x, lambda y: abs(y)), top) - 1 AS peak,
+                  list_filter(range(0, len(x) - 1), lambda f: abs(sign(x[f + 2]) - sign(x[f + 1])) > 1) AS flips
+              FROM (SELECT *, w[k] AS x FROM (
+                SELECT *, list_max(maa) AS top, list_position(maa, list_max(maa)) AS k,
+                    list_median(maa) <> 0 AND list_max(maa) > {threshold} * list_median(maa) AS loud
+                FROM (SELECT *, list_transform(w, lambda y: list_max(list_transform(y, lambda z: abs(z)))) AS maa
+                  FROM {name}_st WHERE going))))))),
+    {name}_end AS (SELECT {key}, arg_max(w, r) AS w, arg_max(stuck, r) AS stuck FROM {name}_st GROUP BY {key}),
+    {name} AS (SELECT s.{key}, idx, CASE WHEN idx < n // {win} * {win} THEN e.w[idx // {win} + 1][idx % {win} + 1] ELSE s.x END AS x
+        FROM {src} s JOIN {name}_n USING ({key}) LEFT JOIN {name}_end e USING ({key}))"""
+
+
+@query("W7", "T10", sql=f"""WITH RECURSIVE {CENTRED_SQL}, {despike_sql("flat", "cen", 8)}
+    SELECT record_id, idx // 8 AS block, coalesce(any_value(changed AND stuck), false) AS unresolved, round(sum(abs(x)), 6) + 0.0 AS mass
+    FROM (SELECT f.*, e.stuck, coalesce(e.w[idx // 8 + 1] <> o.w[idx // 8 + 1], false) OR coalesce(e.stuck AND idx // 8 + 1 = list_position(
+              list_transform(e.w, lambda y: list_max(list_transform(y, lambda z: abs(z)))),
+              list_max(list_transform(e.w, lambda y: list_max(list_transform(y, lambda z: abs(z)))))), false) AS changed
+          FROM flat f LEFT JOIN flat_end e USING (record_id)
+          LEFT JOIN (SELECT record_id, w FROM flat_st WHERE r = 0) o USING (record_id))
+    GROUP BY record_id, idx // 8""")
 def spikes_removed(spark, d):
     win = 8
     w = K.to_blocks(centred(spark, d), win, KEY)

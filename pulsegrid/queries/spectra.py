@@ -90,7 +90,28 @@ def reweighted_spectra(spark, d):
     return out.select("vec_id", "frame", "bin", tidy(F.col("reweighted"), 5).alias("value"))
 
 
-@query("G8")
+def _size_sql(name: str) -> str:
+    return f"(floor({u_sql(f"'4:size:{name}:' || vec_id")} * 26) + 5)::bigint"
+
+
+def _margin_sql(name: str) -> str:
+    return f"(1.0 + {u_sql(f"'4:margin:{name}:' || vec_id")})"
+
+
+def _median_sql(n: int, at: str, along: str, size: str) -> str:
+    """Upper middle of ``size`` neighbours in a list of ``n`` with mirrored ends."""
+    place = f"(({at} + o - {size} // 2) % {2 * n} + {2 * n}) % {2 * n}"
+    return (f"list_sort(list_transform(range(0, {size}), lambda o: {along}[least({place}, {2 * n - 1} - {place}) + 1]))"
+            f"[{size} // 2 + 1]")
+
+
+@query("G8", sql=f"""WITH {mags_sql(_FULL)},
+    t AS (SELECT vec_id, bin, list(mag ORDER BY frame) AS col FROM mags GROUP BY ALL),
+    f AS (SELECT vec_id, frame, list(mag ORDER BY bin) AS line FROM mags GROUP BY ALL),
+    s AS (SELECT vec_id, {_size_sql("time")} AS nt, {_size_sql("freq")} AS nf, {_margin_sql("h")} AS mh, {_margin_sql("p")} AS mp FROM embeddings),
+    m AS (SELECT vec_id, frame, bin, mh, mp, {_median_sql(17, "frame", "col", "nt")} AS h, {_median_sql(9, "bin", "line", "nf")} AS p
+        FROM mags JOIN t USING (vec_id, bin) JOIN f USING (vec_id, frame) JOIN s USING (vec_id))
+    SELECT vec_id, frame::integer AS frame, bin::integer AS bin, round(h * h / (h * h + (p * mh) ** 2), 6) + 0.0 AS harmonic FROM m""")
 def randomly_sized_masks(spark, d):
     key = [F.col("vec_id")]
     table = S.spectra_table(vectors(spark, d), ["vec_id"], "x", 16, 4, _FULL)
