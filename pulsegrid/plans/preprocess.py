@@ -21,7 +21,11 @@ CHANNEL_COLUMNS = {"1": 0, "2": 1, "3": 2, "4": 3, "5": 4, "6": 5, "7": 6, "E":
 
 
 def _filled(samples, block, fs_in, fs_out, keys):
-    return resample(fill_gaps(to_blocks(samples, block, keys), block, keys), block, fs_in, fs_out, keys)
+    return _filled_blocks(to_blocks(samples, block, keys), block, fs_in, fs_out, keys)
+
+
+def _filled_blocks(blocks, block, fs_in, fs_out, keys):
+    return resample(fill_gaps(blocks, block, keys), block, fs_in, fs_out, keys)
 
 
 def _despiked(x, block, fs_out, keys):
@@ -52,7 +56,13 @@ def ecg(samples: DataFrame, block: int, fs_in: int, fs_out: int, keys: Sequence[
 def by_kind(samples: DataFrame, block: int, fs_in: int, fs_out: int, keys: Sequence[str] = KEYS
             ) -> DataFrame:
     """Each channel through the chain of its kind, by channel name; shared steps run once."""
-    whole = cut_lineage(_filled(samples, block, fs_in, fs_out, keys), "resampled")
+    return by_kind_blocks(to_blocks(samples, block, keys), block, fs_in, fs_out, keys)
+
+
+def by_kind_blocks(blocks: DataFrame, block: int, fs_in: int, fs_out: int, keys: Sequence[str] = KEYS
+                   ) -> DataFrame:
+    """``by_kind`` for recordings that are blocks of ``block`` samples already."""
+    whole = cut_lineage(_filled_blocks(blocks, block, fs_in, fs_out, keys), "resampled")
     is_ecg = F.col("channel").isin(*ECG_CHANNELS)
     banded = band(whole.where(is_ecg), block, fs_out, *BANDS["ecg"], keys=keys).unionByName(
         band(_despiked(whole.where(~is_ecg), block, fs_out, keys), block, fs_out, *BANDS["pcg"], keys=keys))

@@ -11,9 +11,13 @@ from pulsegrid.operators import kernels as C
 from pulsegrid.operators import lookup as L
 from pulsegrid.operators import recursive as I
 from pulsegrid.operators.blocks import to_samples
+from pulsegrid.operators.windows import WindowSpec
+from pulsegrid.plans import fragments as B
 from pulsegrid.plans import preprocess as P
 from pulsegrid.queries import query, table
+from pulsegrid.queries.ingest import wav_files
 from pulsegrid.queries.signals import BLOCK, KEY, SIG_SQL, blocks, despike_sql, flat, out_sql, samples
+from pulsegrid.sources import wav as W
 
 
 def num(v) -> str:
@@ -231,6 +235,46 @@ def beam_energy(spark, d):
     return C.beam(rows, ["vec_id"]).withColumn("value", tidy(F.col("value")))
 
 
+# Two-channel recordings of 32 samples: column 0 is the ECG E, column 1 the microphone 1.
+RECORDED = {"E": 0, "1": 1}
+_SPEC = WindowSpec(window_s=0.016, overlap_s=0.004, pad_s=0.003)
+_START, _WIN, _HOP = _SPEC.samples(1500)
+
+
+def recorded_fragments(spark, d):
+    ids = F.regexp_extract("path", r"v(\d+)\.wav$", 1).cast("long")
+    recordings = W.decode(wav_files(spark, d), CHAIN_BLOCK).withColumn("record_id", ids)
+    split = table(spark, d, "embeddings").where("vec_id % 7 <> 0").select(
+        F.col("vec_id").alias("record_id"), F.expr("vec_id div 4").alias("patient"), F.col("label"),
+        F.when(F.col("vec_id") % 5 == 0, "test").otherwise("train").alias("subset"))
+    return B.fragments(split, B.named_channels(recordings, RECORDED), CHAIN_BLOCK, 1000, 1500, _SPEC)
+
+
+@query("P6", "W1", "J2", "S4", sql=f"""WITH RECURSIVE v AS (SELECT vec_id, p.p AS idx, embedding[p.p + 1]::double AS x FROM embeddings, range(0, 64) AS p(p)
+        WHERE vec_id % 7 <> 0),
+    raw AS (SELECT vec_id * 2 + (idx // 32) AS record_id, idx % 32 AS idx, round(greatest(-1.0, least(1.0, x)) * 32767) / 32767 AS x FROM v),
+    {resample_sql('res', 'raw', 1000, 1500)},
+    e AS (SELECT * FROM res WHERE record_id % 2 = 0), p AS (SELECT * FROM res WHERE record_id % 2 = 1),
+    {iir_sql('fe', 'e', D.band_sections(*P.BANDS["ecg"], 1500.0))}, {absmax_sql('ne', 'fe')},
+    {iir_sql('fp', 'p', D.band_sections(*P.BANDS["pcg"], 1500.0))}, {absmax_sql('np', 'fp')},
+    b AS (SELECT * FROM ne UNION ALL SELECT * FROM np), n AS (SELECT record_id, count(*) AS n FROM b GROUP BY record_id),
+    w AS (SELECT record_id, n, k AS win_no, {_START} + k * {_HOP} AS t0
+        FROM n, unnest(range(0, greatest(0, n - {_WIN} - {_START}) // {_HOP} + 1)) AS r(k) WHERE n > {_START}),
+    cells AS (SELECT w.*, p.p AS pos, coalesce(x, 0.0) AS x FROM w CROSS JOIN range(0, {_WIN}) AS p(p)
+        LEFT JOIN b ON b.record_id = w.record_id AND b.idx = t0 + p.p)
+    SELECT c.record_id // 2 AS record_id, c.win_no, c.pos::integer AS pos, (c.record_id // 2) // 4 AS patient, label,
+        CASE WHEN (c.record_id // 2) % 5 = 0 THEN 'test' ELSE 'train' END AS subset, least({_WIN}, c.n - c.t0)::integer AS valid_len,
+        round(c.x, {RECURSIVE_PLACES}) + 0.0 AS microphone, round(e.x, {RECURSIVE_PLACES}) + 0.0 AS ecg
+    FROM cells c JOIN cells e ON e.record_id = c.record_id - 1 AND e.win_no = c.win_no AND e.pos = c.pos
+    JOIN embeddings ON vec_id = c.record_id // 2 WHERE c.record_id % 2 = 1""")
+def built_fragments(spark, d):
+    rows = B.stacked(recorded_fragments(spark, d), ["1", "E"]).withColumn("w", F.arrays_zip(
+        F.get("waveforms", F.lit(0)).alias("m"), F.get("waveforms", F.lit(1)).alias("e")))
+    own = ["record_id", "win_no", "patient", "label", "subset", "valid_len"]
+    return rows.select(*own, F.posexplode_outer("w").alias("pos", "z")).select(
+        *own, "pos", tidy(F.col("z.m"), RECURSIVE_PLACES).alias("microphone"), tidy(F.col("z.e"), RECURSIVE_PLACES).alias("ecg"))
+
+
 _GRID = np.cumprod(1 - L.linear_betas(1e-4, 0.05, 50))
 
 
