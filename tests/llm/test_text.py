@@ -357,6 +357,24 @@ def test_licences_and_where_they_come_from(spark):
     assert licenses.scan(frame.limit(0)).count() == 0
 
 
+def test_wrapped_notices_headers_and_whole_licence_texts(spark):
+    gnu = ("# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n"
+           "# the Free Software Foundation, either version {} of the License, or\n# (at your option) any later version.\n#\nimport os\nprint(os.name)\n")
+    texts = {p.stem: p.read_text() for p in licenses.TEXTS.glob("*.txt")}
+    mit = texts["MIT"].replace("Permission is", "Copyright (c) 2020 Jane Doe\n\nPermission is")
+    files = {"GPL-3.0": ["This work is licensed under the GNU General\nPublic License, version 3", gnu.format(3), texts["GPL-3.0"]],
+             "GPL-2.0": [gnu.format(2), texts["GPL-2.0"]],
+             "MIT": ["Copyright (c) 2020 Jane Doe. Released under the MIT License.", mit, "/*\n * " + mit.replace("\n", "\n * ") + "\n */\n\nint main() { return 0; }\n"],
+             "BSD-2-Clause": [licenses.long_templates()["BSD-2-Clause text"]], "BSD-3-Clause": [texts["BSD-3-Clause"]],
+             "Apache-2.0": [texts["Apache-2.0"]], "AGPL-3.0": [licenses.long_templates()["AGPL-3.0 text"]], "ISC": [texts["ISC"]],
+             None: ["Some words\nabout nothing in particular.", "The work of the public is a version of the license that you may use."]}
+    rows = [(f"{k}/{i}", k, t) for k, ts in files.items() for i, t in enumerate(ts)] + [(f"fill/{i}", None, f"the plain words of a house {i}") for i in range(300)]
+    frame = spark.createDataFrame([(p, t) for p, _, t in rows], "path string, text string")
+    got = {r["path"]: r for r in licenses.notices_of(frame, whole=F.lit(True)).collect()}
+    assert {p: r["license"] for p, r in got.items()} == {p: k for p, k, _ in rows if k}
+    assert got["MIT/1"]["chars"] >= licenses.STANDALONE * len(mit)
+
+
 def test_anchors_leave_no_match_out():
     counts = licenses.vocabulary(licenses.NOTICES)
     idf = {t: 1 + len(t) / 7 for c in counts.values() for t in c}
