@@ -8,6 +8,9 @@ First, vectors are drawn together into *balls*, narrow enough (``BALL`` degrees
 are surely linked. A ball goes through the tables once, so a group of very many near copies costs a few rows there,
 and its links are counted by multiplication: between two balls whose angle and radii settle it, all pairs are linked or none.
 What is not settled so is counted member by member, in blocks.
+
+The centres of two balls with linked members may lie apart by the least similarity's angle and both radii. The wider a ball,
+the more tables it is posted to, as many as balls at that angle need to meet in one.
 """
 
 from __future__ import annotations
@@ -24,6 +27,10 @@ from pulsegrid.llm.vectors import matrix, runs, usable
 from pulsegrid.session import cut_lineage
 
 TABLES, PROBES, ROUNDS, SALTS = 8, 4, 3, 64
+#: The most tables, and the share of pairs at the widest angle that may meet in none of theirs.
+MOST, MISS = 100, 5e-4
+#: Degrees between the radii for which a number of tables is worked out, and how many pairs and tables are tried for it.
+STEP, TRIED = 2.5, (250, 4)
 #: Degrees: the angle that a ball may reach from its centre. Under half the angle of the least similarity.
 BALL, MARGIN = 10.0, 1e-5
 #: Rows of a bucket that meet in one group; a larger bucket is cut into blocks that meet in pairs.
@@ -133,18 +140,41 @@ def draw_together(balls: DataFrame, round: int) -> tuple[DataFrame, DataFrame]:
     return led.select("ball", "leader"), left
 
 
-def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Balls to ``(key, own, ball, s1, s2, radius)``, one row a table and probe."""
-    for batch in batches:
-        if batch.num_rows:
-            x = unit(matrix(batch.column("centre")))
-            words, ball, radius = sketches(x), batch.column("ball").to_numpy(), batch.column("radius").to_numpy()
-            for t in range(TABLES):
-                b = buckets(x, t, PROBES)
-                for p in range(b.shape[1]):
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(b[:, p] * TABLES + t), pa.array(np.full(len(x), p == 0)), pa.array(ball), pa.array(words[:, 0].copy()),
-                        pa.array(words[:, 1].copy()), pa.array(radius)], names=["key", "own", "ball", "s1", "s2", "radius"])
+def tables_needed(size: int, angle: float) -> int:
+    """How many tables vectors of ``size`` places at an angle of ``angle`` degrees need, tried out on random pairs; ``TABLES`` at least."""
+    if size < 2:
+        return TABLES
+    rng = np.random.default_rng([21, size])
+    x, y = unit(rng.standard_normal((TRIED[0], size))), rng.standard_normal((TRIED[0], size))
+    y = unit(y - (x * y).sum(axis=1)[:, None] * x)
+    y = x * np.cos(np.radians(angle)) + y * np.sin(np.radians(angle))
+    met = 0.0
+    for t in range(TRIED[1]):
+        a, b = buckets(x, t, PROBES), buckets(y, t, PROBES)
+        met += ((a[:, :1] == b).any(axis=1) | (b[:, :1] == a).any(axis=1)).mean() / TRIED[1]
+    if met >= 1:
+        return TABLES
+    return min(MOST, max(TABLES, int(np.ceil(np.log(MISS) / np.log1p(-met))) if met else MOST))
+
+
+def _posted(tables: list[int]):
+    """Balls to ``(key, own, ball, s1, s2, radius)``, one row a table and probe; a ball of radius r takes part in
+    ``tables[ceil(r / STEP)]`` tables."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = unit(matrix(batch.column("centre")))
+                words, ball, radius = sketches(x), batch.column("ball").to_numpy(), batch.column("radius").to_numpy()
+                needed = np.array(tables)[np.ceil(radius / STEP).astype(np.int64)]
+                for t in range(needed.max()):
+                    i = np.flatnonzero(needed > t)
+                    b = buckets(x[i], t, PROBES)
+                    for p in range(b.shape[1]):
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array(b[:, p] * MOST + t), pa.array(np.full(len(i), p == 0)), pa.array(ball[i]), pa.array(words[i, 0]),
+                            pa.array(words[i, 1]), pa.array(radius[i])], names=["key", "own", "ball", "s1", "s2", "radius"])
+
+    return run
 
 
 def _met(least_angle: float):
@@ -175,8 +205,11 @@ def _met(least_angle: float):
 
 def candidate_pairs(balls: DataFrame, least_angle: float) -> DataFrame:
     """Distinct pairs ``(a, b)`` of balls that share a bucket and whose sketches allow a link between them."""
+    facts = balls.agg(F.max("radius"), F.max(F.size("centre"))).first()
+    widest, size = facts[0] or 0.0, facts[1] or 1
+    tables = [tables_needed(size, least_angle + widest + min(widest, i * STEP)) for i in range(int(np.ceil(widest / STEP)) + 1)]
     posted = cut_lineage(balls.select("ball", "centre", "radius").mapInArrow(
-        _posted, "key long, own boolean, ball long, s1 long, s2 long, radius double"), "posted")
+        _posted(tables), "key long, own boolean, ball long, s1 long, s2 long, radius double"), "posted")
     large = posted.groupBy("key").count().where(F.col("count") > MEET).select("key", F.ceil(F.col("count") / MEET).cast("int").alias("blocks"))
     cut = (posted.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
            .withColumn("block", F.pmod(F.xxhash64("ball"), "blocks").cast("int"))

@@ -85,6 +85,17 @@ def test_links_are_those_of_all_pairs(spark, noise):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in rows)
 
 
+def test_wide_balls_meet_although_their_centres_are_far_apart(spark):
+    rng = np.random.default_rng(12)
+    x, y = (embdedup.unit(rng.standard_normal((400, 64))) for _ in range(2))
+    y = embdedup.unit(y - (x * y).sum(axis=1)[:, None] * x)
+    y = x * np.cos(np.radians(45)) + y * np.sin(np.radians(45))
+    rows = [(i, v.tolist(), 10.0, 2, i) for i, v in enumerate(np.concatenate([x, y]))]
+    balls = spark.createDataFrame(rows, "ball long, centre array<float>, radius double, n long, least long")
+    pairs = {(r["a"], r["b"]) for r in embdedup.candidate_pairs(balls, 25.84).collect()}
+    assert sum((i, i + 400) in pairs for i in range(400)) >= 396
+
+
 def test_vectors_that_link_with_nothing(spark):
     x = [[1, 0, 0], [2, 0, 0], None, [0, 0, 0], [1, None, 0], [float("inf"), 1, 0], [1, 0, 0], [0, 1, 0]]
     rows = embdedup.near_duplicates(frame(spark, [*x, [1, 0, 0], [1, 0, 0]], [5, 1, 2, 3, 4, 6, 7, 8, 7, None])).collect()
