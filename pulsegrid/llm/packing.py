@@ -144,7 +144,10 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, fitted: bool = Tru
 
 
 def best_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Pattern, int]]:
-    """The plan with fewer sequences of the fitted one and the one that packs all by best fit; the fitted one if equal."""
+    """The plan with fewer sequences of the fitted one and the one that packs all by best fit; the fitted one if equal.
+
+    Only for comparison: ``place`` always takes the fitted one.
+    """
     plans = [plan(histogram, capacity), plan(histogram, capacity, fitted=False)]
     return min(plans, key=lambda p: sum(times for _, times in p))
 
@@ -160,7 +163,7 @@ def place(rows: DataFrame, keys: Sequence[str], length: str = "length", capacity
     if any(not 0 < n <= capacity for n in counts):
         raise ValueError(f"lengths must be from 1 to {capacity}")
     slots, base, taken = [], 0, dict.fromkeys(counts, 0)
-    for pattern, times in best_plan(counts, capacity):
+    for pattern, times in plan(counts, capacity):
         at = 0
         for n, m in pattern:
             slots.append((n, taken[n], m, base, at))

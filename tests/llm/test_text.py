@@ -288,6 +288,19 @@ def test_the_fit_takes_part():
     assert max(map(abs, left.values())) < 1
 
 
+def test_places_are_those_of_the_fitted_plan(spark):
+    rng = np.random.default_rng(76)  # of these the plain plan would make one sequence less
+    lengths = rng.choice(rng.integers(600, 2500, 12), 80)
+    histogram = {int(n): int(c) for n, c in zip(*np.unique(lengths, return_counts=True), strict=True)}
+    plain = packing.plan(histogram, fitted=False)
+    rows = spark.createDataFrame([(i, 0, int(n)) for i, n in enumerate(lengths)], "doc_id long, piece int, length long")
+    got = {}
+    for r in packing.place(rows, ["doc_id", "piece"]).collect():
+        got.setdefault(r["sequence_id"], []).append(r["length"])
+    made = lambda plan: sorted(sorted(n for n, m in p for _ in range(m)) for p, t in plan for _ in range(t))
+    assert sorted(map(sorted, got.values())) == made(packing.plan(histogram)) != made(plain)
+
+
 def test_a_length_that_most_pieces_share_is_numbered_in_slices(spark):
     rows = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.when(F.col("id") % 3 == 0, F.lit(100)).otherwise(F.lit(1366)).cast("long").alias("length"))
     got = packing.place(rows, ["doc_id", "piece"]).collect()
