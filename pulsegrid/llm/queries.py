@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsegrid.llm import ann, bpe, chat, embdedup, langid, licenses, packing, quality, simhash, tokencount
-from pulsegrid.session import cut_lineage, scratch_path, ship_package
+from pulsegrid.session import cut_lineage, shared_path, ship_package
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -80,7 +80,7 @@ def op8_pattern_packing(spark, sf_dir):
 @register
 def op10_token_count_cache(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return tokencount.count_tokens(docs, PIECE_BPE, scratch_path(spark, "token-counts")).withColumn(
+    return tokencount.count_tokens(docs, PIECE_BPE, shared_path(spark, "token-counts")).withColumn(
         "over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 

@@ -52,6 +52,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/pulsegrid/{name}-{uuid.uuid4().hex}"
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """The path of this name in the shared folder, the same in every session; ``clear_scratch`` leaves it."""
+    return f"{scratch_root(spark).rstrip('/')}/pulsegrid-{name}"
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete what this library has written below the shared folder; for the end of a job, once its results are stored."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark).rstrip('/')}/pulsegrid")

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F, types as T
 
 from pulsegrid.llm import bpe, chat, langid, licenses, packing, quality, queries, simhash, tokencount, tokenizers
-from pulsegrid.session import scratch_path
+from pulsegrid.session import clear_scratch, scratch_path, shared_path
 
 BYTE, WORD, PIECE = (P.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, ids string, score string, n_tokens string"
@@ -88,6 +88,14 @@ def test_token_counts_use_and_fill_the_cache(spark):
     assert tokencount.count_tokens(docs(spark, []), PIECE, cache).count() == 0
 
 
+def test_the_query_meets_the_counts_of_earlier_runs(spark, sf_dir):
+    run = lambda: sorted(map(str, queries.QUERIES["op10_token_count_cache"](spark, sf_dir).collect()))
+    cache = shared_path(spark, "token-counts")
+    first, held = run(), spark.read.schema(tokencount.CACHE).parquet(cache).count()
+    clear_scratch(spark)
+    assert run() == first and spark.read.schema(tokencount.CACHE).parquet(cache).count() == held > 0
+
+
 def test_whitespace_may_be_normalised_where_the_vocabulary_drops_it(spark):
     cache = scratch_path(spark, "test-cache")
     collapse = lambda c: F.trim(F.regexp_replace(c, "[ \n\t]+", " "))
