@@ -109,7 +109,7 @@ def rearranged_cycles(spark, d):
 def rebuilt_signals(spark, d):
     rows = indexed(spark, d)
     order = cut_lineage(Y.rearrange(found(rows)[2], 6, 0.4), "order")
-    bodies = Y.cycle_bodies(Y.needed_cycles(order, 48, 2), signals(rows), BLOCK, 48 + 2)
+    bodies = Y.cycle_bodies(Y.needed_cycles(order, 48, 2), signals(rows), BLOCK)
     out = Y.rebuild(bodies, 48, 2)
     return out.select("record_id", F.size("values").alias("n"), tidy(A.total(F.col("values"))).alias("mass"))
 

@@ -10,6 +10,7 @@ from pulsegrid.operators import cycles as Y
 from pulsegrid.operators import spectra as X
 from pulsegrid.operators.blocks import to_blocks
 from pulsegrid.plans import generator_items as G
+from pulsegrid.queries.cycles import rebuilt_signals
 from pulsegrid.session import cut_lineage
 from pulsegrid.sources import schedule as S
 from pulsegrid.sources import wav as W
@@ -126,6 +127,14 @@ def plain_fade(a, b, n):
     return np.r_[a[:-n], t * (1 - up) + h * up, b[n:]]
 
 
+def test_the_rebuilding_query_reads_whole_cycles(spark, tmp_path):
+    rows = [("7", i, "click" if i in (10, 110) else "view", float(i)) for i in range(130)]
+    frame = spark.createDataFrame(rows, "user_id string, event_id long, event_type string, value double")
+    frame.withColumn("ts", F.timestamp_seconds(F.col("event_id"))).write.parquet(f"{tmp_path}/events.parquet")
+    got = rebuilt_signals(spark, str(tmp_path)).collect()
+    assert [(r["n"], r["mass"]) for r in got] == [(100, float(sum(range(10, 110))))]
+
+
 @pytest.mark.parametrize("fade", [0, 4])
 def test_cycles_are_cut_ordered_and_rebuilt(spark, fade):
     signals = {f"r{i}": list(rng.normal(size=200)) for i in range(5)}
