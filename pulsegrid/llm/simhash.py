@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from pulsegrid.llm.common import spread_join, with_text_columns
+from pulsegrid.llm.common import free_name, spread_join, with_text_columns
 from pulsegrid.llm.components import components
 from pulsegrid.session import cut_lineage
 
@@ -229,9 +229,14 @@ def hexed(column: str):
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int = 4) -> DataFrame:
     """Rows of ``docs`` with one document left of each group of near duplicates, the one with the smallest id.
 
-    Repeated rows of one id leave one row. Rows without an id can't be told apart and all stay.
+    Rows of one id are told apart by their texts: equal ones and near copies leave one row, others stay. Rows without an id
+    can't be told apart and all stay.
     """
-    prints = cut_lineage(fingerprints(docs.select(id, text).where(F.col(id).isNotNull()), text), "fingerprints")
-    chosen = groups(prints, id, radius=radius).where(F.col(id) == F.col("component_id")).select(F.col(id).alias(f"__{id}")).distinct()
-    joined = docs.join(chosen, F.col(id) == F.col(f"__{id}"), "left_semi").dropDuplicates([id])
+    mark = free_name(docs, "__mark")
+    marked = docs.withColumn(mark, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    prints = cut_lineage(fingerprints(marked.select(id, mark, text).where(F.col(id).isNotNull()), text), "fingerprints")
+    keyed = prints.select(F.struct(id, mark).alias("key"), FINGERPRINT)
+    chosen = (groups(keyed, "key", radius=radius).where(F.col("key") == F.col("component_id"))
+              .select(F.col(f"key.{id}").alias(f"__{id}"), F.col(f"key.{mark}").alias(f"_{mark}")).distinct())
+    joined = marked.join(chosen, (F.col(id) == F.col(f"__{id}")) & (F.col(mark) == F.col(f"_{mark}")), "left_semi").dropDuplicates([id, mark]).drop(mark)
     return joined.unionByName(docs.where(F.col(id).isNull()))

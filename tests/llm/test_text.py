@@ -184,6 +184,15 @@ def test_one_document_of_a_group_stays(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([3, 4, 6, None], key=str)
 
 
+def test_clashing_ids_with_different_texts_are_told_apart(spark):
+    one, two = (" ".join(f"{w}{i}" for i in range(300)) for w in ("word", "thing"))
+    alone = "other words entirely here now"
+    rows = docs(spark, [(4, one), (4, one), (4, one + " end"), (4, alone), (5, two), (3, two + " end"), (5, "a sixth text that is like none")])
+    got = sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(rows).collect())
+    assert [i for i, _ in got] == [3, 4, 4, 5] and got[0][1] == two + " end"
+    assert (4, alone) in got and (5, "a sixth text that is like none") in got and {t for i, t in got if i == 4} - {alone} <= {one, one + " end"}
+
+
 def labelled(spark, n=240):
     rng = random.Random(8)
     good = lambda: " ".join(rng.choice("the of and house tree water light over under walks sees found small green river".split()) for _ in range(60)) + "."
