@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Work arrays are built for this much text at a time, whatever the Arrow batch holds.
@@ -45,9 +45,11 @@ def text_pass(df: DataFrame, text: str, added: Sequence[T.StructField],
     """A function over Arrow batches that adds columns worked out from texts, and its schema.
 
     ``make`` runs once per task and returns a function from an array of texts to one Arrow array (or
-    list) per added column. ``keep=False`` leaves the text itself out of the result.
+    list) per added column. ``keep=False`` leaves the text itself out of the result. A column of ``df`` whose name (in any
+    case) is that of an added one is replaced, even if it is the text.
     """
-    own = [f for f in df.schema.fields if keep or f.name != text]
+    new = {f.name.lower() for f in added}
+    own = [f for f in df.schema.fields if (keep or f.name != text) and f.name.lower() not in new]
     schema = T.StructType([*own, *added])
     arrow = to_arrow_schema(schema)
     names = [f.name for f in own]
@@ -96,3 +98,9 @@ def spread_join(rows: DataFrame, side: DataFrame, key: str, spread: Column, how:
               .withColumnRenamed(key, there).withColumnRenamed(salt, f"{salt}_"))
     joined = salted.join(copies, F.col(key).eqNullSafe(F.col(there)) & (F.col(salt) == F.col(f"{salt}_")), how)
     return joined.drop(salt, f"{salt}_", there)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a table of this library's own that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

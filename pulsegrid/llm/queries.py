@@ -7,13 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pulsegrid.llm import ann, bpe, chat, embdedup, langid, licenses, packing, quality, simhash, tokencount
+from pulsegrid.llm import ann, bpe, centroids, chat, divergence, embdedup, langid, licenses, packing, quality, simhash, tokencount, toxicity
 from pulsegrid.session import cut_lineage, shared_path, ship_package
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 TOKEN_LIMIT = 4096
+TOXIC_FROM = 0.7
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -121,6 +122,24 @@ def op9_license_scan(spark, sf_dir):
     return found.select(ids.alias("doc_id"), "path", "license", "similarity", "declared_in")
 
 
+@register
+def op11_source_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@register
+def op12_drift_clusters(spark, sf_dir):
+    return centroids.clusters(table(spark, sf_dir, "embeddings"))
+
+
+@register
+def op13_toxicity_lexicon(spark, sf_dir):
+    docs, fold = table(spark, sf_dir, "documents").select("doc_id", "text"), quality.remainder("doc_id", 3)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), usable=fold != 1)
+    return toxicity.score(docs, model, keep=False).select(
+        "doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
 SQL["op7_cross_polytope"] = """
 WITH RECURSIVE usable AS (
   SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
@@ -184,3 +203,72 @@ FROM files f LEFT JOIN own USING (path) LEFT JOIN nearest USING (path)
 
 
 SQL["op9_license_scan"] = _license_sql()
+
+
+SQL["op11_source_divergence"] = r"""
+WITH docs AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+numbered AS (SELECT row_number() OVER () AS doc, lang, source, text FROM docs),
+words AS (
+  SELECT doc, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM numbered),
+langs AS (
+  SELECT lang, term, count(*) AS c FROM words GROUP BY lang, term HAVING count(DISTINCT doc) >= 10),
+sizes AS (SELECT lang, count(*) AS v, sum(c) AS n FROM langs GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counted AS (SELECT lang, source, term, count(*) AS c FROM words GROUP BY ALL),
+grid AS (
+  SELECT g.lang, g.source, l.term, coalesce(k.c, 0) AS c, l.c AS lang_c
+  FROM groups g JOIN langs l ON l.lang = g.lang LEFT JOIN counted k ON k.lang = g.lang AND k.source = g.source AND k.term = l.term),
+shares AS (
+  SELECT lang, source, term, c, 1 + (1000000000 * (c + 2)::HUGEINT) // (sum(c) OVER (PARTITION BY lang, source) + 2 * v) AS p,
+         1 + (1000000000 * (lang_c + 2)::HUGEINT) // (n + 2 * v) AS q
+  FROM grid JOIN sizes USING (lang)),
+distances AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(d.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN distances d ON d.lang = a.lang AND d.source = a.source AND d.item = b.source),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM shares WHERE c > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
+def _clusters_sql(k: int = 8, rounds: int = 10, places: int = 64) -> str:
+    """The rounds one after another; integers of components are exact in doubles."""
+    steps = [f"""
+kept AS (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE len(embedding) = {places} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+places AS (SELECT unnest(range(1, {places + 1})) AS i),
+c0 AS (
+  SELECT (row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, v) - 1)::INTEGER AS c, v FROM kept
+  QUALIFY row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, v) <= {k})"""]
+    near = """
+a{r} AS MATERIALIZED (
+  SELECT row, vec_id, v, c, d FROM (
+    SELECT row, vec_id, kept.v, c, list_sum(list_transform(list_zip(kept.v, m.v), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT AS d FROM kept, c{r} m)
+  QUALIFY row_number() OVER (PARTITION BY row ORDER BY d, c) = 1)"""
+    mean = """
+c{n} AS MATERIALIZED (
+  SELECT c, coalesce(any_value(new), any_value(old)) AS v FROM (
+    SELECT c, v AS old, NULL AS new FROM c{r} UNION ALL
+    SELECT c, NULL, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY i) FROM (
+      SELECT c, i, sum(v[i]::BIGINT)::HUGEINT AS s, count(*) AS n FROM a{r}, places GROUP BY c, i) GROUP BY c) GROUP BY c)"""
+    for r in range(rounds):
+        steps += [near.format(r=r), mean.format(r=r, n=r + 1)]
+    steps.append(near.format(r=rounds))
+    return f"""
+WITH {",".join(steps)}
+SELECT vec_id, a.c AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(list_transform(m.v, lambda x: x::BIGINT), ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} m ON a.c = m.c
+"""
+
+
+SQL["op12_drift_clusters"] = _clusters_sql()

@@ -24,6 +24,9 @@ CONTRACT = {
     "op8_pattern_packing": {"doc_id": "bigint", "piece": "int", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "sequence_id": "bigint", "offset": "bigint"},
     "op9_license_scan": {"doc_id": "bigint", "path": "string", "license": "string", "similarity": "double", "declared_in": "string"},
     "op10_token_count_cache": {"doc_id": "bigint", "n_bytes": "bigint", "n_tokens": "bigint", "over_limit": "boolean"},
+    "op11_source_divergence": {"lang": "string", "source": "string", "part": "string", "item": "string", "value": "bigint", "rank": "int"},
+    "op12_drift_clusters": {"vec_id": "bigint", "cluster": "int", "distance": "bigint", "cluster_inertia": "bigint", "inertia": "bigint", "centroid_sha256": "string"},
+    "op13_toxicity_lexicon": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
 }
 
 
@@ -31,7 +34,7 @@ CONTRACT = {
 def test_columns(spark, sf_dir, name):
     frame = QUERIES[name](spark, sf_dir)
     assert dict(frame.dtypes) == CONTRACT[name]
-    whole = {"op1_bpe_trie", "op4_simhash_covering", "op5_quality_compression", "op6_language_cnn", "op9_license_scan", "op10_token_count_cache"}
+    whole = {"op1_bpe_trie", "op4_simhash_covering", "op5_quality_compression", "op6_language_cnn", "op9_license_scan", "op10_token_count_cache", "op13_toxicity_lexicon"}
     if name in whole:
         assert frame.count() == table(spark, sf_dir, "documents").count()
 
