@@ -115,7 +115,7 @@ def run_multichannel(rows: DataFrame, layers: Sequence[int], regime: Regime, row
     train = M.as_vectors(every)
     model, _ = M.fit_head(M.as_vectors(drawn(every, row_id)), part("valid"), layers, M.TrainingArgs(regime.train_epochs, step=step))
     mlp = _nest(M.patient_report(model, part("test"), order=row_id))
-    probe = M.fit_svm(train.select("features", "label"), k_best)
+    probe = M.fit_kernel_probe(train.select("features", "label"), k_best)
     pairs = probe.transform(part("test")).select(
         F.col("label").cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"))
     svm = metrics(confusion(pairs)).select(F.struct(*METRICS).alias("svm"))

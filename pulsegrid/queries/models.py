@@ -55,6 +55,14 @@ def svm_metrics(spark, d):
         "vec_id", F.col("label").cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"))
 
 
+@query("M2")
+def kernel_probe_metrics(spark, d):
+    rows = M.as_vectors(features(spark, d))
+    probe = M.fit_kernel_probe(rows.where("subset = 'train'"), 20, dims=256, iterations=20)
+    return probe.transform(rows.where("subset = 'test'")).select(
+        "vec_id", F.col("label").cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"))
+
+
 @query("M3")
 def fusion_metrics(spark, d):
     rows = features(spark, d).withColumn("pcg", F.slice("x", 1, 40)).withColumn("ecg", F.slice("x", 41, 24))

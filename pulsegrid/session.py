@@ -47,9 +47,14 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder: other jobs that share it are never touched."""
+    return f"{scratch_root(spark).rstrip('/')}/pulsegrid/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unused path below the shared scratch folder."""
-    return f"{scratch_root(spark).rstrip('/')}/pulsegrid/{name}-{uuid.uuid4().hex}"
+    """A fresh, unused path below this application's part of the shared scratch folder."""
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -57,10 +62,21 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/pulsegrid-{name}"
 
 
+def _file(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file or folder, wherever Spark can reach it."""
+    system, place = _file(spark, path)
+    return bool(system.exists(place))
+
+
 def clear_scratch(spark: SparkSession) -> None:
-    """Delete what this library has written below the shared folder; for the end of a job, once its results are stored."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark).rstrip('/')}/pulsegrid")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete what this application has written as scratch; for the end of a job, once its results are stored."""
+    system, place = _file(spark, _own_folder(spark))
+    system.delete(place, True)
 
 
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
