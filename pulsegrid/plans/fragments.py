@@ -33,12 +33,19 @@ def fragments(splits: DataFrame, blocks: DataFrame, block: int, fs_in: int, fs_o
 
 
 def stacked(rows: DataFrame, channels: Sequence[str]) -> DataFrame:
-    """One row per record and window with ``waveforms``, an array per channel in the order given.
+    """One row per record and window with ``waveforms``, an array per channel that is there, in the order given, and their names in
+    ``present``.
 
-    Windows that lack one of the channels are left out; a group is one window's channels.
+    Windows without any of the channels are left out (``lacking`` lists what is missing); a group is one window's channels.
     """
     place = F.array_position(F.array(*map(F.lit, channels)), F.col("channel"))
     own = [c for c in rows.columns if c not in ("channel", "waveform", "valid_len")]
     met = rows.where(F.col("channel").isin(*channels)).groupBy(*own).agg(
-        F.array_sort(F.collect_list(F.struct(place.alias("at"), "waveform"))).alias("__w"), F.min("valid_len").alias("valid_len"))
-    return met.where(F.size("__w") == len(channels)).select(*own, "valid_len", F.col("__w.waveform").alias("waveforms"))
+        F.array_sort(F.collect_list(F.struct(place.alias("at"), "channel", "waveform"))).alias("__w"), F.min("valid_len").alias("valid_len"))
+    return met.select(*own, "valid_len", F.col("__w.waveform").alias("waveforms"), F.col("__w.channel").alias("present"))
+
+
+def lacking(blocks: DataFrame, channels: Sequence[str]) -> DataFrame:
+    """``record_id, missing``: the channels that each recording with named channels doesn't have; whole recordings aren't listed."""
+    held = blocks.groupBy("record_id").agg(F.collect_set("channel").alias("__held"))
+    return held.select("record_id", F.array_except(F.array(*map(F.lit, channels)), "__held").alias("missing")).where(F.size("missing") > 0)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pulsegrid.session import ship_package
 
 FAMILIES = ("splits", "evaluation", "sampling", "signals", "filters", "augmentation", "fragments",
-            "spectra", "features", "schedules", "cycles", "ingest", "streams", "models", "staged")
+            "spectra", "features", "schedules", "cycles", "ingest", "streams", "models", "staged", "recorded")
 
 
 @dataclass(frozen=True)

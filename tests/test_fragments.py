@@ -28,5 +28,6 @@ def test_channels_are_named_and_stacked_in_order(spark):
     assert sorted(r.channel for r in B.named_channels(blocks).collect()) == ["1", "E"]
     rows = spark.createDataFrame([(1, 0, "E", [1.0], 1), (1, 0, "1", [2.0], 1), (1, 1, "E", [3.0], 1), (2, 0, "9", [4.0], 1)],
                                  "record_id int, win_no int, channel string, waveform array<double>, valid_len int")
-    got = B.stacked(rows, ["1", "E"]).collect()
-    assert [(r.record_id, r.win_no, r.waveforms) for r in got] == [(1, 0, [[2.0], [1.0]])]
+    got = B.stacked(rows, ["1", "E"]).orderBy("win_no").collect()
+    assert [(r.record_id, r.win_no, r.waveforms, r.present) for r in got] == [(1, 0, [[2.0], [1.0]], ["1", "E"]), (1, 1, [[3.0]], ["E"])]
+    assert [(r.record_id, r.missing) for r in B.lacking(rows, ["1", "E", "9"]).orderBy("record_id").collect()] == [(1, ["9"]), (2, ["1", "E"])]
