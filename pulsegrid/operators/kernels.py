@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -68,6 +69,29 @@ def four_bands(blocks: DataFrame, fs: float, keys: Sequence[str] = KEYS, **desig
     return split_bands(blocks, D.four_bands(fs, **design), keys)
 
 
+@lru_cache(maxsize=64)
+def _bank(fs_in: int, fs_out: int) -> tuple[int, int, int, np.ndarray]:
+    """``up, down, reach`` and the weights per phase of the output position between two input samples."""
+    up, down, taps = D.resample_kernel(fs_in, fs_out)
+    h = np.array(taps)
+    half = len(h) // 2
+    reach = half // up + 1
+    lag = np.arange(up)[:, None] - np.arange(-reach, reach + 1)[None, :] * up + half
+    return up, down, reach, np.where((lag >= 0) & (lag < len(h)), h[np.clip(lag, 0, len(h) - 1)], 0.0)
+
+
+def _resampled(number: int, before, values, after, block: int, fs_in: int, fs_out: int) -> tuple[int, np.ndarray]:
+    """The output samples whose position a block holds, and the number of the first."""
+    up, down, reach, weights = _bank(fs_in, fs_out)
+    base = number * block
+    first = -(-base * up // down)
+    m = np.arange(first, -(-(base + len(values)) * up // down))
+    at, phase = np.divmod(m * down, up)
+    x = _framed(number, before[max(0, len(before) - reach):], values, after[:reach], reach, "zero")
+    frames = np.lib.stride_tricks.sliding_window_view(x, 2 * reach + 1)[at - base]
+    return first, (frames * weights[phase]).sum(axis=1)
+
+
 def resample(blocks: DataFrame, block: int, fs_in: int, fs_out: int, keys: Sequence[str] = KEYS
              ) -> DataFrame:
     """Rational-rate resampling; output sample ``m`` sits at input position ``m * down / up``.
@@ -76,31 +100,37 @@ def resample(blocks: DataFrame, block: int, fs_in: int, fs_out: int, keys: Seque
     """
     if fs_in == fs_out:
         return blocks
-    up, down, taps = D.resample_kernel(fs_in, fs_out)
-    h = np.array(taps)
-    half = len(h) // 2
-    reach = half // up + 1
-    # Weights per phase of the output position between two input samples.
-    lag = np.arange(up)[:, None] - np.arange(-reach, reach + 1)[None, :] * up + half
-    weights = np.where((lag >= 0) & (lag < len(h)), h[np.clip(lag, 0, len(h) - 1)], 0.0)
+    return _resample(blocks.withColumn("__fs", F.lit(fs_in)), block, fs_out, _bank(fs_in, fs_out)[2], keys)
+
 
+def resample_mixed(blocks: DataFrame, block: int, fs_out: int, fs: str = "fs", keys: Sequence[str] = KEYS) -> DataFrame:
+    """Recordings of any rates in one table, each from the whole-numbered rate in its ``fs`` column to ``fs_out``.
+
+    Filter banks are made per rate and task; block borders follow from each recording's own ratio. The halo is that of the highest rate,
+    one number worked out from the table. Recordings that have ``fs_out`` already stay as they are. Each recording has one rate above
+    0; one with another or none is refused.
+    """
+    rates = blocks.agg(F.max(fs), F.min(fs), F.count_if(F.col(fs).isNull())).first()
+    if rates[2] or (rates[1] is not None and rates[1] <= 0):
+        raise ValueError("every recording needs a rate above 0")
+    if rates[0] is None:
+        return blocks.select(*keys, "block", "values")
+    # A kernel reaches ten input samples, or ten output samples where those lie further apart.
+    reach = max(10, 10 * int(rates[0]) // fs_out) + 1
+    return _resample(blocks.withColumn("__fs", F.col(fs)), block, fs_out, reach, keys)
+
+
+def _resample(blocks: DataFrame, block: int, fs_out: int, reach: int, keys: Sequence[str]) -> DataFrame:
     @pandas_udf("struct<first: bigint, values: array<double>>")
-    def apply(number: pd.Series, before: pd.Series, values: pd.Series, after: pd.Series
+    def apply(number: pd.Series, fs: pd.Series, before: pd.Series, values: pd.Series, after: pd.Series
               ) -> pd.DataFrame:
-        firsts, outs = [], []
-        for n, b, v, a in zip(number, before, values, after):
-            x = _framed(n, b, v, a, reach, "zero")
-            base = n * block
-            first = -(-base * up // down)
-            m = np.arange(first, -(-(base + len(v)) * up // down))
-            at, phase = np.divmod(m * down, up)
-            frames = np.lib.stride_tricks.sliding_window_view(x, 2 * reach + 1)[at - base]
-            firsts.append(first)
-            outs.append((frames * weights[phase]).sum(axis=1))
-        return pd.DataFrame({"first": firsts, "values": outs})
-
-    made = with_halo(blocks, reach, reach, keys).select(
-        *keys, apply("block", "before", "values", "after").alias("r"))
+        made = [(n * block, v) if r == fs_out else _resampled(n, b, v, a, block, int(r), fs_out)
+                for n, r, b, v, a in zip(number, fs, before, values, after)]
+        return pd.DataFrame({"first": [m[0] for m in made], "values": [m[1] for m in made]})
+
+    rated = [*keys, "__fs"]
+    made = with_halo(blocks, reach, reach, rated).select(
+        *keys, apply("block", "__fs", "before", "values", "after").alias("r"))
     return recut(made.select(*keys, F.col("r.first").alias("__f"), F.col("r.values").alias("__v")),
                  "__f", "__v", block, keys)
 

@@ -18,10 +18,10 @@ def named_channels(blocks: DataFrame, columns: dict[str, int] = CHANNEL_COLUMNS)
     return blocks.withColumn("channel", F.try_element_at(names, F.col("channel").cast("int"))).where(F.col("channel").isNotNull())
 
 
-def fragments(splits: DataFrame, blocks: DataFrame, block: int, fs_in: int, fs_out: int, spec: WindowSpec = WindowSpec()) -> DataFrame:
+def fragments(splits: DataFrame, blocks: DataFrame, block: int, fs_in: int | None, fs_out: int, spec: WindowSpec = WindowSpec()) -> DataFrame:
     """Fragments of the recordings in ``splits(record_id, patient, label, subset)``, which has one row a record (one fold).
 
-    ``blocks`` are recordings of rate ``fs_in`` with channel names. Each channel goes through the chain of its kind and is
+    ``blocks`` are recordings with channel names, all of rate ``fs_in``, or without it each of the rate in its ``fs`` column. Each channel goes through the chain of its kind and is
     windowed: ``record_id, channel, win_no, start_idx, valid_len, waveform`` and the columns of ``splits``. Recordings that are
     not in the table are left out before any work; a long record's fragments meet its row on several tasks.
     """

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from pulsegrid.operators.blocks import KEYS, resize, to_blocks
-from pulsegrid.operators.kernels import four_bands, resample
+from pulsegrid.operators.kernels import four_bands, resample, resample_mixed
 from pulsegrid.operators.normalise import abs_max
 from pulsegrid.operators.recursive import band
 from pulsegrid.operators.repair import fill_gaps, remove_spikes
@@ -25,6 +25,8 @@ def _filled(samples, block, fs_in, fs_out, keys):
 
 
 def _filled_blocks(blocks, block, fs_in, fs_out, keys):
+    if fs_in is None:
+        return resample_mixed(fill_gaps(blocks, block, (*keys, "fs")), block, fs_out, "fs", keys)
     return resample(fill_gaps(blocks, block, keys), block, fs_in, fs_out, keys)
 
 
@@ -59,9 +61,12 @@ def by_kind(samples: DataFrame, block: int, fs_in: int, fs_out: int, keys: Seque
     return by_kind_blocks(to_blocks(samples, block, keys), block, fs_in, fs_out, keys)
 
 
-def by_kind_blocks(blocks: DataFrame, block: int, fs_in: int, fs_out: int, keys: Sequence[str] = KEYS
+def by_kind_blocks(blocks: DataFrame, block: int, fs_in: int | None, fs_out: int, keys: Sequence[str] = KEYS
                    ) -> DataFrame:
-    """``by_kind`` for recordings that are blocks of ``block`` samples already."""
+    """``by_kind`` for recordings that are blocks of ``block`` samples already.
+
+    Without ``fs_in``, each recording is resampled from its own rate, in the column ``fs`` as ingest writes it.
+    """
     whole = cut_lineage(_filled_blocks(blocks, block, fs_in, fs_out, keys), "resampled")
     is_ecg = F.col("channel").isin(*ECG_CHANNELS)
     banded = band(whole.where(is_ecg), block, fs_out, *BANDS["ecg"], keys=keys).unionByName(

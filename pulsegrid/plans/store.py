@@ -22,9 +22,10 @@ STORED = ("content STRING, channel STRING, win_no BIGINT, start_idx BIGINT, vali
 
 @dataclass(frozen=True)
 class Extraction:
-    """All that the features of a recording depend on besides its samples. ``version`` names the code: raise it when results change."""
+    """All that the features of a recording depend on besides its samples and, without ``fs_in``, its rate in the column ``fs``.
+    ``version`` names the code: raise it when results change."""
 
-    fs_in: int
+    fs_in: int | None
     fs_out: int
     mel: MelSpec
     window: WindowSpec = field(default_factory=WindowSpec)
@@ -36,11 +37,12 @@ class Extraction:
 
 
 def contents(blocks: DataFrame) -> DataFrame:
-    """``(record_id, content)``: a digest of a recording's channels and samples that its id plays no part in.
+    """``(record_id, content)``: a digest of a recording's channels, samples and rates (where there is a column ``fs``) that its id plays no part in.
 
     Blocks are hashed where they lie and their hashes are summed, in any order, so a recording of any length is a few partial sums.
     """
-    one, two = (F.xxhash64(F.lit(i), F.col("channel"), F.col("block"), F.col("values")) for i in (1, 2))
+    rate = [F.col("fs")] if "fs" in blocks.columns else []
+    one, two = (F.xxhash64(F.lit(i), F.col("channel"), F.col("block"), F.col("values"), *rate) for i in (1, 2))
     parts = [F.sum(one.cast("decimal(20,0)")), F.expr("bit_xor(__two)"), F.count(F.lit(1)), F.sum(F.size("values"))]
     sums = blocks.withColumn("__two", two).groupBy("record_id").agg(*[p.cast("string").alias(f"__{i}") for i, p in enumerate(parts)])
     return sums.select("record_id", digest(*[F.col(f"__{i}") for i in range(len(parts))]).alias("content"))

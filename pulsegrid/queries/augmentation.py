@@ -8,7 +8,9 @@ from pulsegrid.functions import arrays as A
 from pulsegrid.functions.keyed import between, pick
 from pulsegrid.functions.numeric import tidy
 from pulsegrid.operators import equaliser as E
+from pulsegrid.operators.blocks import cut_arrays
 from pulsegrid.operators import lookup as L
+from pulsegrid.operators import corpus as N
 from pulsegrid.operators import noise as Z
 from pulsegrid.plans import augment as G
 from pulsegrid.queries import query, table
@@ -198,9 +200,9 @@ def time_scaling(spark, d):
     return long(fragments(spark, d).withColumn("x", A.stretch(F.col("x"), rate)))
 
 
-def _crop(name, lo, step):
+def _crop(name, lo, step, top=0.05):
     at = f"floor({u_sql(key(step, 'at'))} * 9)::bigint"
-    gain = f"CASE WHEN {u_sql(key(step, 'on'))} < 0.5 THEN 0.0 ELSE {u_sql(key(step, 'gain'))} * {num(0.05)} END"
+    gain = f"CASE WHEN {u_sql(key(step, 'on'))} < 0.5 THEN 0.0 ELSE {u_sql(key(step, 'gain'))} * {num(top)} END"
     return f"""{name}_w AS (SELECT k, nk, {at} AS at, {gain} AS gain FROM asked),
     {name}_x AS (SELECT w.k, p.p AS idx, embedding[{lo} + w.at + p.p + 1]::double AS x
         FROM {name}_w w JOIN corpus ON corpus.nk = w.nk, range(0, 40) AS p(p)),
@@ -240,6 +242,47 @@ def recorded_ecg_noise(spark, d):
     return long(got.withColumn("noise", made).withColumn("x", Z.padded_add(F.col("x"), F.col("noise"))))
 
 
+def noise_corpus(spark, d, parts, at, block):
+    """Each embedding as a noise recording whose parts are 48 of its samples, in blocks."""
+    v = A.as_doubles("embedding")
+    part = lambda name, lo: F.struct(F.lit(name).alias("part"), F.slice(v, lo + 1, 48).alias("x"))
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("noise_id"), F.explode(F.array(*[part(*p) for p in zip(parts, at)])).alias("p"))
+    rows = rows.select("noise_id", "p.part", F.lit(int(FS)).alias("fs"), F.col("p.x").alias("x"))
+    return N.build_corpus(cut_arrays(rows, "x", block, ["noise_id", "part", "fs"]), list(parts), block, int(FS))
+
+
+def noise_added(spark, d, parts, at, normalise, block=40):
+    rows = fragments(spark, d).withColumn("x", F.slice("x", 1, 40))
+    keys = ["vec_id", "copy_no"]
+    signals = rows.select(*keys, F.size("x").cast("long").alias("n"))
+    noise = N.noise_blocks(signals, noise_corpus(spark, d, parts, at, block), keys, parts, SEED, key_cols(), normalise)
+    done = N.add_noise(cut_arrays(rows, "x", block, keys), noise, keys)
+    return done.select(*keys, F.posexplode_outer("values").alias("p", "value")).select(
+        *keys, (F.col("p") + F.lit(0)).cast("int").alias("idx"), tidy(F.col("value")).alias("value"))
+
+
+_RECORDED = f"""WITH {src_sql('s', 0, 40)},
+    corpus AS (SELECT embedding, row_number() OVER (ORDER BY md5('corpus:' || vec_id), vec_id) - 1 AS nk FROM embeddings),
+    asked AS (SELECT k, floor({u_sql(key('noise'))} * (SELECT count(*) FROM corpus))::bigint AS nk
+              FROM (SELECT DISTINCT k FROM s)),"""
+
+
+@query("J12", "G7", sql=_RECORDED + f"""
+    {_crop('a1', 0, 'aux1')}, {_crop('a2', 16, 'aux2')},
+    both_ AS (SELECT a1.k, a1.idx, a1.x + a2.x AS x FROM a1 JOIN a2 USING (k, idx)),
+    {absmax('nn', 'both_')},
+    o AS (SELECT s.k, s.idx, s.x + nn.x AS x FROM s JOIN nn USING (k, idx)) {done('o')}""")
+def heart_noise_from_blocks(spark, d):
+    return noise_added(spark, d, N.HEART_PARTS, (0, 16), True)
+
+
+@query("J12", "G7", sql=_RECORDED + f"""
+    {_crop('e1', 0, 'em', 0.25)}, {_crop('e2', 8, 'bw', 0.5)}, {_crop('e3', 16, 'ma', 0.25)},
+    o AS (SELECT s.k, s.idx, s.x + e1.x + e2.x + e3.x AS x FROM s JOIN e1 USING (k, idx) JOIN e2 USING (k, idx) JOIN e3 USING (k, idx)) {done('o')}""")
+def ecg_noise_from_blocks(spark, d):
+    return noise_added(spark, d, N.ECG_PARTS, (0, 8, 16), False)
+
+
 _PCG_SQL = ", ".join([
     src_sql("s", copies=1), minmax("a", "s"),
     gated("b", "a", "noise1", 0.3 / 4, noise("b_g", "a", "noise1")),

@@ -135,6 +135,23 @@ def resampled_down(spark, d):
     return flat(C.resample(blocks(spark, d, 64), 64, 2000, 1500, KEY), 64)
 
 
+RATES = (1000, 1500, 2000, 4125)  # rates of the stand-in recordings, by the last two bits of their ids
+
+
+def mixed_sql(name: str, src: str, fs_out: int) -> str:
+    """Every recording from its own rate: one resampling per rate, put together."""
+    each = [f"{name}_s{i} AS (SELECT * FROM {src} WHERE cast(record_id AS integer) % {len(RATES)} = {i})" for i in range(len(RATES))]
+    each += [resample_sql(f"{name}_r{i}", f"{name}_s{i}", r, fs_out) if r != fs_out else f"{name}_r{i} AS (SELECT record_id, idx, x FROM {name}_s{i})"
+             for i, r in enumerate(RATES)]
+    return ", ".join(each) + f", {name} AS (" + " UNION ALL ".join(f"SELECT * FROM {name}_r{i}" for i in range(len(RATES))) + ")"
+
+
+@query("F8", "S4", sql=f"WITH {SIG_SQL}, {mixed_sql('res', 'sig', 1500)} " + out_sql("x", "res"))
+def resampled_mixed(spark, d):
+    rate = F.get(F.array(*map(F.lit, RATES)), F.col("record_id").cast("int") % len(RATES))
+    return flat(C.resample_mixed(blocks(spark, d, 64).withColumn("fs", rate), 64, 1500, "fs", KEY), 64)
+
+
 _CAUSAL = D.band_sections(25.0, 450.0, RATE)
 
 

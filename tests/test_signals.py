@@ -262,3 +262,28 @@ def test_the_plan_of_a_notch_chain_does_not_grow(spark):
     blocks = K.to_blocks(frame(spark, {"r": list(np.random.default_rng(6).normal(size=300))}), 64)
     sizes = [I.notch_chain(blocks, 64, 1000, list(range(100, 100 + 50 * n, 50)))._jdf.queryExecution().optimizedPlan().toString().count("\n") for n in (2, 4)]
     assert sizes[1] == sizes[0]
+
+
+def test_recordings_of_many_rates_resample_as_each_would_alone(spark):
+    rates = {"a": 1000, "b": 1500, "c": 4125, "d": 2000, "e": 2000}
+    signals = {k: list(rng.normal(size=n)) for k, n in zip(rates, (300, 257, 700, 31, 512))}
+    table = blocks_of(spark, signals, 64)
+    rate = F.create_map(*[F.lit(x) for kv in rates.items() for x in kv])[F.col("record_id")]
+    got = collect(C.resample_mixed(table.withColumn("fs", rate), 64, 1500))
+    alone = {}
+    for fs in set(rates.values()):
+        alone |= collect(C.resample(table.where(rate == fs), 64, fs, 1500))
+    assert_same(got, alone)
+    assert C.resample_mixed(table.withColumn("fs", rate).limit(0), 64, 1500).count() == 0
+    for bad in (F.lit(None).cast("int"), F.lit(0)):
+        with pytest.raises(ValueError, match="rate"):
+            C.resample_mixed(table.withColumn("fs", bad), 64, 1500)
+
+
+def test_chain_takes_each_recording_from_its_own_rate(spark):
+    signals = {k: list(np.sin(np.arange(n) * 0.2) + 0.1 * rng.normal(size=n)) for k, n in (("a", 900), ("b", 1200))}
+    table = blocks_of(spark, signals, 256)
+    rate = F.when(F.col("record_id") == "a", 1000).otherwise(2000)
+    got = collect(P.by_kind_blocks(table.withColumn("fs", rate), 256, None, 1500))
+    want = collect(P.by_kind_blocks(table.where("record_id = 'a'"), 256, 1000, 1500)) | collect(P.by_kind_blocks(table.where("record_id = 'b'"), 256, 2000, 1500))
+    assert_same(got, want)
