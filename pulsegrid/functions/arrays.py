@@ -132,13 +132,23 @@ def select_channels(channels: Column, names) -> Column:
     return F.filter(found, lambda c: c.isNotNull())
 
 
-def white_noise(v: Column, seed, step: str, *key) -> Column:
-    """Additive normal noise at one of three levels, then abs-max."""
+def _at(first: Column | None, i: Column) -> Column:
+    """Number of a sample in its signal, for an array that begins at sample ``first`` (None: at 0)."""
+    return i if first is None else first + i
+
+
+def raw_noise(v: Column, seed, step: str, *key, first: Column | None = None) -> Column:
+    """Additive normal noise at one of three levels."""
     stds = F.array(*[F.lit(s) for s in NOISE_STDS])
     level = (F.get(stds, pick(3, seed, step, "std", *key).cast("int"))
              * between(0.0, 0.1, seed, step, "scale", *key))
-    return abs_max(bind(level, lambda g: F.transform(
-        v, lambda x, i: x + g * gaussian(seed, step, *key, i))))
+    return bind(level, lambda g: F.transform(
+        v, lambda x, i: x + g * gaussian(seed, step, *key, _at(first, i))))
+
+
+def white_noise(v: Column, seed, step: str, *key) -> Column:
+    """Additive normal noise, then abs-max."""
+    return abs_max(raw_noise(v, seed, step, *key))
 
 
 def _sines(seed, step: str, fs: float, amp, key) -> Column:
@@ -155,20 +165,25 @@ def _wave(terms: Column, i: Column, fs: float) -> Column:
     return wave(F.get(terms, F.lit(0))) + wave(F.get(terms, F.lit(1)))
 
 
-def slow_gain(v: Column, fs: float, seed, step: str, *key) -> Column:
+def slow_gain(v: Column, fs: float, seed, step: str, *key, first: Column | None = None) -> Column:
     """Slow and fast sinusoidal volume change, without normalising."""
     return bind(_sines(seed, step, fs, (0.01, 0.25), key),
-                lambda t: F.transform(v, lambda x, i: x * (1.0 + _wave(t, i, fs))))
+                lambda t: F.transform(v, lambda x, i: x * (1.0 + _wave(t, _at(first, i), fs))))
 
 
 def volume(v: Column, fs: float, seed, step: str, *key) -> Column:
     return abs_max(slow_gain(v, fs, seed, step, *key))
 
 
+def drift(v: Column, fs: float, seed, step: str, *key, first: Column | None = None) -> Column:
+    """Slow and fast additive baseline drift, without normalising."""
+    return bind(_sines(seed, step, fs, (0.01, 0.2), key),
+                lambda t: F.transform(v, lambda x, i: x + _wave(t, _at(first, i), fs)))
+
+
 def wander(v: Column, fs: float, seed, step: str, *key) -> Column:
     """Slow and fast additive baseline drift, then abs-max."""
-    return abs_max(bind(_sines(seed, step, fs, (0.01, 0.2), key),
-                        lambda t: F.transform(v, lambda x, i: x + _wave(t, i, fs))))
+    return abs_max(drift(v, fs, seed, step, *key))
 
 
 def stretch(v: Column, rate: Column, keep_length: bool = False) -> Column:

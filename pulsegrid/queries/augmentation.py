@@ -13,6 +13,7 @@ from pulsegrid.operators import lookup as L
 from pulsegrid.operators import corpus as N
 from pulsegrid.operators import noise as Z
 from pulsegrid.plans import augment as G
+from pulsegrid.plans import augment_blocks as R
 from pulsegrid.queries import query, table
 from pulsegrid.queries.filters import num, values_sql
 from pulsegrid.queries.sampling import gauss_sql, u_sql
@@ -337,6 +338,36 @@ def augmented_pair(spark, d):
                        tidy(F.col("z.ecg")).alias("ecg"))
 
 
+# The same steps on whole recordings in blocks of 20 samples; the copies' number is part of the key.
+_STEPS = R.BlockSteps(20, FS, SEED, ["vec_id", "copy_no"], ["vec_id", "copy_no"])
+
+
+def in_blocks(spark, d, lo=1, n=64):
+    return cut_arrays(fragments(spark, d, 1).withColumn("x", F.slice("x", lo, n)), "x", _STEPS.block, _STEPS.keys)
+
+
+def long_blocks(blocks, name="value"):
+    return blocks.select(*_STEPS.keys, "block", F.posexplode_outer("values").alias("p", "v")).select(
+        *_STEPS.keys, (F.col("block") * _STEPS.block + F.col("p")).cast("int").alias("idx"), tidy(F.col("v")).alias(name))
+
+
+@query("U1", "G9", sql=f"WITH RECURSIVE {_PCG_SQL} {done('o')}")
+def augmented_pcg_records(spark, d):
+    return long_blocks(R.augment_pcg_blocks(in_blocks(spark, d), _STEPS))
+
+
+@query("U1", "G10", sql=f"WITH RECURSIVE {_ECG_SQL} {done('o')}")
+def augmented_ecg_records(spark, d):
+    return long_blocks(R.augment_ecg_blocks(in_blocks(spark, d), _STEPS))
+
+
+@query("U1", "G11", sql=f"""WITH RECURSIVE {_PAIR_SQL}, o AS (SELECT k, idx, p.x AS x, e.x AS ex
+    FROM po p JOIN eo e USING (k, idx)) {done('o', ', round(ex, 6) + 0.0 AS ecg')}""")
+def augmented_pair_records(spark, d):
+    p, e = R.augment_pair_blocks(in_blocks(spark, d, 1, 32), in_blocks(spark, d, 33, 32), _STEPS)
+    return long_blocks(p).join(long_blocks(e, "ecg"), [*_STEPS.keys, "idx"])
+
+
 def _multi_sql():
     # k carries the channel as a third part; shared draws use the first two parts only.
     own = "split_part(k, ':', 1) || ':' || split_part(k, ':', 2)"

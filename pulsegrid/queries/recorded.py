@@ -8,6 +8,7 @@ from pulsegrid.functions.numeric import tidy
 from pulsegrid.operators.spectra import MelSpec
 from pulsegrid.plans import experiment as E
 from pulsegrid.plans import store as K
+from pulsegrid.plans.augment_blocks import record_copies
 from pulsegrid.plans.fragments import lacking, named_channels
 from pulsegrid.plans.report import flatten
 from pulsegrid.queries import query, table
@@ -74,3 +75,13 @@ def recording_experiment(spark, d):
     fold = flatten(E.run_fold(rows(), [24, 4, 2], small, "row_id"), [F.lit("fold").alias("experiment")])
     multi = flatten(E.run_multichannel(rows(), [24, 4, 2], small, "row_id", 12), [F.lit("multichannel").alias("experiment")])
     return fold.unionByName(multi).withColumn("value", tidy(F.col("value"), 4))
+
+
+@query("U1", "A1", sql="""WITH s AS (SELECT vec_id, label % 2 AS label FROM embeddings WHERE vec_id % 5 > 1),
+    n AS (SELECT label, count(*) AS n, max(count(*)) OVER () AS most FROM s GROUP BY label)
+    SELECT vec_id AS record_id, c.c AS copy_no, CASE WHEN vec_id % 9 = 0 THEN 1 ELSE 2 END::bigint AS channels
+    FROM s JOIN n USING (label), range(1, 9) AS c(c) WHERE c.c <= round_even(3 * most / n, 0)""")
+def recording_copies(spark, d):
+    """Copies of whole recordings, balanced by record."""
+    copies = record_copies(recordings(spark, d), splits(spark, d), 3)
+    return copies.groupBy("record_id", F.col("copy_no").cast("long").alias("copy_no")).agg(F.count_distinct("channel").alias("channels"))
