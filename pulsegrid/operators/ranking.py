@@ -9,7 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.functions import pandas_udf
+
+from pulsegrid.operators.joins import measured_join
+from pulsegrid.session import cut_lineage
 
 
 def hash_bucket(hexed: Column, chars: int = 3) -> Column:
@@ -70,6 +76,65 @@ def rank_median(df: DataFrame, keys: Sequence[str], value: str, bucket: Column |
     return middle.groupBy(*keys).agg(F.avg(value).alias(out))
 
 
+def order_key(value: Column) -> Column:
+    """A 64-bit integer that orders as the double does; both zeros are one, and null and NaN stay out (null)."""
+
+    @pandas_udf("bigint")
+    def keyed(v: pd.Series) -> pd.Series:
+        bits = (v.to_numpy(np.float64, na_value=np.nan) + 0.0).view(np.int64)
+        keys = np.where(bits >= 0, bits, bits ^ np.int64(0x7FFFFFFFFFFFFFFF))
+        return pd.Series(keys, dtype="Int64").mask(v.isna().to_numpy())
+
+    return keyed(value)
+
+
+def key_value(key: int) -> float:
+    """The double that an order key stands for."""
+    bits = np.int64(key)
+    return float((bits if bits >= 0 else bits ^ np.int64(0x7FFFFFFFFFFFFFFF)).view(np.float64))
+
+
+def select_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column], digit: int = 16) -> DataFrame:
+    """The values at given 1-based ranks within ``keys``, in ascending order, by radix selection: ``keys, which, value``.
+
+    ``ranks`` names expressions of ``n``, the key's number of values. Values become order-preserving integers, equal ones are counted into one
+    row before anything is shuffled by key, and histograms of ``digit`` bits at a time narrow each rank down to its value. No value is ranked or
+    sorted, a key's histogram has at most ``2 ** digit`` rows, and the values that a pass looks at are dealt to tasks by their count. Null and
+    NaN values don't count; keys without any value are left out.
+    """
+    keys = list(keys)
+    distinct = cut_lineage(df.select(*keys, order_key(F.col(value)).alias("__k")).where(F.col("__k").isNotNull())
+                           .groupBy(*keys, "__k").agg(F.count(F.lit(1)).alias("__c")), "distinct-values")
+    sizes = distinct.groupBy(*keys).agg(F.sum("__c").alias("n"))
+    asked = sizes.select(*keys, F.explode(F.array(*[F.struct(F.lit(w).alias("which"), r.cast("long").alias("left")) for w, r in ranks.items()])).alias("a"))
+    state = asked.select(*keys, "a.which", "a.left", F.lit(0).cast("long").alias("__prefix")).where(F.col("left").isNotNull())
+    part = Window.partitionBy(*keys, "which").orderBy("__digit")
+    for shift in range(64 - digit, -1, -digit):
+        above = F.shiftright("__k", shift + digit) if shift + digit < 64 else F.lit(0).cast("long")
+        # The first digit keeps the sign; the others are bits below it.
+        own = F.shiftright("__k", shift) if shift + digit == 64 else F.shiftright("__k", shift).bitwiseAND(2 ** digit - 1)
+        cut = distinct.withColumns({"__prefix": above, "__digit": own})
+        state = cut_lineage(state, "ranks")
+        met = measured_join(cut, state, [*keys, "__prefix"], F.col("__k"))
+        cells = met.groupBy(*keys, "which", "left", "__prefix", "__digit").agg(F.sum("__c").alias("__m"))
+        run = cells.withColumn("__upto", F.sum("__m").over(part.rowsBetween(Window.unboundedPreceding, 0)))
+        found = run.where((F.col("left") <= F.col("__upto")) & (F.col("left") > F.col("__upto") - F.col("__m")))
+        state = found.select(*keys, "which", (F.col("left") - (F.col("__upto") - F.col("__m"))).alias("left"),
+                             (F.shiftleft("__prefix", digit) + F.col("__digit")).alias("__prefix"))
+
+    @pandas_udf("double")
+    def valued(k: pd.Series) -> pd.Series:
+        return pd.Series([key_value(x) for x in k], dtype=float)
+
+    return state.select(*keys, "which", valued("__prefix").alias("value"))
+
+
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "median") -> DataFrame:
+    """Exact median per key (mean of the middle pair); a key may hold any number of values, equal or not."""
+    middle = {"low": F.floor((F.col("n") + 1) / 2), "high": F.floor(F.col("n") / 2) + 1}
+    return select_ranks(df, keys, value, middle).groupBy(*keys).agg(F.avg("value").alias(out))
+
+
 def carry_ends(summary: DataFrame, keys: Sequence[str], order: str, last: str, first: str,
                fan: int = 1024) -> DataFrame:
     """Adds ``prev``: the nearest non-null ``last`` of earlier rows of the key, and ``next``: the

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsegrid.functions.keyed import digest
 from pulsegrid.functions.numeric import half_even
+from pulsegrid.operators.joins import measured_join
 from pulsegrid.operators.ranking import hash_bucket, split_rank
 
 # Accepted label column names, in order of preference.
@@ -59,8 +60,9 @@ def stratified_folds(labels: DataFrame, folds: int = 5, ratios: Ratios | None =
     subset = (F.when(F.col("__rank") <= n_test, "test")
               .when(F.col("__rank") <= n_test + n_valid, "valid").otherwise("train"))
     assigned = ranked.select("patient", "fold", subset.alias("subset"))
-    return records.join(assigned, "patient").select(
-        "record_id", "patient", "label", "fold", "subset")
+    # Unless every record is a patient of its own, one patient may hold most of the records.
+    met = records.join(assigned, "patient") if patient is None else measured_join(records, assigned, ["patient"], F.col("record_id"))
+    return met.select("record_id", "patient", "label", "fold", "subset")
 
 
 def fold_column(fold: int) -> str:

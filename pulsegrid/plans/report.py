@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+from pulsegrid.functions.keyed import digest
 from pulsegrid.operators.metrics import METRICS
 
 
@@ -15,6 +16,49 @@ def append_results(rows: DataFrame, path: str) -> str:
     return path
 
 
+def commit_results(records: DataFrame, log: str, run: str, group_by: Sequence[str] = ("run_label",)) -> str:
+    """Store one run's records, and the moments of their metrics, under the run's digest (see ``run_key``).
+
+    A run that is stored again, by a repeated batch or after a broken job, overwrites its own folder, so the log never holds it twice. The
+    moments (one row per condition and metric) are written last: what ``committed_summary`` counts is whole. One writer at a time stores a run; different
+    runs may be stored at once.
+    """
+    home = log.rstrip("/")
+    records.write.mode("overwrite").json(f"{home}/records/commit={run}")
+    kept = load_results(records.sparkSession, f"{home}/records/commit={run}")
+    leaves = flatten(kept, [group_label(kept.schema, group_by).alias("condition")])
+    moments(leaves).coalesce(1).write.mode("overwrite").parquet(f"{home}/moments/commit={run}")
+    return home
+
+
+def run_key(spark: SparkSession, *settings) -> str:
+    """Digest of a run's settings; a stream adds its batch's number."""
+    return spark.range(1).select(digest("run", *settings)).first()[0]
+
+
+def moments(leaves: DataFrame) -> DataFrame:
+    """``condition, path, n, mean, m2``: count, mean and sum of squared deviations, which merge without the values."""
+    n = F.count("value")
+    return leaves.groupBy("condition", "path").agg(n.alias("n"), F.avg("value").alias("mean"), (F.var_pop("value") * n).alias("m2"))
+
+
+def merged(parts: DataFrame) -> DataFrame:
+    """Moments of several runs as those of all their values; deviations are taken from the common mean, so nothing cancels."""
+    by = Window.partitionBy("condition", "path")
+    total = F.sum("n").over(by)
+    mean = F.sum(F.col("n") * F.col("mean")).over(by) / total
+    spread = F.sum(F.col("m2") + F.col("n") * (F.col("mean") - F.col("__mean")) * (F.col("mean") - F.col("__mean")))
+    return (parts.where("n > 0").withColumn("__mean", mean).groupBy("condition", "path")
+            .agg(F.sum("n").alias("n"), F.max("__mean").alias("mean"), spread.alias("m2")))
+
+
+def committed_summary(spark: SparkSession, log: str) -> DataFrame:
+    """``summarize`` of all runs stored by ``commit_results``; it reads their moments and no record."""
+    held = spark.read.schema("condition STRING, path STRING, n BIGINT, mean DOUBLE, m2 DOUBLE").parquet(f"{log.rstrip('/')}/moments")
+    cells = merged(held).select("condition", "path", "mean", F.sqrt(F.col("m2") / F.col("n")).alias("std"), "n")
+    return cells.withColumn("group_n", F.max("n").over(Window.partitionBy("condition")))
+
+
 def load_results(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Result records from JSON lines, or from one JSON list or object with ``multiline``."""
     return spark.read.option("multiLine", multiline).json(path)

@@ -184,6 +184,18 @@ def condition_summary(spark, d):
     return s.withColumn("mean", tidy(F.col("mean"))).withColumn("std", tidy(F.col("std")))
 
 
+@query("S9", "X3", "A9", sql=f"""WITH {RECORDS_SQL}
+    SELECT condition, path, round(mean, 6) + 0.0 AS mean, round(std, 6) + 0.0 AS std, n,
+           max(n) OVER (PARTITION BY condition) AS group_n FROM cells""")
+def committed_condition_summary(spark, d):
+    """The same summary from moments of three runs, one of which is stored twice."""
+    recs, log = records(spark, d), scratch_path(spark, "result-log")
+    for part in (0, 1, 1, 2):
+        R.commit_results(recs.where(F.pmod(F.xxhash64(F.to_json(F.struct("*"))), F.lit(3)) == part), log, R.run_key(spark, "summary", part), ["run_label"])
+    s = R.committed_summary(spark, log)
+    return s.withColumn("mean", tidy(F.col("mean"))).withColumn("std", tidy(F.col("std")))
+
+
 @query("A9", sql="""
     SELECT 'flag=' || l_returnflag || ', status=' || l_linestatus AS condition, path,
            round(avg(value), 6) + 0.0 AS mean, round(stddev_pop(value), 6) + 0.0 AS std,

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import keyed
 from pulsegrid.functions.numeric import tidy
 from pulsegrid.operators import balance as B
+from pulsegrid.operators.joins import measured_join
+from pulsegrid.operators.ranking import exact_median
 from pulsegrid.queries import query, table
 from pulsegrid.queries.splits import subjects
 from pulsegrid.session import cut_lineage
@@ -148,3 +150,19 @@ def batch_limit(spark, d):
     return parts.agg(F.count(F.lit(1)).alias("n")).select(
         "part", "n", F.least(F.ceil(F.col("n") / batch), F.lit(max_batches)).cast("long").alias("batches"),
         F.least("n", F.lit(batch * max_batches)).alias("used"))
+
+
+@query("J1", "W3", sql="""SELECT doc_id, source, n, most FROM documents
+    JOIN (SELECT source, count(*) AS n, max(n_chars) AS most FROM documents GROUP BY source) USING (source)""")
+def measured_source_join(spark, d):
+    """A fifth of the documents and more are of one source: its rows go to as many tasks as their count asks for."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "n_chars")
+    per = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.max("n_chars").alias("most"))
+    return measured_join(docs, per, ["source"], F.col("doc_id")).select("doc_id", "source", "n", "most")
+
+
+@query("A12", sql="SELECT event_type, round(median(round(value, 1)), 6) + 0.0 AS median FROM events GROUP BY event_type")
+def radix_medians(spark, d):
+    """Few groups of very many values, most of them repeated."""
+    rows = table(spark, d, "events").select("event_type", F.round("value", 1).alias("value"))
+    return exact_median(rows, ["event_type"], "value").withColumn("median", tidy(F.col("median")))

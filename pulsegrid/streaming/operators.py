@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pulsegrid.operators.metrics import confusion, metric_columns
+from pulsegrid.plans.report import commit_results, run_key
 
 
 def sliding_windows(stream: DataFrame, time: str, keys: Sequence[str], length: str, hop: str,
@@ -82,3 +83,13 @@ def ingest_results(stream: DataFrame, path: str, checkpoint: str) -> StreamingQu
 
     return (stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
+
+
+def commit_result_stream(stream: DataFrame, log: str, checkpoint: str, run: str, group_by: Sequence[str] = ("run_label",)) -> StreamingQuery:
+    """Result records from a stream into a log that ``committed_summary`` reads; each batch is a commit of its own, so a repeat changes nothing."""
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        commit_results(batch, log, run_key(batch.sparkSession, run, batch_id), group_by)
+
+    return (stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
