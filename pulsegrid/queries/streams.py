@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.numeric import tidy
 from pulsegrid.operators import metrics as M
+from pulsegrid.operators.blocks import cut_arrays
 from pulsegrid.queries import query, table
 from pulsegrid.queries.evaluation import COUNTS_SQL, records
+from pulsegrid.queries.fragments import RAG_SQL, ragged
 from pulsegrid.session import scratch_path
+from pulsegrid.streaming.blocks import block_windows
 from pulsegrid.streaming import operators as X
 
 
@@ -64,3 +67,20 @@ def streamed_results(spark, d):
     rows = spark.read.json(out)
     return rows.select("run_label", F.col("fold").cast("int").alias("fold"),
                        F.col("patient.mcc").isNotNull().alias("present"))
+
+
+@query("X1", "W1", sql=f"""WITH {RAG_SQL},
+    n AS (SELECT vec_id, 40 + vec_id % 25 AS n FROM embeddings),
+    w AS (SELECT vec_id, n, k AS win_no, 3 + k * 12 AS start_idx FROM n, unnest(range(0, greatest(0, n - 16 - 3) // 12 + 1)) AS q(k))
+    SELECT w.vec_id, win_no::integer AS win_no, p.p::integer AS idx, round(coalesce(x, 0.0), 6) + 0.0 AS value
+    FROM w CROSS JOIN range(0, 16) AS p(p) LEFT JOIN r ON r.vec_id = w.vec_id AND r.idx = start_idx + p.p""")
+def streamed_block_windows(spark, d):
+    """Blocks of every recording in seven files, each file one batch, in an order that leaves most blocks without their predecessors at first."""
+    blocks = cut_arrays(ragged(spark, d).select(F.col("vec_id").cast("string").alias("record_id"), F.lit("1").alias("channel"), "x"), "x", 7)
+    src, out, state = (scratch_path(spark, f"block-{n}") for n in ("source", "windows", "state"))
+    blocks.repartitionByRange(7, F.xxhash64("record_id", "block")).write.parquet(src)
+    stream = spark.readStream.schema(blocks.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    X.write_updates(block_windows(stream, 3, 16, 12), out, state).awaitTermination()
+    rows = X.latest_updates(spark, out, ["record_id", "channel", "win_no"])
+    return rows.select(F.col("record_id").cast("long").alias("vec_id"), F.col("win_no").cast("int").alias("win_no"),
+                       F.posexplode_outer("waveform").alias("idx", "value")).withColumn("value", tidy(F.col("value")))
