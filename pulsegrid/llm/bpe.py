@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, types as T
 
 from pulsegrid.llm.chunks import ChunkEncoder, Encoded, flat_lists, list_column
-from pulsegrid.llm.common import text_pass
+from pulsegrid.llm.common import text_pass, without
 
 #: Fixed value: the split pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -234,19 +234,21 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", kee
 
     Null and empty texts give an empty array; nothing is cut, prefixed or padded. Rows are independent:
     repeated rows repeat their result, an empty table gives an empty one, other columns pass through
-    (``keep=False`` drops the text). No shuffle.
+    (``keep=False`` drops the text), a column named ``out`` is replaced. No shuffle.
     """
     return docs.mapInArrow(*_encoding(docs, path, text, out, keep))
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """The rows plus the text of their ids. A null array decodes to the empty text; null or unknown ids
-    are an error, as they have no text."""
+    are an error, as they have no text. A column named ``out`` is replaced."""
+    rows = without(rows, [out], [ids])
     return rows.mapInArrow(*_decoding(rows.schema, path, ids, out))
 
 
 def round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", out: str = "decoded", keep: bool = True) -> DataFrame:
     """``encode`` and ``decode`` one after the other in one pass, so a task needs one Python worker."""
+    docs = without(docs, [ids, out], [text])
     forth, schema = _encoding(docs, path, text, ids, keep)
     back, schema = _decoding(schema, path, ids, out)
     return docs.mapInArrow(lambda batches: back(forth(batches)), schema)

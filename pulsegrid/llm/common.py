@@ -21,6 +21,12 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def without(df: DataFrame, added: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """``df`` without columns named like those that an operator adds, in any case; they are replaced. ``keep`` names columns that it reads."""
+    gone = {a.lower() for a in added}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone or c in keep])
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of whole rows with about ``most`` bytes of ``column`` each."""
     if not batch.num_rows:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from pulsegrid.llm import tokenizers
-from pulsegrid.llm.common import slices, texts_of
+from pulsegrid.llm.common import slices, texts_of, without
 
 CAPACITY, SWEEPS, PATTERNS, NUMBERED = 4096, 60, 6000, 1000
 
@@ -31,8 +31,10 @@ def pieces(docs: DataFrame, path: str, end: int = 1, most: int = CAPACITY, text:
     before it), ``length`` and ``ids`` (little-endian, 32 bits each).
 
     A document is its ids and the id ``end``; null text counts as empty, so every document has a piece. Only documents of
-    more than ``most`` ids are cut. No shuffle; rows are independent.
+    more than ``most`` ids are cut. No shuffle; rows are independent, so repeats and null ids are rows like others. Columns of the names
+    that are added are replaced.
     """
+    docs = without(docs, ["piece", "start", "length", "ids"], [text])
     own = [f for f in docs.schema.fields if f.name != text]
     schema = T.StructType([*own, T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
                            T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())])
@@ -157,8 +159,9 @@ def place(rows: DataFrame, keys: Sequence[str], length: str = "length", capacity
 
     Lengths must be from 1 to ``capacity``. ``rows`` is read three times: give a written table. ``keys`` tell rows apart; rows
     alike in them are interchangeable. Rows are numbered within slices of a length (hash of the keys, about
-    ``NUMBERED`` rows each), so a length that very many pieces share is no hot task.
+    ``NUMBERED`` rows each), so a length that very many pieces share is no hot task. Columns named ``sequence_id`` or ``offset`` are replaced.
     """
+    rows = without(rows, ["sequence_id", "offset"], [length, *keys])
     counts = {int(n): int(c) for n, c in rows.groupBy(length).count().collect()}  # at most ``capacity`` rows
     if any(not 0 < n <= capacity for n in counts):
         raise ValueError(f"lengths must be from 1 to {capacity}")
