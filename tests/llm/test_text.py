@@ -80,14 +80,57 @@ def test_token_counts_use_and_fill_the_cache(spark):
     assert held.count() == len({t or "" for t in texts})
     # A stored count is believed: what is there is not encoded again.
     other = "one two three"
-    fake = spark.createDataFrame([(hashlib.sha256(other.encode()).digest(), tokenizers.version(PIECE), 77)], tokencount.CACHE)
-    fake.write.mode("append").parquet(cache)
+    fake = spark.createDataFrame([(hashlib.sha256(other.encode()).digest(), 77, tokenizers.version(PIECE))], tokencount.CACHE)
+    fake.write.mode("append").partitionBy("tokenizer").parquet(cache)
     got = tokencount.count_tokens(docs(spark, [(1, other), (2, "new"), (None, "one two")]), PIECE, cache).collect()
     assert {r["doc_id"]: r["n_tokens"] for r in got} == {1: 77, 2: len(model.model.encode("new")), None: len(model.model.encode("one two"))}
     assert spark.read.parquet(cache).count() == len({t or "" for t in texts}) + 2
     assert tokencount.count_tokens(docs(spark, []), PIECE, cache).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 2, 1000])
+def test_few_and_many_misses_give_the_same_counts(spark, monkeypatch, few):
+    monkeypatch.setattr(tokencount, "FEW", few)
+    cache, texts = scratch_path(spark, "test-cache"), ["one two", "three", None, "one two", "", "four five six"]
+    run = lambda rows: [r["n_tokens"] for r in tokencount.count_tokens(docs(spark, enumerate(rows)), PIECE, cache).orderBy("doc_id").collect()]
+    model = tokenizers.load(PIECE)
+    want = [len(model.model.encode(t or "")) for t in texts]
+    assert run(texts) == want and run(texts) == want and spark.read.parquet(cache).count() == 4
+    assert run([*texts, "new", "new"]) == [*want, *[len(model.model.encode("new"))] * 2] and spark.read.parquet(cache).count() == 5
+    # Counts of another tokenizer are no use here.
+    assert tokencount.count_tokens(docs(spark, enumerate(texts)), WORD, cache).count() == 6 and spark.read.parquet(cache).count() == 9
+
+
+def test_columns_of_the_same_names_are_replaced(spark):
+    """Whatever their types and case, columns named like those that an operator adds give way; all others stay."""
+    clash = spark.createDataFrame([(1, "The house is red.", 5, "x", 1.5, "k"), (2, None, 6, "y", 2.5, "k")],
+                                  "doc_id long, text string, IDS int, score string, Lang_Pred double, other string")
+    encoded = bpe.encode(clash, BYTE)
+    assert [c.lower() for c in encoded.columns].count("ids") == 1 and len(encoded.select("ids").collect()[0]["ids"]) > 2
+    both = bpe.round_trip(clash, BYTE)
+    assert [r["decoded"] for r in both.orderBy("doc_id").select("decoded", "other", "score").collect()] == ["The house is red.", ""]
+    scored = quality.score(clash, quality.fit([(b"good text", 1), (b"bad words", 0)] * 9))
+    assert dict(scored.dtypes)["score"] == "double" and scored.select("score", "ids", "other").count() == 2
+    marked = langid.predict(clash, langid.fit([(b"the house", "en"), (b"das haus", "de")] * 9))
+    assert dict(marked.dtypes)["lang_pred"] == "string" and marked.where("doc_id = 2").first()["lang_pred"] == langid.UNKNOWN
+    for frame in (encoded, both, scored, marked):
+        assert {r["other"] for r in frame.collect()} == {"k"}
+    empty = clash.limit(0)
+    assert [f.count() for f in (bpe.round_trip(empty, BYTE), quality.score(empty, quality.fit([])), langid.predict(empty, langid.fit([])))] == [0, 0, 0]
+    assert langid.predict(clash.drop("text").withColumnRenamed("other", "text"), langid.fit([]), out="text").columns.count("text") == 1
+
+
+def test_pieces_and_places_with_columns_of_the_same_names(spark):
+    clash = spark.createDataFrame([(1, "The house is red.", 5, "x", 1, 2, 3), (2, None, 6, "y", 1, 2, 3), (None, "a b", 6, "y", 1, 2, 3)],
+                                  "doc_id long, text string, piece int, ids string, sequence_id int, offset int, Length int")
+    cut = packing.pieces(clash, WORD)
+    assert len({c.lower() for c in cut.columns}) == len(cut.columns) and cut.count() == 3
+    placed = packing.place(cut, ["doc_id", "piece"])
+    assert len({c.lower() for c in placed.columns}) == len(placed.columns) and placed.select("sequence_id", "offset", "length").count() == 3
+    none = packing.place(packing.pieces(clash.limit(0), WORD), ["doc_id", "piece"])
+    assert none.count() == 0
+
+
 def test_the_query_meets_the_counts_of_earlier_runs(spark, sf_dir):
     run = lambda: sorted(map(str, queries.QUERIES["op10_token_count_cache"](spark, sf_dir).collect()))
     cache = shared_path(spark, "token-counts")
