@@ -11,12 +11,13 @@ zero there, so the nearest vector is the one of largest inner product.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pulsegrid.llm.vectors import matrix, runs, usable
+from pulsegrid.llm.vectors import by_length, matrix, runs, usable
 from pulsegrid.session import cut_lineage
 
 #: Pivots are chosen from this many vectors, those whose ids hash lowest.
@@ -72,11 +73,18 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id: str = "vec_id"
     """``(query_id, rank, <id>, score)``: the ``k`` nearest found of every row that the condition ``queries`` on column
     ``id`` picks, among all other rows; fewer if there are fewer. Ties go to the smaller id.
 
-    See ``vectors.usable`` for what takes no part. Every row is indexed, in blocks of about ``BLOCK``; each block meets
-    the queries in blocks of about ``QUERY_BLOCK``, and a block's files live in one task only. The driver gets the sample.
+    See ``vectors.usable`` for what takes no part and for repeated ids. A query is compared with the vectors of its length; each length
+    has an index of its own. Every row is indexed, in blocks of about ``BLOCK``; each block meets the queries in blocks of about
+    ``QUERY_BLOCK``, and a block's files live in one task only. The driver gets the sample.
     """
-    spark = vectors.sparkSession
     own = cut_lineage(usable(vectors, id, vector).withColumn("q", queries_on(queries, id)), "vectors")
+    parts = [_nearest(part, k, id) for part in by_length(own)]
+    return reduce(DataFrame.union, parts)
+
+
+def _nearest(own: DataFrame, k: int, id: str) -> DataFrame:
+    """``nearest`` among vectors ``(id, v, q)`` of one length."""
+    spark = own.sparkSession
     facts = own.agg(F.count(F.lit(1)), F.count(F.when(F.col("q"), 1)), F.max(F.aggregate(
         "v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))).first()
     n, n_queries, longest = facts[0], facts[1], float(facts[2] or 0) ** 0.5

@@ -4,18 +4,20 @@ A vector is turned by three rounds of random signs and a fast Hadamard transform
 sign, that it then lies nearest to. Two hashes name a bucket of a table. A vector is posted to its own bucket of each
 table and, as probes, to those next in line, and candidates are checked exactly.
 
-First, vectors are drawn together into *balls*, narrow enough (``BALL`` degrees around a member) that any two members
+First, vectors are drawn together into *balls*, narrow enough (at most ten degrees around a member) that any two members
 are surely linked. A ball goes through the tables once, so a group of very many near copies costs a few rows there,
 and its links are counted by multiplication: between two balls whose angle and radii settle it, all pairs are linked or none.
 What is not settled so is counted member by member, in blocks.
 
 The centres of two balls with linked members may lie apart by the least similarity's angle and both radii. The wider a ball,
-the more tables it is posted to, as many as balls at that angle need to meet in one.
+the more tables it is posted to, as many as balls at that angle need to meet in one. How wide balls may become follows from
+that: as wide as keeps the tables few, which is narrower where vectors are longer.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,16 +25,18 @@ from pyspark.sql import DataFrame, functions as F
 
 from pulsegrid.llm.common import spread_join
 from pulsegrid.llm.components import components
-from pulsegrid.llm.vectors import matrix, runs, usable
+from pulsegrid.llm.vectors import by_length, matrix, runs, usable
 from pulsegrid.session import cut_lineage
 
 TABLES, PROBES, ROUNDS, SALTS = 8, 4, 3, 64
-#: The most tables, and the share of pairs at the widest angle that may meet in none of theirs.
-MOST, MISS = 100, 5e-4
+#: The share of pairs at the widest angle that may meet in none of their tables, and how many tables are worth a wider ball.
+MISS, WORTH = 5e-4, 60
+#: More than the tables there can be: a bucket's number and its table's make one key.
+KEYS = 1 << 20
 #: Degrees between the radii for which a number of tables is worked out, and how many pairs and tables are tried for it.
 STEP, TRIED = 2.5, (250, 4)
-#: Degrees: the angle that a ball may reach from its centre. Under half the angle of the least similarity.
-BALL, MARGIN = 10.0, 1e-5
+#: Degrees: the angles that balls may reach from their centres, widest first. Under half the angle of the least similarity.
+BALLS, MARGIN = (10.0, 7.5, 5.0, 2.5, 1.0), 1e-5
 #: Rows of a bucket that meet in one group; a larger bucket is cut into blocks that meet in pairs.
 MEET, MEMBERS = 2048, 1024
 SKETCH_BITS = 128
@@ -93,30 +97,33 @@ def angles(cosine: np.ndarray) -> np.ndarray:
     return np.degrees(np.arccos(np.clip(cosine, -1, 1)))
 
 
-def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _led(ball_angle: float):
     """Balls in order of bucket to ``(ball, leader, reach)``: the first ball of a bucket leads those it can take in."""
-    key = leader = centre = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        k, ball, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), matrix(batch.column(2))
-        radius = batch.column(3).to_numpy()
-        new = np.ones(len(k), bool)
-        new[1:] = k[1:] != k[:-1]
-        if key is not None and k[0] == key:
-            new[0] = False
-            ball_of, x_of = np.concatenate([[leader], ball]), np.concatenate([centre, x])
-        else:
-            ball_of, x_of = np.concatenate([[0], ball]), np.concatenate([x[:1], x])
-        head = np.maximum.accumulate(np.where(new, np.arange(1, len(k) + 1), 0))
-        reach = angles(cosines(x, x_of[head])) + radius
-        takes = (reach <= BALL) & (ball_of[head] != ball)
-        key, leader, centre = k[-1], ball_of[head[-1]], x_of[head[-1]][None]
-        yield pa.RecordBatch.from_arrays([pa.array(ball), pa.array(np.where(takes, ball_of[head], ball)), pa.array(np.where(takes, reach, radius))],
-                                         names=["ball", "leader", "reach"])
-
-
-def draw_together(balls: DataFrame, round: int) -> tuple[DataFrame, DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = leader = centre = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k, ball, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), matrix(batch.column(2))
+            radius = batch.column(3).to_numpy()
+            new = np.ones(len(k), bool)
+            new[1:] = k[1:] != k[:-1]
+            if key is not None and k[0] == key:
+                new[0] = False
+                ball_of, x_of = np.concatenate([[leader], ball]), np.concatenate([centre, x])
+            else:
+                ball_of, x_of = np.concatenate([[0], ball]), np.concatenate([x[:1], x])
+            head = np.maximum.accumulate(np.where(new, np.arange(1, len(k) + 1), 0))
+            reach = angles(cosines(x, x_of[head])) + radius
+            takes = (reach <= ball_angle) & (ball_of[head] != ball)
+            key, leader, centre = k[-1], ball_of[head[-1]], x_of[head[-1]][None]
+            yield pa.RecordBatch.from_arrays([pa.array(ball), pa.array(np.where(takes, ball_of[head], ball)), pa.array(np.where(takes, reach, radius))],
+                                             names=["ball", "leader", "reach"])
+
+    return run
+
+
+def draw_together(balls: DataFrame, round: int, ball_angle: float) -> tuple[DataFrame, DataFrame]:
     """One round over ``(ball, centre, radius, n, least)``: the map ``(ball, leader)`` and the balls that are left.
 
     Buckets of the first round are cut by a hash of the ball into ``SALTS``, so that a group of any size is spread over
@@ -133,7 +140,7 @@ def draw_together(balls: DataFrame, round: int) -> tuple[DataFrame, DataFrame]:
 
     rows = balls.select("ball", "centre", "radius", F.pmod(F.xxhash64("ball"), F.lit(SALTS)).alias("salt"))
     led = cut_lineage(rows.mapInArrow(keyed, "key long, ball long, centre array<float>, radius double")
-                      .repartition("key").sortWithinPartitions("key", "ball").mapInArrow(_led, "ball long, leader long, reach double"), "led")
+                      .repartition("key").sortWithinPartitions("key", "ball").mapInArrow(_led(ball_angle), "ball long, leader long, reach double"), "led")
     facts = balls.select("ball", "n", "least").join(led, "ball").groupBy(F.col("leader").alias("ball")).agg(
         F.max("reach").alias("radius"), F.sum("n").alias("n"), F.min("least").alias("least"))
     left = cut_lineage(balls.select("ball", "centre").join(facts, "ball").select("ball", "centre", "radius", "n", "least"), "balls")
@@ -154,7 +161,14 @@ def tables_needed(size: int, angle: float) -> int:
         met += ((a[:, :1] == b).any(axis=1) | (b[:, :1] == a).any(axis=1)).mean() / TRIED[1]
     if met >= 1:
         return TABLES
-    return min(MOST, max(TABLES, int(np.ceil(np.log(MISS) / np.log1p(-met))) if met else MOST))
+    # Pairs of which none met are taken to meet half as often as could just have been seen.
+    met = met or 0.5 / (TRIED[0] * TRIED[1])
+    return max(TABLES, int(np.ceil(np.log(MISS) / np.log1p(-met))))
+
+
+def ball_angle(size: int, limit: float) -> float:
+    """The widest of ``BALLS`` whose balls are worth their tables, for vectors of ``size`` places; the narrowest, if none is."""
+    return next((b for b in BALLS if tables_needed(size, limit + 2 * b) <= WORTH), BALLS[-1])
 
 
 def _posted(tables: list[int]):
@@ -171,7 +185,7 @@ def _posted(tables: list[int]):
                     b = buckets(x[i], t, PROBES)
                     for p in range(b.shape[1]):
                         yield pa.RecordBatch.from_arrays([
-                            pa.array(b[:, p] * MOST + t), pa.array(np.full(len(i), p == 0)), pa.array(ball[i]), pa.array(words[i, 0]),
+                            pa.array(b[:, p] * KEYS + t), pa.array(np.full(len(i), p == 0)), pa.array(ball[i]), pa.array(words[i, 0]),
                             pa.array(words[i, 1]), pa.array(radius[i])], names=["key", "own", "ball", "s1", "s2", "radius"])
 
     return run
@@ -262,20 +276,30 @@ def near_duplicates(table: DataFrame, least: float = 0.9, id: str = "vec_id", ve
 
     ``n_links`` counts the other vectors found with a cosine of at least ``least``, ``component_id`` is the smallest id
     reachable by links, itself included, and ``kept`` says that it is the row's own. Vectors that take no part (see
-    ``vectors.usable``) link with nothing and are their own component; repeats of an id are one vector and repeat its row; a row
-    without an id has a null component and isn't kept. Twice ``BALL`` degrees must be
+    ``vectors.usable``) link with nothing and are their own component; only vectors of one length can be linked; repeats of an id are
+    one vector and repeat its row; a row without an id has a null component and isn't kept. Twice the widest of ``BALLS`` must be
     less than the angle of ``least``, else an error.
     """
     limit = float(angles(np.array([least]))[0])
-    if 2 * BALL >= limit:
+    if 2 * BALLS[0] >= limit:
         raise ValueError("the balls are too wide for this similarity")
-    members = cut_lineage(usable(table, id, vector), "vectors")
+    found = reduce(DataFrame.union, [_linked(part, least, limit) for part in by_length(cut_lineage(usable(table, id, vector), "vectors"))])
+    rows = table.select(id).join(found, F.col(id) == F.col("__of"), "left")
+    component = F.coalesce("component_id", F.col(id))
+    return rows.select(id, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
+                       F.coalesce(F.col(id) == component, F.lit(False)).alias("kept"))
+
+
+def _linked(members: DataFrame, least: float, limit: float) -> DataFrame:
+    """``(__of, n_links, component_id)`` of vectors ``(id, v)`` of one length."""
+    size = members.agg(F.max(F.size("v"))).first()[0] or 1
+    widest = ball_angle(size, limit)
     balls = members.select(F.col("id").alias("ball"), F.col("v").cast("array<float>").alias("centre"), F.lit(0.0).alias("radius"),
                            F.lit(1).cast("long").alias("n"), F.col("id").alias("least"))
-    into, balls = draw_together(balls, 0)
+    into, balls = draw_together(balls, 0, widest)
     later = None
     for r in range(1, ROUNDS):
-        step, balls = draw_together(balls, r)
+        step, balls = draw_together(balls, r, widest)
         later = step if later is None else later.withColumnRenamed("leader", "mid").join(
             step.withColumnRenamed("ball", "mid"), "mid").select("ball", "leader")
     # A ball of the first round is at most one SALTS-th of a group; the map of the later rounds has a row a ball.
@@ -305,9 +329,5 @@ def near_duplicates(table: DataFrame, least: float = 0.9, id: str = "vec_id", ve
     facts = cut_lineage(rooted.join(least_of, "root").join(by_ball, "ball", "left").select(
         "ball", "component_id", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("links")), "ball-facts")
     extra = counted.groupBy("id").agg(F.sum("n").alias("extra"))
-    found = (spread_join(into.select("id", "ball"), facts, "ball", F.col("id")).join(extra, "id", "left")
+    return (spread_join(into.select("id", "ball"), facts, "ball", F.col("id")).join(extra, "id", "left")
              .select(F.col("id").alias("__of"), (F.col("links") + F.coalesce("extra", F.lit(0))).alias("n_links"), "component_id"))
-    rows = table.select(id).join(found, F.col(id) == F.col("__of"), "left")
-    component = F.coalesce("component_id", F.col(id))
-    return rows.select(id, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
-                       F.coalesce(F.col(id) == component, F.lit(False)).alias("kept"))

@@ -10,16 +10,20 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def usable(table: DataFrame, id: str, vector: str) -> DataFrame:
-    """``(id, v)`` for vectors that take part, one row an id (of repeats of an id, one).
+    """``(id, v)`` for vectors that take part, one row an id: of several vectors under one id the smallest, component by component.
 
-    Null, empty and zero vectors, those with null or non-finite components, and those of another length
-    than the commonest (of equally common ones the shorter) take no part; neither do null ids.
+    Null, empty and zero vectors and those with null or non-finite components take no part; neither do null ids. Vectors
+    of any lengths do (see ``by_length``).
     """
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = (table.select(F.col(id).alias("id"), F.col(vector).alias("v"))
-            .where(F.col("id").isNotNull() & finite & F.exists("v", lambda x: x != 0)).dropDuplicates(["id"]))
-    sizes = sorted((-r["count"], r["n"]) for r in rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect())
-    return rows.where(F.size("v") == (sizes[0][1] if sizes else 0))
+    return (table.select(F.col(id).alias("id"), F.col(vector).alias("v"))
+            .where(F.col("id").isNotNull() & finite & F.exists("v", lambda x: x != 0)).groupBy("id").agg(F.min("v").alias("v")))
+
+
+def by_length(rows: DataFrame) -> list[DataFrame]:
+    """The rows of each length of ``v`` by themselves, as only vectors of one length compare; without any row, ``rows`` as it is."""
+    sizes = sorted(r[0] for r in rows.select(F.size("v").alias("n")).distinct().collect())
+    return [rows.where(F.size("v") == n) for n in sizes] if len(sizes) > 1 else [rows]
 
 
 def matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:

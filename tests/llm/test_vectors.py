@@ -105,6 +105,65 @@ def test_vectors_that_link_with_nothing(spark):
     assert embdedup.near_duplicates(frame(spark, x).limit(0)).count() == 0
 
 
+def test_lengths_apart_and_repeated_ids_as_in_the_sql(spark, tmp_path):
+    import duckdb
+
+    from pulsegrid.llm.queries import QUERIES, SQL
+
+    x = [[1, 0], [2, 0], [0, 1], [1, 0, 0], [1, 0.1, 0], [0, 3, 0], [0, 2.9, 0.1], [1, 0, 0, 0], [5], [-5], [2]]
+    frame(spark, x).coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(SQL["op7_cross_polytope"])
+    columns = [c[0] for c in want.description]
+    got = QUERIES["op7_cross_polytope"](spark, str(tmp_path)).select(columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall()) and dict((r["vec_id"], r["n_links"]) for r in got)[3] == 1
+    # Of an id's vectors the smallest stands for it, however the rows are dealt out.
+    rows = frame(spark, [[1, 0], [0, 1], [0, 1], [0, 2, 0]], [1, 1, 2, 3])
+    for n in (1, 3, 7):
+        assert sorted((r["vec_id"], r["n_links"]) for r in embdedup.near_duplicates(rows.repartition(n)).collect()) == [(1, 1), (1, 1), (2, 1), (3, 0)]
+
+
+def test_search_by_length_with_repeated_ids_and_ties_over_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 5)
+    x, y = random_vectors(300, 16, 8), random_vectors(120, 9, 9)
+    x[100:140] = x[0]
+    ids = [*range(300), *range(300, 420), 40, 7]
+    rows = frame(spark, [*x, *y, x[40] + 1, x[7] - 9], ids).repartition(5)
+    held = {i: v for i, v in zip(ids, [*x, *y], strict=False)}
+    held[7] = min(x[7].tolist(), np.float32(x[7] - 9).astype(float).tolist())
+    held[40] = min(x[40].tolist(), np.float32(x[40] + 1).astype(float).tolist())
+    found, hits = {}, []
+    for r in ann.nearest(rows, F.col("id") % 20 == 0).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(found) == set(range(0, 420, 20))
+    for q, got in found.items():
+        score = {i: float(np.dot(held[q], v)) for i, v in held.items() if i != q and len(v) == len(held[q])}
+        best = sorted(score, key=lambda i: (-round(score[i], 9), i))[:20]
+        got.sort()
+        assert [g[0] for g in got] == list(range(1, 21)) and all(abs(g[2] - score[g[1]]) < 1e-9 for g in got)
+        hits.append(len({g[1] for g in got} & set(best)) / 20)
+    assert np.mean(hits) >= 0.9
+    tied = [g[1] for g in sorted(found[0]) if 100 <= g[1] < 140]
+    assert tied == list(range(100, 100 + len(tied))) and len(tied) > 10
+
+
+def test_balls_are_as_wide_as_few_tables_allow():
+    limit = float(embdedup.angles(np.array([0.9]))[0])
+    for size in (64, 384, 768):
+        widest = embdedup.ball_angle(size, limit)
+        assert embdedup.tables_needed(size, limit + 2 * widest) <= embdedup.WORTH
+    assert embdedup.ball_angle(64, limit) >= embdedup.ball_angle(768, limit)
+
+
+def test_links_of_long_vectors(spark):
+    x = np.concatenate([near_copies([60, 20, 5], 768, [0.1, 0.3, 0.4], 14), random_vectors(100, 768, 15)])
+    links, label = brute(x)
+    rows = sorted(embdedup.near_duplicates(frame(spark, x)).collect(), key=lambda r: r["vec_id"])
+    assert [r["component_id"] for r in rows] == label and sum(r["n_links"] for r in rows) >= 0.998 * sum(links)
+
+
 def test_large_buckets_meet_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(embdedup, "MEET", 8)
     monkeypatch.setattr(embdedup, "MEMBERS", 16)
