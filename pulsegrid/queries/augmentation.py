@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import arrays as A
@@ -374,15 +376,17 @@ def _multi_sql():
     src = """s AS (SELECT vec_id || ':1:' || c.c AS k, p.p AS idx, embedding[c.c * 32 + p.p + 1]::double AS x
         FROM embeddings, range(0, 2) AS c(c), range(0, 32) AS p(p))"""
 
-    return ", ".join([
+    sql = ", ".join([
         src, absmax("a", "s"),
         gated("b", "a", "noise1", 0.3 / 4, noise("b_g", "a", "noise1"), own),
         gated("c", "b", "stretch", 0.35, stretch("c_g", "b", "stretch", G.MULTI_RATES, True, own), own),
         gated("e", "c", "volume", 0.75, volume("e_g", "c", "volume", own), own),
         gated("f", "e", "noise2", 0.3 / 4, noise("f_g", "e", "noise2"), own)])
+    # Each step is read several times by the next one: worked out once.
+    return re.sub(r"\b([sabce]) AS \(", r"\1 AS MATERIALIZED (", sql)
 
 
-@query("G12", "T21", sql=f"""WITH RECURSIVE {_multi_sql()}
+@query("G12", "T21", sql=f"""WITH {_multi_sql()}
     {done('f', ", split_part(k, ':', 3)::integer AS channel")}""")
 def augmented_multichannel(spark, d):
     rows = fragments(spark, d, 1).select(

@@ -47,10 +47,9 @@ def selected_channels(spark, d):
                        tidy(A.total(F.col("c.samples"))).alias("mass"))
 
 
-@query("P6", "P7", sql=f"""WITH {VEC_SQL}
-    SELECT a.vec_id, a.idx::integer AS idx, round((a.x + b.x + c.x) / 3, 6) + 0.0 AS value
-    FROM v a JOIN v b ON b.vec_id = a.vec_id AND b.idx = a.idx + 9
-    JOIN v c ON c.vec_id = a.vec_id AND c.idx = a.idx + 32 WHERE a.idx < 28""")
+@query("P6", "P7", sql="""SELECT vec_id, p.p::integer AS idx,
+    round((embedding[p.p + 1]::double + embedding[p.p + 10]::double + embedding[p.p + 33]::double) / 3, 6) + 0.0 AS value
+    FROM embeddings, range(0, 28) AS p(p)""")
 def mixed_down_channels(spark, d):
     rows = channels(spark, d).withColumn(
         "c", A.align(F.transform("channels", lambda c: c["samples"])))
@@ -119,9 +118,8 @@ def fragment_z_scores(spark, d):
 @query("F4", "K1", sql=f"""WITH {RAG_SQL},
     k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x) AS a,
                  row_number() OVER (PARTITION BY vec_id ORDER BY x DESC) AS b FROM r),
-    e AS (SELECT vec_id, avg(x) FILTER (a <= 5) AS lo, avg(x) FILTER (b <= 5) AS hi FROM k GROUP BY vec_id)
-    SELECT vec_id, idx::integer AS idx, round(-1 + (x - lo) / (hi - lo) * 2, 6) + 0.0 AS value
-    FROM r JOIN e USING (vec_id)""")
+    e AS (SELECT *, avg(x) FILTER (a <= 5) OVER (PARTITION BY vec_id) AS lo, avg(x) FILTER (b <= 5) OVER (PARTITION BY vec_id) AS hi FROM k)
+    SELECT vec_id, idx::integer AS idx, round(-1 + (x - lo) / (hi - lo) * 2, 6) + 0.0 AS value FROM e""")
 def fragment_k_peak(spark, d):
     return long(ragged(spark, d).withColumn("x", A.k_peak(F.col("x"), 5)), "vec_id")
 
