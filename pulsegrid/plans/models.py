@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from pulsegrid.operators.metrics import argmax, confusion, grouped_metrics, metrics
+from pulsegrid.session import cut_lineage
 
 # Hidden layers of the head per setting.
 HEADS = {"cinc": (512, 512, 512), "training-a": (512,), "training-a-ecg": (128,), "vest": (256,)}
@@ -114,7 +115,8 @@ class KernelProbe:
             return pd.Series(list(np.sqrt(2.0 / len(b)) * np.cos(np.stack(xs.to_numpy()) @ w + b))) if len(xs) else pd.Series([], dtype=object)
 
         chosen = self.selector.setFeaturesCol(features).transform(rows)
-        return chosen.withColumn("kernel_features", array_to_vector(project(vector_to_array("selected"))))
+        # Marked so that the optimizer doesn't try to work the call out itself on rows that it has at hand.
+        return chosen.withColumn("kernel_features", array_to_vector(project.asNondeterministic()(vector_to_array("selected"))))
 
     def transform(self, rows: DataFrame) -> DataFrame:
         return self.machine.transform(self.mapped(rows))
@@ -140,11 +142,7 @@ def fit_kernel_probe(train: DataFrame, k_best: int = 80, dims: int = 1024, cost:
     rng = np.random.default_rng(seed)
     probe = KernelProbe(selector, rng.normal(0.0, np.sqrt(2.0 * gamma), (used, dims)), rng.uniform(0.0, 2.0 * np.pi, dims))
     learner = LinearSVC(featuresCol="kernel_features", labelCol="label", maxIter=iterations, regParam=1.0 / (cost * n), standardization=False)
-    rows = probe.mapped(train).select("kernel_features", "label").cache()
-    try:
-        return replace(probe, machine=learner.fit(rows))
-    finally:
-        rows.unpersist()
+    return replace(probe, machine=learner.fit(cut_lineage(probe.mapped(train).select("kernel_features", "label"), "kernel-features")))
 
 
 def fuse(rows: DataFrame, parts: Sequence[str], out: str = "features") -> DataFrame:
