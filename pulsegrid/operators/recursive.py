@@ -18,7 +18,6 @@ from pyspark.sql.functions import pandas_udf
 
 from pulsegrid.functions import filter_design as D
 from pulsegrid.operators.blocks import KEYS, map_values, with_halo
-from pulsegrid.session import cut_lineage
 
 #: Samples that are filtered side by side.
 CELLS = 1 << 21
@@ -78,11 +77,12 @@ def reach(sos: np.ndarray, block: int) -> int:
 
 
 def run(blocks: DataFrame, sos: np.ndarray, block: int, keys: Sequence[str] = KEYS,
-        backward: bool = False, settled: bool = False) -> DataFrame:
+        backward: bool = False, settled: bool = False, carry: Sequence[str] = ()) -> DataFrame:
     """Filter along the record (or against it when ``backward``), from rest.
 
     ``settled`` starts each record in the steady state of its first value. The block that starts a
     record carries ``starts``; without that column it is block 0, or the last one backward.
+    Columns named in ``carry`` go with their block.
     """
     sos = np.asarray(sos, float)
     size = 2 * len(sos)
@@ -122,23 +122,24 @@ def run(blocks: DataFrame, sos: np.ndarray, block: int, keys: Sequence[str] = KE
 
     marked = blocks if "starts" in blocks.columns else blocks.withColumn(
         "starts", F.col("block") == 0)
-    ran = marked.select(*keys, "block", from_rest("values", "starts").alias("r")).select(
-        *keys, "block", "r.y", "r.sends")
+    ran = marked.select(*keys, "block", *carry, from_rest("values", "starts").alias("r")).select(
+        *keys, "block", *carry, "r.y", "r.sends")
     # The block itself and the states it sends ahead travel in one exchange, keyed by the target.
     hop = F.lit(-1 if backward else 1)
     none_y, none_s = F.lit(None).cast("array<double>"), F.lit(None).cast("array<double>")
-    own = F.struct(F.col("block").alias("block"), F.col("y").alias("y"), none_s.alias("s"))
+    own = F.struct(F.col("block").alias("block"), F.col("y").alias("y"), none_s.alias("s"), *carry)
+    blank = [F.lit(None).cast(marked.schema[c].dataType).alias(c) for c in carry]
     # A block that is not full ends its record, and block 0 starts it: nothing lies beyond them.
     ahead = F.col("block") if backward else F.when(F.size("y") < block, 0).otherwise(far)
     hops = F.slice(F.sequence(F.lit(1), F.lit(far)), 1, F.least(F.lit(far), ahead).cast("int"))
     sent = F.transform(hops, lambda i: F.struct(
         (F.col("block") + hop * i).cast("long").alias("block"), none_y.alias("y"),
-        F.slice("sends", (i - 1) * size + 1, F.lit(size)).alias("s")))
+        F.slice("sends", (i - 1) * size + 1, F.lit(size)).alias("s"), *blank))
     spread = ran.select(*keys, F.explode_outer(F.concat(F.array(own), sent)).alias("p")).select(*keys, "p.*")
     sums = [F.coalesce(F.sum(F.get("s", F.lit(k))), F.lit(0.0)).alias(f"__s{k}") for k in range(size)]
-    met = spread.groupBy(*keys, "block").agg(F.first("y", ignorenulls=True).alias("y"), *sums)
+    met = spread.groupBy(*keys, "block").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("y", *carry)], *sums)
     states = F.array(*[F.col(f"__s{k}") for k in range(size)])
-    return met.where(F.col("y").isNotNull()).select(*keys, "block", add_state("y", states).alias("values"))
+    return met.where(F.col("y").isNotNull()).select(*keys, "block", *carry, add_state("y", states).alias("values"))
 
 
 def low_pass(blocks, block, fs, cutoff, order=2, keys=KEYS):
@@ -161,8 +162,9 @@ def zero_phase(blocks: DataFrame, sos: np.ndarray, block: int, edge: int | None
                keys: Sequence[str] = KEYS) -> DataFrame:
     """Forward and backward filtering of a record that is continued oddly at both ends.
 
-    The first and last block carry ``edge`` extra samples through both passes. Records must be
-    longer than ``edge`` samples, and ``edge`` at most ``block - 1``.
+    The first and last block carry ``edge`` extra samples through both passes; a block's length and
+    whether it ends the record go with it, so the input is read once. Records must be longer than
+    ``edge`` samples, and ``edge`` at most ``block - 1``.
     """
     sos = np.asarray(sos, float)
     edge = D.edge_length(sos) if edge is None else edge
@@ -179,15 +181,13 @@ def zero_phase(blocks: DataFrame, sos: np.ndarray, block: int, edge: int | None
     behind = F.concat(F.col("before"), v)
     back = F.slice(behind, F.greatest(F.size(behind) - edge, F.lit(1)), F.least(F.lit(edge), F.size(behind) - 1))
     tail = F.when(is_last, F.transform(F.reverse(back), lambda x: 2 * F.element_at(v, -1) - x)).otherwise(empty)
-    extended = joined.select(*keys, "block", F.concat(head, v, tail).alias("values"),
-                             is_first.alias("starts"), F.size(v).alias("__n"), is_last.alias("__last"))
-    marks = extended.select(*keys, "block", "__n", "starts", "__last")
-    there = run(extended.select(*keys, "block", "values", "starts"), sos, block, keys, settled=True)
-    ends = there.join(marks.select(*keys, "block", F.col("__last").alias("starts")), [*keys, "block"])
-    back_again = run(ends, sos, block, keys, backward=True, settled=True)
-    return (back_again.join(marks, [*keys, "block"])
-            .select(*keys, "block", F.slice("values", F.when(F.col("starts"), edge + 1).otherwise(1),
-                                            F.col("__n")).alias("values")))
+    extended = joined.select(*keys, "block", F.concat(head, v, tail).alias("values"), is_first.alias("starts"),
+                             is_first.alias("__first"), is_last.alias("__last"), F.size(v).alias("__n"))
+    there = run(extended, sos, block, keys, settled=True, carry=("__first", "__last", "__n"))
+    back_again = run(there.withColumn("starts", F.col("__last")), sos, block, keys, backward=True, settled=True,
+                     carry=("__first", "__n"))
+    return back_again.select(*keys, "block", F.slice(
+        "values", F.when(F.col("__first"), edge + 1).otherwise(1), F.col("__n")).alias("values"))
 
 
 def butter_zero_phase(blocks, block, fs, edges, kind, order=4, keys=KEYS):
@@ -204,12 +204,11 @@ def notch(blocks, block, fs, freq, q=30.0, keys=KEYS):
 def notch_chain(blocks, block, fs, freqs, q=55.0, keys=KEYS):
     """Notches in sequence; frequencies at or above the Nyquist rate are skipped.
 
-    A zero-phase pass reads its input three times, so the signal is written between notches: the plan of a
-    chain is that of one notch, whatever their number.
+    A notch reads its input once, so the plan of a chain grows by one notch each, and nothing is written between.
     """
-    below = [f for f in freqs if f < fs / 2]
-    for i, freq in enumerate(below):
-        blocks = notch(blocks if i == 0 else cut_lineage(blocks, "notched"), block, fs, freq, q, keys)
+    for freq in freqs:
+        if freq < fs / 2:
+            blocks = notch(blocks, block, fs, freq, q, keys)
     return blocks
 
 
