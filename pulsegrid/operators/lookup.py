@@ -60,20 +60,24 @@ def fractional_step(value: Column, grid: Sequence[float]) -> Column:
     return locate(value)
 
 
+def _mixed(col: str, keep: Column, add: Column, seed, step: str, key: Sequence[Column]) -> Column:
+    """``keep`` times the signal plus ``add`` times normal noise."""
+    parts = F.struct(keep.alias("keep"), add.alias("add"))
+    return bind(parts, lambda p: F.transform(col, lambda x, i: p["keep"] * x + p["add"] * gaussian(seed, step, *key, i)))
+
+
 def diffuse(rows: DataFrame, levels: DataFrame, col: str, seed, step: str, key: Sequence[Column]
             ) -> DataFrame:
     """Signal and normal noise mixed at the row's schedule step: ``sqrt(a) x + sqrt(1-a) e``.
 
-    ``levels`` is the fixed schedule table (tens to a thousand rows).
+    ``levels`` is the schedule table, one row a step; whether it is broadcast is left to its measured size.
     """
-    joined = rows.join(F.broadcast(levels.select("step", "alpha_cum")), "step")
-    parts = F.struct(F.sqrt("alpha_cum").alias("keep"), F.sqrt(1 - F.col("alpha_cum")).alias("add"))
-    return joined.withColumn(col, bind(parts, lambda p: F.transform(
-        col, lambda x, i: p["keep"] * x + p["add"] * gaussian(seed, step, *key, i)))).drop("alpha_cum")
+    joined = rows.join(levels.select("step", "alpha_cum"), "step")
+    mixed = _mixed(col, F.sqrt("alpha_cum"), F.sqrt(1 - F.col("alpha_cum")), seed, step, key)
+    return joined.withColumn(col, mixed).drop("alpha_cum")
 
 
 def diffuse_at(rows: DataFrame, level: str, col: str, seed, step: str, key: Sequence[Column]) -> DataFrame:
-    """Mixing at a continuous noise level: ``l x + sqrt(1 - l^2) e``."""
+    """Mixing at a continuous noise level ``l`` in [0, 1]: ``l x + sqrt(1 - l^2) e``."""
     l = F.col(level)
-    return rows.withColumn(col, F.transform(
-        col, lambda x, i: l * x + F.sqrt(1 - l * l) * gaussian(seed, step, *key, i)))
+    return rows.withColumn(col, _mixed(col, l, F.sqrt(1 - l * l), seed, step, key))

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import arrays as A
-from pulsegrid.functions.keyed import between, pick
+from pulsegrid.functions.keyed import between, pick, unit
 from pulsegrid.functions.numeric import tidy
 from pulsegrid.operators import equaliser as E
 from pulsegrid.operators.blocks import cut_arrays
@@ -421,3 +421,10 @@ def noise_level_mixing(spark, d):
     rows = fragments(spark, d).withColumn("step", pick(50, SEED, "level", *key_cols()).cast("int"))
     out = L.diffuse(rows, sched, "x", SEED, "eps", key_cols())
     return long(out)
+
+
+@query("F17", sql=f"""WITH {src_sql('s')}, l AS (SELECT *, {u_sql(key('level'))} AS l FROM s),
+    o AS (SELECT k, idx, l * x + sqrt(1 - l * l) * {gauss_sql(key('eps', tail=" || ':' || idx"))} AS x FROM l) {done('o')}""")
+def continuous_level_mixing(spark, d):
+    rows = fragments(spark, d).withColumn("level", unit(SEED, "level", *key_cols()))
+    return long(L.diffuse_at(rows, "level", "x", SEED, "eps", key_cols()))

@@ -12,6 +12,7 @@ from pulsegrid.operators import metrics as M
 from pulsegrid.operators import quality as Q
 from pulsegrid.operators import splits as S
 from pulsegrid.operators import windows as W
+from pulsegrid.operators.lookup import diffuse_at
 from pulsegrid.operators.ranking import carry_ends, hash_bucket, rank_median, split_cumsum, split_rank
 from pulsegrid.plans import report as R
 from pulsegrid.plans.augment import augment_batch, augment_multi, augment_pcg
@@ -262,3 +263,10 @@ def test_f_scores_keep_their_digits(spark):
     want = 30 * ((means - x.mean(axis=0)) ** 2).sum(axis=0) / 2 / within
     np.testing.assert_allclose(scores(0.0), want, rtol=1e-9)
     np.testing.assert_allclose(scores(1e7), want, rtol=1e-5)
+
+
+def test_noise_mixing_of_null_and_empty_signals_and_extreme_levels(spark):
+    rows = spark.createDataFrame([(1, None, 0.5), (2, [], 0.5), (3, [1.0, 2.0], 1.0), (4, [1.0, 2.0], 0.0)], "id long, x array<double>, l double")
+    got = {r["id"]: r["x"] for r in diffuse_at(rows, "l", "x", 1, "e", [F.col("id")]).collect()}
+    assert got[1] is None and got[2] == [] and got[3] == [1.0, 2.0]
+    assert len(got[4]) == 2 and got[4] != [1.0, 2.0]
