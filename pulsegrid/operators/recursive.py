@@ -18,6 +18,7 @@ from pyspark.sql.functions import pandas_udf
 
 from pulsegrid.functions import filter_design as D
 from pulsegrid.operators.blocks import KEYS, map_values, with_halo
+from pulsegrid.session import cut_lineage
 
 #: Samples that are filtered side by side.
 CELLS = 1 << 21
@@ -204,11 +205,11 @@ def notch(blocks, block, fs, freq, q=30.0, keys=KEYS):
 def notch_chain(blocks, block, fs, freqs, q=55.0, keys=KEYS):
     """Notches in sequence; frequencies at or above the Nyquist rate are skipped.
 
-    A notch reads its input once, so the plan of a chain grows by one notch each, and nothing is written between.
+    The signal is written between notches: the plan of a chain is that of one notch, whatever their number.
     """
-    for freq in freqs:
-        if freq < fs / 2:
-            blocks = notch(blocks, block, fs, freq, q, keys)
+    below = [f for f in freqs if f < fs / 2]
+    for i, freq in enumerate(below):
+        blocks = notch(blocks if i == 0 else cut_lineage(blocks, "notched"), block, fs, freq, q, keys)
     return blocks
 
 
