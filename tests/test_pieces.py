@@ -1,10 +1,12 @@
 import importlib
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.pieces import PIECE_ROWS, pieces_udf
+from pulsegrid.operators import spectra as S
 
 LIMIT = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -30,7 +32,16 @@ def test_a_function_sees_bounded_pieces_of_a_large_batch(large_batches):
     assert one.where("id < 0").select(seen("id", "id")).collect() == []
 
 
-@pytest.mark.parametrize("name", ["plans.models"])
+def test_magnitudes_of_every_fragment_of_a_large_batch(large_batches):
+    x = np.random.default_rng(1).normal(size=(1100, 24))
+    rows = large_batches.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k INT, x ARRAY<DOUBLE>").coalesce(1)
+    got = rows.select("k", S.magnitudes(F.col("x"), 8, 4, np.ones(8)).alias("m")).collect()
+    for r in got:
+        assert np.allclose(r.m, np.abs(np.fft.rfft(S._frames(x[r.k], 8, 4))))
+    assert sorted(r.k for r in got) == list(range(1100))
+
+
+@pytest.mark.parametrize("name", ["plans.models", "operators.spectra"])
 def test_functions_of_arrays_go_piece_by_piece(name):
     """A whole batch of arrays is never in Python objects at once."""
     module = importlib.import_module(f"pulsegrid.{name}")
