@@ -41,7 +41,8 @@ def test_magnitudes_of_every_fragment_of_a_large_batch(large_batches):
     assert sorted(r.k for r in got) == list(range(1100))
 
 
-@pytest.mark.parametrize("name", ["plans.models", "operators.spectra", "operators.kernels", "operators.recursive", "operators.repair", "operators.equaliser", "operators.cycles", "plans.augment_blocks"])
+@pytest.mark.parametrize("name", ["plans.models", "plans.store", "plans.augment_blocks", "operators.equaliser", "operators.kernels", "operators.cycles",
+                                  "operators.spectra", "operators.repair", "operators.recursive"])
 def test_functions_of_arrays_go_piece_by_piece(name):
     """A whole batch of arrays is never in Python objects at once."""
     module = importlib.import_module(f"pulsegrid.{name}")
