@@ -1,4 +1,5 @@
 import importlib
+import struct
 
 import numpy as np
 import pandas as pd
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.pieces import PIECE_ROWS, pieces_udf
 from pulsegrid.operators import spectra as S
+from pulsegrid.sources import wav as W
 
 LIMIT = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -47,3 +49,15 @@ def test_functions_of_arrays_go_piece_by_piece(name):
     """A whole batch of arrays is never in Python objects at once."""
     module = importlib.import_module(f"pulsegrid.{name}")
     assert module.pieces_udf is pieces_udf and not hasattr(module, "pandas_udf")
+
+
+def test_short_recordings_are_handed_on_before_a_batch_ends():
+    class Files:
+        select = lambda self, *_: self
+        mapInPandas = lambda self, run, schema: run
+
+    content = b"RIFF" + struct.pack("<I", 40) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 100, 200, 2, 16) + b"data" + struct.pack("<Ihh", 4, 1, 2)
+    batch = pd.DataFrame({"path": [f"r{i}" for i in range(1300)], "content": [content] * 1300})
+    made = list(W.decode(Files())(iter([batch])))
+    assert [len(m) for m in made] == [PIECE_ROWS, PIECE_ROWS, 1300 - 2 * PIECE_ROWS]
+    assert [p for m in made for p in m["path"]] == list(batch["path"])
