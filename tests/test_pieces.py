@@ -6,8 +6,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from pulsegrid.functions import pieces as P
 from pulsegrid.functions.pieces import PIECE_ROWS, pieces_udf
 from pulsegrid.operators import spectra as S
+from pulsegrid.plans import models as M
 from pulsegrid.sources import wav as W
 
 LIMIT = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -61,3 +63,20 @@ def test_short_recordings_are_handed_on_before_a_batch_ends():
     made = list(W.decode(Files())(iter([batch])))
     assert [len(m) for m in made] == [PIECE_ROWS, PIECE_ROWS, 1300 - 2 * PIECE_ROWS]
     assert [p for m in made for p in m["path"]] == list(batch["path"])
+
+
+def test_kernel_features_of_a_piece_are_bounded_by_their_numbers(large_batches, monkeypatch):
+    class Every:
+        setFeaturesCol = lambda self, _: self
+        transform = lambda self, rows: rows.withColumn("selected", F.col("features"))
+
+    asked = []
+    monkeypatch.setattr(M, "pieces_udf", lambda returns, *rows: (asked.append(rows[0] if rows else PIECE_ROWS), pieces_udf(returns, *rows))[1])
+    rng = np.random.default_rng(2)
+    x, w, b = rng.normal(size=(300, 5)), rng.normal(size=(5, 1024)), rng.uniform(0, 6, 1024)
+    rows = M.as_vectors(large_batches.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k INT, x ARRAY<DOUBLE>").coalesce(1))
+    got = M.KernelProbe(Every(), w, b).mapped(rows).select("k", "kernel_features").collect()
+    assert [n * 1024 <= 1 << 17 for n in asked] == [True]
+    assert [r.k for r in got] == list(range(300))
+    assert np.allclose([r.kernel_features.toArray() for r in got], np.sqrt(2 / 1024) * np.cos(x @ w + b))
+    assert [P.piece_rows(n) for n in (0, 1, 1024, 1 << 20)] == [PIECE_ROWS, PIECE_ROWS, 128, 1]
